@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES: dict[str, T.DataType] = {
+    "string": T.StringType(),
+    "long": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "array<float>": T.ArrayType(T.FloatType()),
+}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema from ``name type`` pairs; needs no session, unlike a DDL string."""
+    pairs = [item.split() for item in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 # fixed values: catalogue header -> column name
