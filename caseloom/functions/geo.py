@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 # fixed values: (pattern over the lower-cased place, latitude, longitude); the first match counts
@@ -43,4 +41,4 @@ def geo_point(place: Column, rules: list[tuple[str, float, float]] | None = None
         F.when(low.rlike(pattern), F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon")))
         for pattern, lat, lon in (rules or PLACE_RULES)
     ]
-    return reduce(lambda first, other: F.coalesce(first, other), points)
+    return F.coalesce(*points)

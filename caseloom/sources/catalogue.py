@@ -29,7 +29,7 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.options(**{**_CSV, "enforceSchema": "true"}).csv(path)
     # a header may come with blanks around it or twice; names are matched later
-    return raw.withColumn("file", F.input_file_name()).withColumn("ordinal", F.monotonically_increasing_id())
+    return raw.withColumn("file", F.col("_metadata.file_path")).withColumn("ordinal", F.monotonically_increasing_id())
 
 
 def read_catalogue_csv(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
@@ -62,10 +62,16 @@ def split_html_payloads(payloads: DataFrame, content: str = "content") -> tuple[
     """Payloads that are data, and those that are pages, reduced to their first bytes as evidence."""
     is_page = looks_like_page(F.col(content))
     rest = [c for c in payloads.columns if c != content]
-    sample = F.decode(F.substring(content, 1, _EVIDENCE_BYTES), "UTF-8").alias("sample")
+    # the cut may split a character, which is then shown as a replacement
+    sample = F.make_valid_utf8(F.substring(content, 1, _EVIDENCE_BYTES).cast("string")).alias("sample")
     return payloads.filter(~is_page), payloads.filter(is_page).select(*rest, sample)
 
 
+def _plain_path(col: str) -> Column:
+    """The sources spell ``scheme:///`` and ``scheme:/`` differently."""
+    return F.regexp_replace(col, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
 def snapshot_manifest(
     files: DataFrame,
     rows: DataFrame,
@@ -79,8 +85,8 @@ def snapshot_manifest(
     ``files`` comes from the ``binaryFile`` source, ``rows`` are the deduplicated
     rows with their ``file``. A file without usable rows is kept as failed.
     """
-    counted = rows.groupBy(F.col("file").alias("path")).agg(F.count(F.lit(1)).alias("record_count"))
-    hashed = files.select("path", F.sha2("content", 256).alias("content_hash"))
+    counted = rows.groupBy(_plain_path("file").alias("path")).agg(F.count(F.lit(1)).alias("record_count"))
+    hashed = files.select(_plain_path("path").alias("path"), F.sha2("content", 256).alias("content_hash"))
     joined = hashed.join(counted, "path", "left")
     usable = F.col("record_count").isNotNull()
     return joined.select(

@@ -28,7 +28,7 @@ def _hadoop(spark: SparkSession, path: str):
 
 
 def _pointer(table_dir: str) -> str:
-    return f"{table_dir.rstrip('/')}/_current"
+    return f"{table_dir.rstrip('/')}/CURRENT"
 
 
 def current_version(spark: SparkSession, table_dir: str) -> int | None:
@@ -64,7 +64,7 @@ def write_version(
     number = version if version is not None else (current_version(spark, table_dir) or 0) + 1
     laid_out = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by) if sort_by else df
     laid_out.write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/v={number}")
-    draft = f"{_pointer(table_dir)}-{uuid.uuid4().hex}"
+    draft = f"{table_dir.rstrip('/')}/_CURRENT-{uuid.uuid4().hex}"
     jvm, source, fs = _hadoop(spark, draft)
     stream = fs.create(source, True)
     stream.write(bytearray(str(number), "ascii"))

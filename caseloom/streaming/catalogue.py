@@ -11,6 +11,9 @@ from ..schemas import ARTIFACTS, RECORDS, SNAPSHOT_ROWS
 from ..sources.catalogue import looks_like_page
 from ..sources.sinks import read_version, versions, write_version
 
+#: What the ``binaryFile`` source delivers.
+_FILE = "path string, modificationTime timestamp, length long, content binary"
+
 #: Tables kept below the store folder.
 TABLES = ["records", "artifacts", "snapshot", "diffs", "reports", "worklist", "targets"]
 
@@ -59,6 +62,7 @@ def stream_catalogue(
 
     arrivals = (
         spark.readStream.format("binaryFile")
+        .schema(_FILE)
         .option("maxFilesPerTrigger", 1)
         .option("pathGlobFilter", "*.csv")
         .load(landing)
