@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -10,6 +11,11 @@ from pyspark.sql import Column, functions as F
 _EDGES = r"(?U)^\s+|\s+\z"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim_ws(col: Column | str) -> Column:
     """Strip all Unicode white space, not only blanks."""
     return F.regexp_replace(col, _EDGES, "")
@@ -66,7 +72,9 @@ def normalise_title(col: Column | str) -> Column:
     A run that does not fit an unsigned 64-bit integer counts as ``0``.
     """
     stripped = F.regexp_replace(col, "(?<![0-9])0+(?=[0-9])", "")
-    return F.lower(F.regexp_replace(stripped, _OVERFLOW, "0"))
+    # hardly any title has a run that long, and the cheap test decides
+    fits = lambda t: F.when(t.rlike("[0-9]{20}"), F.regexp_replace(t, _OVERFLOW, "0")).otherwise(t)
+    return F.lower(let(stripped, fits))
 
 
 # --- URLs -------------------------------------------------------------------
@@ -78,30 +86,57 @@ _DEFAULT_PORTS = {"http": "80", "ws": "80", "https": "443", "wss": "443", "ftp":
 def _percent(col: Column, reserved: str) -> Column:
     """Percent-encode control, non-ASCII and ``reserved`` characters as UTF-8."""
     unsafe = r"[^\x21-\x7E]|[" + reserved + "]"
-    encoded = F.array_join(
-        F.transform(
-            F.split(col, ""),
+
+    def encode(text: Column) -> Column:
+        chars = F.transform(
+            F.split(text, ""),
             lambda ch: F.when(
                 ch.rlike(unsafe), F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", r"%$1")
             ).otherwise(ch),
-        ),
-        "",
-    )
-    return F.when(col.rlike(unsafe), encoded).otherwise(col)
+        )
+        return F.when(text.rlike(unsafe), F.array_join(chars, "")).otherwise(text)
+
+    return let(col, encode)
 
 
 def _fold_dots(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments of an absolute path."""
 
-    def step(acc, seg):
-        keep = F.concat(acc, F.array(seg))
+    def step(acc: Column, seg: Column) -> Column:
         up = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))
-        return F.when(seg == "..", up).when(seg == ".", acc).otherwise(keep)
+        return F.when(seg == "..", up).when(seg == ".", acc).otherwise(F.concat(acc, F.array(seg)))
+
+    def fold(text: Column) -> Column:
+        folded = F.aggregate(F.split(text, "/"), F.expr("cast(array() as array<string>)"), step)
+        end = F.when(text.rlike(r"/\.\.?\z"), "/").otherwise("")
+        return F.when(text.rlike(r"/\.\.?(/|\z)"), F.concat(F.array_join(folded, "/"), end)).otherwise(text)
 
-    segments = F.split(path, "/")
-    folded = F.aggregate(segments, F.expr("cast(array() as array<string>)"), step)
-    trailing = F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise("")
-    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.array_join(folded, "/"), trailing)).otherwise(path)
+    return let(path, fold)
+
+
+def _rebuilt(clean: Column) -> Column:
+    part = lambda i: F.coalesce(F.regexp_extract(clean, _WEB, i), F.lit(""))
+    place = r"^(.*@)?([^@]*?)(?::0*([0-9]*))?$"
+
+    def authority(text: Column) -> Column:
+        port = F.regexp_extract(text, place, 3)
+        scheme = F.lower(part(1))
+        usual = F.coalesce(*[F.when(scheme == s, p) for s, p in _DEFAULT_PORTS.items()], F.lit(""))
+        return F.concat(
+            F.regexp_extract(text, place, 1),
+            F.lower(F.regexp_extract(text, place, 2)),
+            F.when((port == "") | (port == usual), "").otherwise(F.concat(F.lit(":"), port)),
+        )
+
+    path = F.replace(part(3), F.lit("\\"), F.lit("/"))
+    return F.concat(
+        F.lower(part(1)),
+        F.lit("://"),
+        let(part(2), authority),
+        _fold_dots(_percent(F.when(path == "", "/").otherwise(path), r'"<>`{}')),
+        _percent(part(4), r"\"<>'"),
+        _percent(part(5), r'"<>`'),
+    )
 
 
 def normalise_url(col: Column | str) -> Column:
@@ -111,37 +146,16 @@ def normalise_url(col: Column | str) -> Column:
     ``/``, dot segments are folded and unsafe characters percent-encoded.
     """
     raw = F.col(col) if isinstance(col, str) else col
-    clean = F.regexp_replace(raw, r"[\t\n\r]", "")
-    part = lambda i: F.coalesce(F.regexp_extract(clean, _WEB, i), F.lit(""))
-    scheme = F.lower(part(1))
-    authority = part(2)
-    user = F.regexp_extract(authority, r"^(.*@)?([^@]*)$", 1)
-    host_port = F.lower(F.regexp_extract(authority, r"^(.*@)?([^@]*)$", 2))
-    host = F.regexp_replace(host_port, r":[0-9]*$", "")
-    port = F.regexp_extract(host_port, r":0*([0-9]+)$", 1)
-    default_port = F.coalesce(
-        *[F.when(scheme == s, F.lit(p)) for s, p in _DEFAULT_PORTS.items()], F.lit("")
-    )
-    port_text = F.when((port == "") | (port == default_port), "").otherwise(F.concat(F.lit(":"), port))
-    path = F.regexp_replace(part(3), r"\\", "/")
-    path = F.when(path == "", "/").otherwise(path)
-    rebuilt = F.concat(
-        scheme,
-        F.lit("://"),
-        user,
-        host,
-        port_text,
-        _fold_dots(_percent(path, r'"<>`{}')),
-        _percent(part(4), r"\"<>'"),
-        _percent(part(5), r'"<>`'),
-    )
-    usable = clean.rlike(_WEB) & (host != "") & ~host.rlike(r"[\s<>^|%]") & host.rlike(r"^[\x21-\x7E]+$")
-    has_scheme = raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & ~raw.rlike(r"^(?i)(https?|wss?|ftp):")
-    return (
-        F.when(usable, rebuilt)
-        .when(has_scheme & ~raw.contains(" "), raw)
-        .otherwise(F.regexp_replace(raw, " ", "%20"))
-    )
+
+    def choose(clean: Column) -> Column:
+        # printable ASCII host without characters a host cannot have
+        usable = clean.rlike(r"^(?i)(https?|wss?|ftp)://([^/?#\\]*@)?[^/?#\\@\s<>^|%\x7f-\x{10ffff}:]+(:[0-9]*)?([/?#\\]|\z)")
+        other = clean.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:[^ ]*\z") & ~clean.rlike(r"^(?i)(https?|wss?|ftp):")
+        return (
+            F.when(usable, _rebuilt(clean)).when(other, clean).otherwise(F.replace(clean, F.lit(" "), F.lit("%20")))
+        )
+
+    return let(F.regexp_replace(raw, r"[\t\n\r]", ""), choose)
 
 
 def filename_of_url(col: Column | str) -> Column:

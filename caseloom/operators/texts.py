@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.embedding import hash_vector
-from ..functions.text import is_blank, trim_ws
-from .common import derived_id, first_row, first_rows, join_many_to_one, let
+from ..functions.text import is_blank, let, trim_ws
+from .common import derived_id, first_row, first_rows, join_many_to_one
 
 #: Chunk size aimed at, in UTF-8 bytes.
 CHUNK_BYTES = 1200

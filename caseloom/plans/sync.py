@@ -22,11 +22,10 @@ class SyncResult:
     records: DataFrame
 
 
-def sync_release(
-    spark: SparkSession, path: str, previous: DataFrame, records: DataFrame, snapshot_id: str, ts: str
+def apply_release(
+    current: DataFrame, previous: DataFrame, records: DataFrame, snapshot_id: str, ts: str
 ) -> SyncResult:
-    """Compare a release with the ``previous`` rows and carry it into ``records``."""
-    current = read_catalogue_csv(spark, path)
+    """Compare the keyed rows of a release with the ``previous`` ones and carry them into ``records``."""
     diff = snapshot_diff(previous, current, records)
     return SyncResult(
         rows=snapshot_rows(current, snapshot_id),
@@ -36,6 +35,17 @@ def sync_release(
     )
 
 
+def sync_release(
+    spark: SparkSession, path: str, previous: DataFrame, records: DataFrame, snapshot_id: str, ts: str
+) -> SyncResult:
+    """:func:`apply_release` for a catalogue file.
+
+    Several results of one file are best computed from rows that were stored first,
+    as the stream does: each result parses the file again otherwise.
+    """
+    return apply_release(read_catalogue_csv(spark, path), previous, records, snapshot_id, ts)
+
+
 def maintain(records: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clean-up after a sync: records, artifacts, and what is left to download."""
     unique = drop_duplicate_records(records)

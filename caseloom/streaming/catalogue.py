@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.changes import sync_report
+from ..operators.quality import download_worklist
 from ..operators.texts import select_targets
-from ..plans.sync import maintain, sync_release
+from ..plans.sync import apply_release, maintain
 from ..schemas import ARTIFACTS, RECORDS, SNAPSHOT_ROWS
-from ..sources.catalogue import looks_like_page
+from ..sources.catalogue import looks_like_page, read_catalogue_csv
 from ..sources.sinks import read_version, versions, write_version
 
 #: What the ``binaryFile`` source delivers.
 _FILE = "path string, modificationTime timestamp, length long, content binary"
 
 #: Tables kept below the store folder.
-TABLES = ["records", "artifacts", "snapshot", "diffs", "reports", "worklist", "targets"]
+TABLES = ["release", "diffs", "reports", "merged", "artifacts", "records", "worklist", "targets"]
 
 
 def _previous(spark: SparkSession, table_dir: str, batch_id: int, schema) -> DataFrame:
@@ -27,20 +29,24 @@ def _previous(spark: SparkSession, table_dir: str, batch_id: int, schema) -> Dat
 def _apply_release(spark: SparkSession, path: str, store: str, batch_id: int) -> None:
     ts = f"batch-{batch_id:010d}"
     version = batch_id + 1
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        """Write a table of this batch; what follows reads the stored rows."""
+        write_version(df, f"{store}/{name}", version=version)
+        return read_version(spark, f"{store}/{name}", version)
+
     records = _previous(spark, f"{store}/records", batch_id, RECORDS)
     artifacts = _previous(spark, f"{store}/artifacts", batch_id, ARTIFACTS)
-    previous = _previous(spark, f"{store}/snapshot", batch_id, SNAPSHOT_ROWS)
-    result = sync_release(spark, path, previous, records, ts, ts)
-    write_version(result.rows, f"{store}/snapshot", version=version)
-    # from here on the release is read from the stored rows, not parsed again
-    write_version(result.diff.withColumn("snapshot_id", F.lit(ts)), f"{store}/diffs", version=version)
-    write_version(result.report.withColumn("snapshot_id", F.lit(ts)), f"{store}/reports", version=version)
-    clean, good, todo = maintain(result.records, artifacts)
-    write_version(good, f"{store}/artifacts", version=version)
-    write_version(clean, f"{store}/records", version=version)
-    stored = read_version(spark, f"{store}/records", version)
-    write_version(todo, f"{store}/worklist", version=version)
-    write_version(select_targets(stored, "index").select("id", "title"), f"{store}/targets", version=version)
+    previous = _previous(spark, f"{store}/release", batch_id, SNAPSHOT_ROWS)
+    current = save(read_catalogue_csv(spark, path, check=False).drop("file"), "release")
+    result = apply_release(current, previous, records, ts, ts)
+    diff = save(result.diff.withColumn("snapshot_id", F.lit(ts)), "diffs")
+    save(sync_report(diff, current).withColumn("snapshot_id", F.lit(ts)), "reports")
+    clean, good, _ = maintain(save(result.records, "merged"), artifacts)
+    save(good, "artifacts")
+    stored = save(clean, "records")
+    save(download_worklist(stored), "worklist")
+    save(select_targets(stored, "index").select("id", "title"), "targets")
 
 
 def stream_catalogue(

@@ -416,7 +416,7 @@ select fragment_id, slot, round(v, 6) + 0.0 as v from vec where round(v, 6) <> 0
 def l04_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vectors = rs.fragment_vectors(rs.explode_observations(spread(_parsed(spark, sf), "record_id"), TS))
     cells = vectors.select("fragment_id", F.posexplode("embedding").alias("slot", "x"))
-    return cells.select("fragment_id", "slot", (F.round("x", 6) + 0.0).alias("v")).filter("v <> 0")
+    return cells.filter(F.abs("x") >= 5e-7).select("fragment_id", "slot", (F.round("x", 6) + 0.0).alias("v"))
 
 
 @query(

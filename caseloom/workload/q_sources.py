@@ -12,7 +12,7 @@ from ..sources import catalogue as src, files as fs, sinks
 from ..streaming.catalogue import stream_catalogue
 from .registry import query
 from .sql import norm_title, trim
-from .views import table, view
+from .views import spread, table, view
 
 _HEADER_OF = {name: header for header, name in CATALOGUE_HEADERS.items()}
 
@@ -128,7 +128,7 @@ def s04(spark: SparkSession, sf: str) -> DataFrame:
 )
 def s05(spark: SparkSession, sf: str) -> DataFrame:
     title = F.concat(F.lit("Doc 00"), F.col("doc_id").cast("string"), F.lit(" "), F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", normalise_title(title).alias("title"))
+    return spread(table(spark, sf, "documents"), "doc_id").select("doc_id", normalise_title(title).alias("title"))
 
 
 _KEY_SQL = f"""case when document_url like 'http://%' or document_url like 'https://%'
@@ -306,7 +306,7 @@ def s14(spark: SparkSession, sf: str) -> DataFrame:
     "select count(*) as records, count(*) as added, count(distinct doc_id) as distinct_keys from documents",
 )
 def s15(spark: SparkSession, sf: str) -> DataFrame:
-    landing = _write_release(spark, sf, parts=3)
+    landing = _write_release(spark, sf, parts=2)
     store, checkpoint = scratch_path(spark, "store"), scratch_path(spark, "checkpoint")
     stream_catalogue(spark, landing, store, checkpoint).awaitTermination()
     records = sinks.read_version(spark, f"{store}/records").agg(

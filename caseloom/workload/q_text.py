@@ -38,7 +38,7 @@ def x01(spark: SparkSession, sf: str) -> DataFrame:
 def _cells(vectors: DataFrame, key: str) -> DataFrame:
     """Non-zero components of vectors, rounded."""
     cells = vectors.select(key, F.posexplode("embedding").alias("slot", "x"))
-    return cells.select(key, "slot", (F.round("x", 6) + 0.0).alias("v")).filter("v <> 0")
+    return cells.filter(F.abs("x") >= 5e-7).select(key, "slot", (F.round("x", 6) + 0.0).alias("v"))
 
 
 @query(
