@@ -139,6 +139,54 @@ def _block(df: DataFrame, section: int, part: int, text: Column, **order: Column
     )
 
 
+# fixed values: labels of the optional facts of a record, and the column each one shows
+_FACTS = [
+    ("Agency", "agency"),
+    ("Release Date", "release_date"),
+    ("Incident Date", "incident_date"),
+    ("Incident Location", "incident_location"),
+    ("Source URL", "document_url"),
+    ("Local Path", "local_path"),
+]
+# fixed values: headings and lines of a dossier
+_SUMMARY_HEAD, _EVIDENCE_HEAD, _NOTES_HEAD = "## Case Summary\n\n", "\n## Evidence\n\n", "## Investigator Notes\n\n"
+_ENTITY_HEAD, _EXCERPT_HEAD = "\nEntities:\n", "\nAnalysis Excerpt:\n\n> "
+_NO_NOTES = "No investigator notes have been added.\n"
+
+
+def _fact(label: str, value: Column) -> Column:
+    return F.concat(F.lit(f"- {label}: `"), value, F.lit("`\n"))
+
+
+def _optional_fact(label: str, column: str) -> Column:
+    return F.when(is_blank(column), F.lit("")).otherwise(_fact(label, trim_ws(column)))
+
+
+def _record_pieces(records: DataFrame, links: DataFrame, results: DataFrame) -> DataFrame:
+    """Per record, independent of any case: date, texts around the membership note, entity flag."""
+    text = F.replace(F.col("ocr_text"), F.lit("\n"), F.lit("\n> "))
+    excerpts = results.filter(~is_blank("ocr_text")).select(
+        F.col("record_id").alias("id"),
+        F.concat(F.lit(_EXCERPT_HEAD), F.substring(text, 1, EXCERPT_CHARS), F.lit("\n\n")).alias("_excerpt"),
+    )
+    owners = links.select(F.col("record_id").alias("id")).distinct().withColumn("_owner", F.lit(True))
+    facts = [_optional_fact(label, column) for label, column in _FACTS if column in records.columns]
+    summary = F.concat(F.lit("\n"), trim_ws(_known(records, "summary")), F.lit("\n"))
+    described = records.select(
+        "id",
+        _when(records).alias("occurred"),
+        F.concat(F.lit("### "), F.col("title"), F.lit("\n\n"), _fact("Record ID", F.col("id").cast("string")), *facts).alias(
+            "_facts"
+        ),
+        F.coalesce(summary, F.lit("")).alias("_summary"),
+    )
+    return (
+        described.join(excerpts, "id", "left")
+        .join(owners, "id", "left")
+        .select("id", "occurred", "_facts", "_summary", "_owner", F.coalesce("_excerpt", F.lit("\n")).alias("_excerpt"))
+    )
+
+
 def dossier_blocks(
     cases: DataFrame,
     members: DataFrame,
@@ -151,73 +199,41 @@ def dossier_blocks(
     """The Markdown dossier of every case as blocks, whole once sorted by :data:`BLOCK_ORDER`.
 
     ``links`` is (record_id, name, entity_type, confidence), ``results`` (record_id,
-    ocr_text). No task gathers a case: a case of any size is a sorted range of rows.
+    ocr_text). The text of a record is put together once, however many cases it is
+    in. No task gathers a case: a case of any size is a sorted range of rows.
     """
-    line_end = F.lit("\n")
     by_record = {**salting, "hot": hot_keys(members, ["record_id"], **_sizes(salting))}
     known_cases = cases.select(F.col("id").alias("case_id"))
     members = join_many_to_one(members, known_cases, ["case_id"], "left_semi", **salting)
     notes = join_many_to_one(notes, known_cases, ["case_id"], "left_semi", **salting)
-    evidence = timeline_rows(members, records, **by_record)
-    counts = evidence.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_records"))
-    note_counts = notes.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_notes"))
-    heads = (
-        cases.select(F.col("id").alias("case_id"), "title", "description", "created_at")
-        .join(counts, "case_id", "left")
-        .join(note_counts, "case_id", "left")
-        .fillna(0, ["n_records", "n_notes"])
-    )
-    fact = lambda label, value: F.concat(F.lit(f"- {label}: `"), value, F.lit("`\n"))
-    header = F.concat(
-        F.lit("# "),
-        F.col("title"),
-        F.lit("\n\n"),
-        F.coalesce(F.concat("description", F.lit("\n\n")), F.lit("")),
-        F.lit("## Case Summary\n\n"),
-        fact("Case ID", F.col("case_id")),
-        fact("Created", F.col("created_at").cast("string")),
-        fact("Evidence records", F.col("n_records").cast("string")),
-        fact("Notes", F.col("n_notes").cast("string")),
-        F.lit("\n## Evidence\n\n"),
+    places = members.select("case_id", F.col("record_id").alias("id"), _known(members, "notes").alias("_note"))
+
+    # per membership: the record's facts with the note, its entity heading, its excerpt
+    pieces = _record_pieces(records, links, results)
+    evidence = join_many_to_one(places, pieces, ["id"], "inner", **by_record)
+    entry = F.concat("_facts", _optional_fact("Case Notes", "_note"), "_summary")
+    parts = F.array(
+        F.struct(F.lit(0).alias("part"), entry.alias("block")),
+        F.struct(F.lit(1).alias("part"), F.when(F.col("_owner"), _ENTITY_HEAD).alias("block")),
+        F.struct(F.lit(3).alias("part"), F.col("_excerpt").alias("block")),
     )
-    optional = [
-        ("Agency", "agency"),
-        ("Release Date", "release_date"),
-        ("Incident Date", "incident_date"),
-        ("Incident Location", "incident_location"),
-        ("Source URL", "document_url"),
-        ("Local Path", "local_path"),
-        ("Case Notes", "case_record_notes"),
-    ]
-    bullets = [
-        F.when(is_blank(column), F.lit("")).otherwise(fact(label, trim_ws(column)))
-        for label, column in optional
-        if column in evidence.columns
-    ]
-    summary = _known(evidence, "summary")
-    entry = F.concat(
-        F.lit("### "),
-        F.col("title"),
-        F.lit("\n\n"),
-        fact("Record ID", F.col("id").cast("string")),
-        *bullets,
-        F.coalesce(F.concat(line_end, trim_ws(summary), line_end), F.lit("")),
+    texts = evidence.select("case_id", "occurred", "id", F.inline(parts)).filter(F.col("block").isNotNull())
+    nothing = F.lit(None).cast("string")
+    record_blocks = texts.select(
+        "case_id",
+        F.lit(1).alias("section"),
+        "occurred",
+        F.col("id").cast("string").alias("item_id"),
+        "part",
+        nothing.alias("kind"),
+        nothing.alias("name"),
+        "block",
     )
-    at = {"occurred": F.col("occurred"), "item_id": F.col("id")}
-    excerpt = F.when(
-        ~is_blank("ocr_text"),
-        F.concat(
-            F.lit("\nAnalysis Excerpt:\n\n> "),
-            F.substring(F.replace(F.col("ocr_text"), F.lit("\n"), F.lit("\n> ")), 1, EXCERPT_CHARS),
-            F.lit("\n\n"),
-        ),
-    ).otherwise(line_end)
-    texts = results.select(F.col("record_id").alias("id"), "ocr_text")
-    with_text = join_many_to_one(evidence.select("case_id", "occurred", "id"), texts, ["id"], "left", **by_record)
-    # many to many: both sides may be skewed, which AQE splits at run time
+
+    # per membership and entity: many to many, where AQE splits skew on either side
+    dated = records.select("id", _when(records).alias("occurred"))
     named = links.select(F.col("record_id").alias("id"), "name", "entity_type", "confidence")
-    places = evidence.select("case_id", "occurred", "id")
-    owners = named.select("id").distinct()
+    dated_places = join_many_to_one(places.select("case_id", "id"), dated, ["id"], "inner", **by_record)
     entity = F.concat(
         F.lit("- "),
         F.col("entity_type"),
@@ -227,22 +243,45 @@ def dossier_blocks(
         F.format_string("%.2f", F.col("confidence")),
         F.lit(")\n"),
     )
-    with_notes = heads.select("case_id", "n_notes")
-    notes_head = F.concat(
-        F.lit("## Investigator Notes\n\n"),
-        F.when(F.col("n_notes") == 0, "No investigator notes have been added.\n").otherwise(""),
+    at = {"occurred": F.col("occurred"), "item_id": F.col("id"), "kind": F.col("entity_type"), "name": F.col("name")}
+    entity_blocks = _block(dated_places.join(named, "id"), 1, 2, entity, **at)
+
+    n_records = (
+        join_many_to_one(places.select("case_id", "id"), records.select("id"), ["id"], "left_semi", **by_record)
+        .groupBy("case_id")
+        .agg(F.count(F.lit(1)).alias("n_records"))
+    )
+    n_notes = notes.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_notes"))
+    heads = (
+        cases.select(F.col("id").alias("case_id"), "title", "description", "created_at")
+        .join(n_records, "case_id", "left")
+        .join(n_notes, "case_id", "left")
+        .fillna(0, ["n_records", "n_notes"])
+    )
+    header = F.concat(
+        F.lit("# "),
+        F.col("title"),
+        F.lit("\n\n"),
+        F.coalesce(F.concat("description", F.lit("\n\n")), F.lit("")),
+        F.lit(_SUMMARY_HEAD),
+        _fact("Case ID", F.col("case_id")),
+        _fact("Created", F.col("created_at").cast("string")),
+        _fact("Evidence records", F.col("n_records").cast("string")),
+        _fact("Notes", F.col("n_notes").cast("string")),
+        F.lit(_EVIDENCE_HEAD),
     )
-    note = F.concat(F.lit("- `"), F.col("created_at").cast("string"), F.lit("`: "), F.col("body"), line_end)
-    blocks = [
-        _block(heads, 0, 0, header),
-        _block(evidence, 1, 0, entry, **at),
-        _block(join_many_to_one(places, owners, ["id"], "left_semi", **by_record), 1, 1, F.lit("\nEntities:\n"), **at),
-        _block(places.join(named, "id"), 1, 2, entity, kind=F.col("entity_type"), name=F.col("name"), **at),
-        _block(with_text, 1, 3, excerpt, **at),
-        _block(with_notes, 2, 0, notes_head),
-        _block(notes, 2, 1, note, occurred=F.col("created_at").cast("string"), item_id=F.col("id")),
-    ]
-    return union_all(blocks).select(*BLOCK_ORDER, "block")
+    notes_head = F.concat(F.lit(_NOTES_HEAD), F.when(F.col("n_notes") == 0, _NO_NOTES).otherwise(""))
+    written = F.col("created_at").cast("string")
+    note = F.concat(F.lit("- `"), written, F.lit("`: "), F.col("body"), F.lit("\n"))
+    return union_all(
+        [
+            _block(heads, 0, 0, header),
+            record_blocks,
+            entity_blocks,
+            _block(heads, 2, 0, notes_head),
+            _block(notes, 2, 1, note, occurred=written, item_id=F.col("id")),
+        ]
+    ).select(*BLOCK_ORDER, "block")
 
 
 def dossier_lines(blocks: DataFrame) -> DataFrame:

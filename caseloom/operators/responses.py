@@ -14,6 +14,17 @@ FRAGMENT_CONFIDENCE = 0.9
 #: Seconds a record may be newer than its last synthesis.
 STALE_SECONDS = 5
 
+# fixed values: the texts a prompt is framed with
+_MANIFEST_HEAD = "FORENSIC VISUAL MANIFEST:\n"
+_NO_FINDING = "- No visual anomalies detected by foundation OCR.\n"
+_CONTEXT_HEAD = "\n\nCRITICAL CONTEXT FROM SEMANTIC INDEX:\n"
+_CONTEXT_SEPARATOR = "\n---\n"
+_INPUT_HEAD = "\n\n\nInput Document:\n"
+_LONG_TEXT_HEAD = "SOURCE DATA EXCERPT (Refer to Semantic Index below for full context):\n"
+_IMAGES = "AUDIT NOTICE: %d visual assets are attached. Perform a forensic comparison."
+_NO_IMAGES = "No visual assets attached."
+_DIRECTIVES = "Directives:\n1. STRUCTURE: Return valid JSON only.\n2. AUDIT: "
+
 
 def forensic_manifest(forensics: DataFrame, records: DataFrame, span: int = 1024) -> DataFrame:
     """Findings of every record as text: (record_id, part, manifest), whole once the parts are joined.
@@ -35,9 +46,9 @@ def forensic_manifest(forensics: DataFrame, records: DataFrame, span: int = 1024
     heads = records.select(F.col("id").alias("record_id")).join(
         forensics.select("record_id", F.lit(True).alias("_some")).distinct(), "record_id", "left"
     )
-    none = F.when(F.col("_some").isNull(), "- No visual anomalies detected by foundation OCR.\n").otherwise("")
+    none = F.when(F.col("_some").isNull(), _NO_FINDING).otherwise("")
     top = heads.select(
-        "record_id", F.lit(-1).cast("long").alias("part"), F.concat(F.lit("FORENSIC VISUAL MANIFEST:\n"), none).alias("manifest")
+        "record_id", F.lit(-1).cast("long").alias("part"), F.concat(F.lit(_MANIFEST_HEAD), none).alias("manifest")
     )
     return top.unionByName(parts.select("record_id", "part", F.col("lines").alias("manifest")))
 
@@ -57,7 +68,7 @@ def build_prompts(
     keeps its parts and only the frame around it is added.
     """
     context = fragments.groupBy("record_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda f: f["text"]), "\n---\n").alias(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda f: f["text"]), _CONTEXT_SEPARATOR).alias(
             "context"
         )
     )
@@ -65,7 +76,7 @@ def build_prompts(
     shown = F.when(
         F.octet_length("text") > LONG_TEXT_BYTES,
         F.concat(
-            F.lit("SOURCE DATA EXCERPT (Refer to Semantic Index below for full context):\n"),
+            F.lit(_LONG_TEXT_HEAD),
             F.substring("text", 1, EXCERPT_CHARS),
             F.lit("\n"),
         ),
@@ -73,19 +84,17 @@ def build_prompts(
     framed = texts.join(context, "record_id", "left").join(images, "record_id", "left")
     notice = F.when(
         F.coalesce("images", F.lit(0)) > 0,
-        F.format_string(
-            "AUDIT NOTICE: %d visual assets are attached. Perform a forensic comparison.", F.col("images")
-        ),
-    ).otherwise("No visual assets attached.")
+        F.format_string(_IMAGES, F.col("images")),
+    ).otherwise(_NO_IMAGES)
     head = F.concat(
-        F.lit(f"<|im_start|>system\n{system} \nDirectives:\n1. STRUCTURE: Return valid JSON only.\n2. AUDIT: "),
+        F.lit(f"<|im_start|>system\n{system} \n{_DIRECTIVES}"),
         notice,
         F.lit("\n\n"),
     )
     tail = F.concat(
-        F.lit("\n\nCRITICAL CONTEXT FROM SEMANTIC INDEX:\n"),
+        F.lit(_CONTEXT_HEAD),
         F.coalesce("context", F.lit("")),
-        F.lit("\n\n\nInput Document:\n"),
+        F.lit(_INPUT_HEAD),
         shown,
         F.lit(f"<|im_end|>\n<|im_start|>user\n{task}<|im_end|>\n<|im_start|>thought\n"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -202,30 +202,40 @@ def vector_search(
     elif filter_mode != "post":
         raise ValueError(f"unknown filter mode: {filter_mode}")
     top = nearest(queries, stored, k, metric)
-    # k rows per query: let the few hits travel to the big tables, where their number is bounded
-    few = queries.count() * k <= _SMALL_HITS
-    hint = F.broadcast if few else (lambda df: df)
-    placed = chunks.select(F.col("id").alias("item_id"), "record_id").join(hint(top), "item_id")
+    few = _few_hint(queries, k)
+    placed = chunks.select(F.col("id").alias("item_id"), "record_id").join(few(top), "item_id")
     if filter_mode == "post":
         placed = _in_case(placed, case_records, filters)
-    hits = _record_columns(allowed).join(hint(placed), "record_id")
-    with_text = hits.join(chunks.select(F.col("id").alias("item_id"), F.col("text").alias("excerpt")), "item_id")
+    hits = _record_columns(allowed).join(few(placed), "record_id")
+    # the big tables are cut down to the hits where they lie; only what is left is joined
+    texts = chunks.select(F.col("id").alias("item_id"), F.col("text").alias("excerpt")).join(
+        few(top.select("item_id").distinct()), "item_id", "left_semi"
+    )
     files = artifacts.select("record_id", F.col("sha256").alias("artifact_sha256")).join(
-        hint(placed.select("record_id").distinct()), "record_id", "left_semi"
+        few(placed.select("record_id").distinct()), "record_id", "left_semi"
     )
-    return with_text.join(files, "record_id", "left").select(
-        "query_id",
-        F.col("record_id").alias("id"),
-        "title",
-        *_RESULT,
-        "summary",
-        "artifact_sha256",
-        "distance",
-        "excerpt",
-        F.col("item_id").alias("chunk_id"),
+    return (
+        hits.join(texts, "item_id")
+        .join(files, "record_id", "left")
+        .select(
+            "query_id",
+            F.col("record_id").alias("id"),
+            "title",
+            *_RESULT,
+            "summary",
+            "artifact_sha256",
+            "distance",
+            "excerpt",
+            F.col("item_id").alias("chunk_id"),
+        )
     )
 
 
+def _few_hint(queries: DataFrame, k: int) -> Callable[[DataFrame], DataFrame]:
+    """Broadcast for tables of at most k short rows per query, if that is few enough; else no hint."""
+    return F.broadcast if queries.count() * k <= _SMALL_HITS else (lambda df: df)
+
+
 def keyword_search(
     query: str,
     chunks: DataFrame,
@@ -238,24 +248,27 @@ def keyword_search(
 ) -> DataFrame:
     """Chunks whose text or record title contains ``query``; the first k by record, chunk and artifact.
 
-    Each chunk is tested where it lies: a chunk that matches by itself needs its
-    record's columns only, one that does not needs a matching title.
+    Texts are tested where they lie and stay there: only the outcome is joined with
+    the records, and the texts of the k results are looked up at the end.
     """
     allowed = _in_case(_record_columns(_allowed(records, filters)), case_records, filters)
-    by_title = contains_pattern("title", query)
-    pieces = chunks.select("record_id", "chunk_index", F.col("text").alias("excerpt")).withColumn(
-        "_own", F.coalesce(contains_pattern("excerpt", query), F.lit(False))
-    )
-    flagged = allowed.withColumn("_title", F.coalesce(by_title, F.lit(False)))
-    found = join_many_to_one(pieces, flagged, ["record_id"], "inner", **salting).filter(F.col("_own") | F.col("_title"))
+    titles = allowed.select("record_id", F.coalesce(contains_pattern("title", query), F.lit(False)).alias("_title"))
+    own = F.coalesce(contains_pattern("text", query), F.lit(False)).alias("_own")
+    tested = chunks.select("record_id", "chunk_index", own)
+    found = join_many_to_one(tested, titles, ["record_id"], "inner", **salting).filter(F.col("_own") | F.col("_title"))
     # an artifact only multiplies rows, so the first k chunks suffice for the first k results
-    order = [F.col("record_id"), F.col("chunk_index")]
-    first = found.orderBy(*order).limit(k)
-    files = artifacts.select("record_id", F.col("sha256").alias("artifact_sha256"))
-    owned = files.join(F.broadcast(first.select("record_id").distinct()), "record_id", "left_semi")
+    key = ["record_id", "chunk_index"]
+    first = F.broadcast(found.select(*key).orderBy(*key).limit(k))
+    of_first = F.broadcast(first.select("record_id").distinct())
+    texts = chunks.select(*key, F.col("text").alias("excerpt")).join(first, key, "left_semi")
+    heads = allowed.join(of_first, "record_id", "left_semi")
+    owned = artifacts.select("record_id", F.col("sha256").alias("artifact_sha256")).join(
+        of_first, "record_id", "left_semi"
+    )
     return (
-        first.join(owned, "record_id", "left")
-        .orderBy(*order, F.col("artifact_sha256"))
+        texts.join(heads, "record_id")
+        .join(owned, "record_id", "left")
+        .orderBy(*key, "artifact_sha256")
         .limit(k)
         .select(
             F.col("record_id").alias("id"),
@@ -300,7 +313,7 @@ def fragment_search(
     """k nearest fragments of every query over all records."""
     top = nearest(queries, vectors.select(F.col("fragment_id").alias("item_id"), "embedding"), k, metric)
     body = fragments.select(F.col("id").alias("item_id"), "record_id", "text")
-    return body.join(top, "item_id").select(
+    return body.join(_few_hint(queries, k)(top), "item_id").select(
         "query_id", F.col("item_id").alias("fragment_id"), "record_id", "text", "distance"
     )
 

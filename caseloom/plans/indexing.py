@@ -30,17 +30,23 @@ def run_index(
     scores: DataFrame | None = None,
     stage: str = "index",
     dims: int = tx.DIMS,
+    staging: str | None = None,
 ) -> IndexTables:
     """Text of every target record to entities, chunks, vectors and status.
 
     ``texts`` is (record_id, text, error), one row per record at most, ``scores``
     an optional (record_id, score) of image redaction. A record without text, or
-    with an error, becomes ``failed`` with the message; the others go on.
+    with an error, becomes ``failed`` with the message; the others go on. Every result
+    starts from the same joined texts: with ``staging``, a path in the shared folder,
+    they are written there once and read by all results.
     """
     targets = tx.select_targets(tables.records, stage).select(F.col("id").alias("record_id"), "title")
     got = targets.join(texts.select("record_id", "text", "error"), "record_id", "left")
     problem = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("text").isNull(), "no text extracted")
     judged = got.withColumn("problem", problem)
+    if staging is not None:
+        judged.write.mode("overwrite").parquet(staging)
+        judged = judged.sparkSession.read.parquet(staging)
     docs = judged.filter(F.col("problem").isNull()).select("record_id", "title", "text")
     processed = docs.select("record_id")
 

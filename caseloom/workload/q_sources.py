@@ -278,7 +278,23 @@ def s12(spark: SparkSession, sf: str) -> DataFrame:
     return records.select("id", "title", "file_type", "source_type", "analysis_status")
 
 
-@query("s13_pages_to_text")
+@query(
+    "s13_pages_to_text",
+    """
+with node as (
+  select page_id, url, unnest(nodes) as n, generate_subscripts(nodes, 1) as i from (
+    select page_id, url, string_split_regex(replace(html, 'var t="</p>";', 'var t="' || chr(1) || '";'), '<[^>]*>') as nodes
+    from pages)
+),
+plain as (
+  select page_id, url, i, regexp_replace(replace(replace(replace(replace(replace(replace(n, chr(1), '</p>'),
+    '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp', '&'), '^\\s+|\\s+$', '', 'g') as n
+  from node
+)
+select page_id, url, 'Source URL: ' || url || chr(10) || chr(10)
+  || coalesce(string_agg(n || chr(10), '' order by i) filter (n <> ''), '') as text
+from plain group by page_id, url""",
+)
 def s13(spark: SparkSession, sf: str) -> DataFrame:
     return fs.pages_to_text(table(spark, sf, "pages"))
 
