@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import contains_pattern
 from ..functions.vectors import DISTANCE_DIGITS, cosine_distance, l2_distance
+from ..session import settled
 from .common import first_rows, join_many_to_one, join_one_to_many, union_all
 
 #: Results of a search, and fragments picked as context of a record.
@@ -76,6 +77,8 @@ def _scan(queries: np.ndarray, ids: list, k: int, metric: str, schema: pa.Schema
         best = _Best(len(ids), k)
         step = max(1, _CELLS // max(1, len(ids)))
         for batch in batches:
+            if batch.column(1).null_count:
+                batch = batch.filter(batch.column(1).is_valid())
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 rows = _matrix(part.column(1))
@@ -128,14 +131,14 @@ def nearest(
         ]
     )
     arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in out.fields])
-    asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
-    stored = vectors.select("item_id", "embedding").filter(F.col("embedding").isNotNull())
+    # rows without a vector are skipped in the tasks: a filter here would compute vectors twice
+    asked, stored = queries.select("query_id", "embedding"), vectors.select("item_id", "embedding")
     total = asked.count()
     blocks = max(1, -(-total // block))
     partial = []
     for b in range(blocks):
         mine = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = mine.collect()  # one block: about ``block`` vectors
+        rows = [r for r in mine.collect() if r["embedding"] is not None]  # one block: about ``block`` vectors
         if not rows:
             continue
         matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
@@ -203,19 +206,19 @@ def vector_search(
         raise ValueError(f"unknown filter mode: {filter_mode}")
     top = nearest(queries, stored, k, metric)
     few = _few_hint(queries, k)
-    placed = chunks.select(F.col("id").alias("item_id"), "record_id").join(few(top), "item_id")
+    body = chunks.select(F.col("id").alias("item_id"), "record_id", F.col("text").alias("excerpt"))
+    # k rows per query: from here on the scan of all vectors is not repeated
+    placed = settled(body.join(few(top), "item_id"), "hits")
     if filter_mode == "post":
         placed = _in_case(placed, case_records, filters)
-    hits = _record_columns(allowed).join(few(placed), "record_id")
     # the big tables are cut down to the hits where they lie; only what is left is joined
-    texts = chunks.select(F.col("id").alias("item_id"), F.col("text").alias("excerpt")).join(
-        few(top.select("item_id").distinct()), "item_id", "left_semi"
-    )
+    wanted = few(placed.select("record_id").distinct())
+    heads = _record_columns(allowed).join(wanted, "record_id", "left_semi")
     files = artifacts.select("record_id", F.col("sha256").alias("artifact_sha256")).join(
-        few(placed.select("record_id").distinct()), "record_id", "left_semi"
+        wanted, "record_id", "left_semi"
     )
     return (
-        hits.join(texts, "item_id")
+        placed.join(heads, "record_id")
         .join(files, "record_id", "left")
         .select(
             "query_id",
@@ -258,7 +261,7 @@ def keyword_search(
     found = join_many_to_one(tested, titles, ["record_id"], "inner", **salting).filter(F.col("_own") | F.col("_title"))
     # an artifact only multiplies rows, so the first k chunks suffice for the first k results
     key = ["record_id", "chunk_index"]
-    first = F.broadcast(found.select(*key).orderBy(*key).limit(k))
+    first = F.broadcast(settled(found.select(*key).orderBy(*key).limit(k), "first"))
     of_first = F.broadcast(first.select("record_id").distinct())
     texts = chunks.select(*key, F.col("text").alias("excerpt")).join(first, key, "left_semi")
     heads = allowed.join(of_first, "record_id", "left_semi")

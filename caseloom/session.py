@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators rely on. None of them fixes a degree of parallelism:
 #: that belongs to the cluster, and AQE sizes the shuffles at run time.
@@ -56,6 +56,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, computed once and read back from the shared folder.
+
+    For small results of expensive plans that several joins use: the plan runs once,
+    and a lost executor costs a read, not the plan.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
