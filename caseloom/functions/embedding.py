@@ -76,4 +76,6 @@ def hash_vector(text: Column, dims: int) -> Column:
         return _embed_batch(tokens, dims)
 
     embed.__annotations__ = {"tokens": pa.Array, "return": pa.Array}
-    return F.arrow_udf(embed, "array<double>")(tokens_of(text))
+    # declared non-deterministic so that no filter derived from the result makes the
+    # optimizer compute it a second time (explode and join conditions would)
+    return F.arrow_udf(embed, "array<double>").asNondeterministic()(tokens_of(text))
