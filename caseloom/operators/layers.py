@@ -47,6 +47,7 @@ def box_layers(ops: DataFrame, pages: DataFrame | None = None, **salting) -> Dat
         F.lit("improper_redaction").alias("layer_type"),
         F.concat(F.lit("Graphic Overlay @ Page "), F.col("page").cast("string")).alias("content"),
         F.lit(LAYER_CONFIDENCE["improper_redaction"]).alias("confidence"),
+        bbox.alias("bbox"),
         F.to_json(F.struct(bbox.alias("bbox"), F.col("page").alias("page"))).alias("metadata_json"),
     )
 
@@ -98,7 +99,7 @@ def metadata_layers(info: DataFrame) -> DataFrame:
 
 
 def forensic_layers(ops: DataFrame, pages: DataFrame | None = None, info: DataFrame | None = None) -> DataFrame:
-    """All three kinds of layers: (record_id, page, seq, part, layer_type, content, confidence, metadata_json)."""
+    """All three kinds of layers: (record_id, page, seq, part, layer_type, content, confidence, bbox, metadata_json)."""
     frames = [box_layers(ops, pages)]
     if "text" in ops.columns:
         frames.append(text_layers(ops))
@@ -109,13 +110,15 @@ def forensic_layers(ops: DataFrame, pages: DataFrame | None = None, info: DataFr
 
 def save_forensics(existing: DataFrame, layers: DataFrame, ts: str, **salting) -> DataFrame:
     """Forensic table with the rows of the records in ``layers`` replaced; the box gets its own column."""
+    # the box as a column spares parsing it out of the metadata
+    box = F.to_json("bbox") if "bbox" in layers.columns else F.get_json_object("metadata_json", "$.bbox")
     new = layers.select(
         derived_id("layer", "record_id", "layer_type", "metadata_json", "content", "seq").alias("id"),
         "record_id",
         "layer_type",
         "content",
         "confidence",
-        F.get_json_object("metadata_json", "$.bbox").alias("bounding_box_json"),
+        box.alias("bounding_box_json"),
         "metadata_json",
         F.lit(ts).alias("created_at"),
     )

@@ -117,6 +117,11 @@ def nearest(
     them works. Neighbours are picked by ``metric`` (``cosine`` or ``l2``), ties by
     item id; ``distance`` is the cosine distance either way.
     """
+    return _nearest(queries, vectors, k, metric, block)[0]
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str, block: int = QUERY_BLOCK) -> tuple[DataFrame, int]:
+    """:func:`nearest` and the number of queries."""
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric: {metric}")
     spark = queries.sparkSession
@@ -133,19 +138,27 @@ def nearest(
     arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in out.fields])
     # rows without a vector are skipped in the tasks: a filter here would compute vectors twice
     asked, stored = queries.select("query_id", "embedding"), vectors.select("item_id", "embedding")
-    total = asked.count()
+    # one block is what most searches need; more are cut by a hash of the query id
+    first = asked.limit(block + 1).collect()
+    total = len(first) if len(first) <= block else asked.count()
     blocks = max(1, -(-total // block))
-    partial = []
-    for b in range(blocks):
-        mine = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = [r for r in mine.collect() if r["embedding"] is not None]  # one block: about ``block`` vectors
-        if not rows:
-            continue
-        matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        partial.append(stored.mapInArrow(_scan(matrix, [r["query_id"] for r in rows], k, metric, arrow), out))
-    if not partial:
-        return spark.createDataFrame([], out)
-    return first_rows(union_all(partial), ["query_id"], [F.col("rank_distance"), F.col("item_id")], k)
+    order = [F.col("rank_distance"), F.col("item_id")]
+
+    def best_of(rows: list) -> DataFrame:
+        """The k nearest items of one block of queries."""
+        known = [r for r in rows if r["embedding"] is not None]
+        if not known:
+            return spark.createDataFrame([], out)
+        matrix = np.array([r["embedding"] for r in known], dtype=np.float64)
+        scan = _scan(matrix, [r["query_id"] for r in known], k, metric, arrow)
+        return first_rows(stored.mapInArrow(scan, out), ["query_id"], order, k)
+
+    if blocks == 1:
+        return best_of(first), total
+    # one block after the other, each result written, so that the driver holds one block at a time
+    of_block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    done = [settled(best_of(asked.filter(of_block == b).collect()), "nearest") for b in range(blocks)]
+    return union_all(done), total
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
@@ -204,8 +217,8 @@ def vector_search(
         stored = stored.join(ids.select("item_id"), "item_id", "left_semi")
     elif filter_mode != "post":
         raise ValueError(f"unknown filter mode: {filter_mode}")
-    top = nearest(queries, stored, k, metric)
-    few = _few_hint(queries, k)
+    top, asked = _nearest(queries, stored, k, metric)
+    few = _few_hint(asked * k)
     body = chunks.select(F.col("id").alias("item_id"), "record_id", F.col("text").alias("excerpt"))
     # k rows per query: from here on the scan of all vectors is not repeated
     placed = settled(body.join(few(top), "item_id"), "hits")
@@ -234,9 +247,9 @@ def vector_search(
     )
 
 
-def _few_hint(queries: DataFrame, k: int) -> Callable[[DataFrame], DataFrame]:
-    """Broadcast for tables of at most k short rows per query, if that is few enough; else no hint."""
-    return F.broadcast if queries.count() * k <= _SMALL_HITS else (lambda df: df)
+def _few_hint(rows: int) -> Callable[[DataFrame], DataFrame]:
+    """Broadcast for tables of at most so many short rows, if that is few enough; else no hint."""
+    return F.broadcast if rows <= _SMALL_HITS else (lambda df: df)
 
 
 def keyword_search(
@@ -314,9 +327,9 @@ def fragment_search(
     queries: DataFrame, fragments: DataFrame, vectors: DataFrame, k: int = FRAGMENT_K, metric: str = "cosine"
 ) -> DataFrame:
     """k nearest fragments of every query over all records."""
-    top = nearest(queries, vectors.select(F.col("fragment_id").alias("item_id"), "embedding"), k, metric)
+    top, asked = _nearest(queries, vectors.select(F.col("fragment_id").alias("item_id"), "embedding"), k, metric)
     body = fragments.select(F.col("id").alias("item_id"), "record_id", "text")
-    return body.join(_few_hint(queries, k)(top), "item_id").select(
+    return body.join(_few_hint(asked * k)(top), "item_id").select(
         "query_id", F.col("item_id").alias("fragment_id"), "record_id", "text", "distance"
     )
 

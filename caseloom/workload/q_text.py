@@ -284,14 +284,12 @@ select record_id, cast(page as bigint) as page, cast(seq as bigint) as seq, 'Gra
 from fx_page_ops where w > 10 and h > 5""",
 )
 def x11(spark: SparkSession, sf: str) -> DataFrame:
-    boxes = ly.box_layers(view(spark, sf, "fx_page_ops"))
-    bbox = F.from_json(F.get_json_object("metadata_json", "$.bbox"), "array<double>")
-    return boxes.withColumn("b", bbox).select(
+    return ly.box_layers(view(spark, sf, "fx_page_ops")).select(
         "record_id",
         F.col("page").cast("long").alias("page"),
         F.col("seq").cast("long").alias("seq"),
         "content",
-        *[F.round(F.get("b", i), 6).alias(n) for i, n in enumerate(["nx", "ny", "nw", "nh"])],
+        *[F.round(F.get("bbox", i), 6).alias(n) for i, n in enumerate(["nx", "ny", "nw", "nh"])],
     )
 
 
