@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.cases import BLOCK_ORDER
 
@@ -83,9 +84,12 @@ def _overwrite(jvm, spark: SparkSession):
     return array
 
 
-def read_version(spark: SparkSession, table_dir: str, version: int | None = None) -> DataFrame:
-    """The current version of a table, or a given one."""
+def read_version(
+    spark: SparkSession, table_dir: str, version: int | None = None, schema: StructType | None = None
+) -> DataFrame:
+    """The current version of a table, or a given one; a known ``schema`` spares looking into the files."""
     number = current_version(spark, table_dir) if version is None else version
     if number is None:
         raise FileNotFoundError(f"table was never written: {table_dir}")
-    return spark.read.parquet(f"{table_dir.rstrip('/')}/v={number}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{table_dir.rstrip('/')}/v={number}")

@@ -33,7 +33,7 @@ def _apply_release(spark: SparkSession, path: str, store: str, batch_id: int) ->
     def save(df: DataFrame, name: str) -> DataFrame:
         """Write a table of this batch; what follows reads the stored rows."""
         write_version(df, f"{store}/{name}", version=version)
-        return read_version(spark, f"{store}/{name}", version)
+        return read_version(spark, f"{store}/{name}", version, df.schema)
 
     records = _previous(spark, f"{store}/records", batch_id, RECORDS)
     artifacts = _previous(spark, f"{store}/artifacts", batch_id, ARTIFACTS)

@@ -1,4 +1,8 @@
-"""Progress events as streams: latest status per record, token runs."""
+"""Progress events as streams: latest status per record, token runs.
+
+What a batch changes is appended in a folder of its own, so the cost of a batch is
+that of its events, and a repeated batch overwrites what it had written.
+"""
 
 from __future__ import annotations
 
@@ -7,64 +11,38 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.responses import RESET, TOKEN, assemble_token_stream
 from ..operators.status import current_status
-from ..sources.sinks import read_version, versions, write_version
 
 
-def _before(spark: SparkSession, table_dir: str, batch_id: int) -> DataFrame | None:
-    older = [v for v in versions(spark, table_dir) if v <= batch_id]
-    return read_version(spark, table_dir, older[-1]) if older else None
+def _append(stream: DataFrame, mode: str, store: str, checkpoint: str, available_now: bool) -> StreamingQuery:
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def stream_status(events: DataFrame, store: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep a table of the latest status of every record.
+    """Follow the latest status of every record.
 
-    The state holds one status per record; each batch emits the changed ones, which
-    replace their rows in the next version of the table.
+    The state holds one status per record; a batch appends the records it changed.
     """
+    return _append(current_status(events), "update", store, checkpoint, available_now)
 
-    def on_batch(changed: DataFrame, batch_id: int) -> None:
-        old = _before(changed.sparkSession, store, batch_id)
-        kept = [] if old is None else [old.join(changed, "record_id", "left_anti").select(*changed.columns)]
-        merged = changed
-        for frame in kept:
-            merged = merged.unionByName(frame)
-        write_version(merged, store, version=batch_id + 1)
-
-    writer = (
-        current_status(events)
-        .writeStream.outputMode("update")
-        .foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint)
-    )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
+def streamed_status(spark: SparkSession, store: str) -> DataFrame:
+    """The latest status of every record, as :func:`current_status` gives it."""
+    changes = spark.read.parquet(store)
+    # events with equal times are told apart by the batch that brought the later one
+    last = F.max(F.struct("ts", "batch", "analysis_status")).alias("_last")
+    return changes.groupBy("record_id").agg(last).select("record_id", "_last.analysis_status", "_last.ts")
 
-def stream_tokens(events: DataFrame, store: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep tokens and the latest run start of every record.
 
-    Tokens are only appended, one folder per batch; what a batch changes is one number
-    per record. No task holds the text of a record.
-    """
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        tokens = batch.filter(F.col("status") == TOKEN).select("record_id", "seq", "status", "token_text")
-        tokens.write.mode("overwrite").parquet(f"{store}/tokens/batch={batch_id}")
-        starts = batch.filter(F.col("status") == RESET).select("record_id", "seq")
-        old = _before(spark, f"{store}/starts", batch_id)
-        known = starts if old is None else starts.unionByName(old)
-        write_version(
-            known.groupBy("record_id").agg(F.max("seq").alias("seq")), f"{store}/starts", version=batch_id + 1
-        )
-
-    writer = events.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+def stream_tokens(events: DataFrame, store: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep tokens and run starts of every record as they come. No task holds a text."""
+    kept = events.filter(F.col("status").isin(RESET, TOKEN)).select("record_id", "seq", "status", "token_text")
+    return _append(kept, "append", store, checkpoint, available_now)
 
 
-def streamed_text(spark: SparkSession, store: str) -> DataFrame:
+def streamed_text(spark: SparkSession, store: str, span: int = 1024) -> DataFrame:
     """Current text of every record, as :func:`assemble_token_stream` gives it."""
-    tokens = spark.read.parquet(f"{store}/tokens").drop("batch")
-    starts = read_version(spark, f"{store}/starts").select(
-        "record_id", "seq", F.lit(RESET).alias("status"), F.lit(None).cast("string").alias("token_text")
-    )
-    return assemble_token_stream(tokens.unionByName(starts))
+    return assemble_token_stream(spark.read.parquet(store).drop("batch"), span=span)

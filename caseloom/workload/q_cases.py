@@ -9,7 +9,7 @@ from ..functions.text import format_bytes
 from ..operators import cases as ca, responses as rs, status as st, texts as tx
 from ..session import scratch_path
 from ..sources import sinks
-from ..streaming.events import stream_status, stream_tokens, streamed_text
+from ..streaming.events import stream_status, stream_tokens, streamed_status, streamed_text
 from .q_text import TS
 from .registry import query
 from .sql import chunk_ctes, embed_ctes, trim
@@ -722,7 +722,7 @@ def d12_stream(spark: SparkSession, sf: str) -> DataFrame:
     events = rows.select(F.col("user_id").alias("record_id"), "ts", "event_id", status.alias("status"))
     store = scratch_path(spark, "status")
     stream_status(events, store, scratch_path(spark, "checkpoint")).awaitTermination()
-    return sinks.read_version(spark, store).select("record_id", "analysis_status")
+    return streamed_status(spark, store).select("record_id", "analysis_status")
 
 
 @query(

@@ -2,8 +2,7 @@
 from pyspark.sql import functions as F
 
 from caseloom.operators import status as st
-from caseloom.sources import sinks
-from caseloom.streaming.events import stream_status
+from caseloom.streaming.events import stream_status, streamed_status
 
 
 def records(spark):
@@ -88,7 +87,7 @@ def test_stream_of_events_ends_like_the_batch(spark, tmp_path):
         df.filter((F.col("event_id") >= low) & (F.col("event_id") < high)).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
     stream_status(stream, str(tmp_path / "store"), str(tmp_path / "checkpoint")).awaitTermination()
-    got = {tuple(r) for r in sinks.read_version(spark, str(tmp_path / "store")).collect()}
+    got = {tuple(r) for r in streamed_status(spark, str(tmp_path / "store")).collect()}
     assert got == {tuple(r) for r in st.current_status(df).collect()}
 
 
