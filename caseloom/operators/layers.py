@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import is_blank, ltrim_ws, rtrim_ws
-from .common import derived_id, join_many_to_one, joined_text, union_all
+from .common import derived_id, hot_keys, join_many_to_one, joined_text, union_all
 from .texts import replace_rows
 
 #: Page size assumed where none is known; boxes are scaled to it.
@@ -139,6 +139,7 @@ def redaction_score_of_pixels(pixels: DataFrame) -> DataFrame:
     Runs are found per line; lines meet their neighbours by sending their sum to
     both, so an image of any height is still aggregated map-side.
     """
+    hot = hot_keys(pixels, ["image_id"])
     line = Window.partitionBy("image_id", "y").orderBy("x")
     # dark pixels of one run share the difference of position and rank
     ranked = pixels.filter("dark").withColumn("run", F.col("x") - F.row_number().over(line))
@@ -146,7 +147,7 @@ def redaction_score_of_pixels(pixels: DataFrame) -> DataFrame:
         (F.max("x") + 1).cast("long").alias("width"), (F.max("y") + 1).cast("long").alias("height")
     )
     runs = ranked.groupBy("image_id", "y", "run").agg(F.count(F.lit(1)).alias("n"))
-    long_runs = join_many_to_one(runs, size, ["image_id"]).filter(F.col("n") > F.floor(F.col("width") / 8))
+    long_runs = join_many_to_one(runs, size, ["image_id"], hot=hot).filter(F.col("n") > F.floor(F.col("width") / 8))
     sums = long_runs.groupBy("image_id", "y").agg(F.sum("n").alias("own"))
     sent = F.explode(
         F.array(
@@ -161,7 +162,7 @@ def redaction_score_of_pixels(pixels: DataFrame) -> DataFrame:
         .agg(F.sum("m.own").alias("own"), F.sum("m.near").alias("near"))
         .filter((F.col("own") > 0) & (F.col("near") > 0))
     )
-    inner = join_many_to_one(met, size, ["image_id"]).filter((F.col("y") >= 1) & (F.col("y") <= F.col("height") - 2))
+    inner = join_many_to_one(met, size, ["image_id"], hot=hot).filter((F.col("y") >= 1) & (F.col("y") <= F.col("height") - 2))
     kept = inner.groupBy("image_id").agg(F.sum("own").alias("covered"))
     return size.join(kept, "image_id", "left").select(
         "image_id",

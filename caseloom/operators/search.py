@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.text import contains_pattern
 from ..functions.vectors import DISTANCE_DIGITS, cosine_distance, l2_distance
 from ..session import settled
-from .common import first_rows, join_many_to_one, join_one_to_many, union_all
+from .common import first_rows, hot_keys, join_many_to_one, join_one_to_many, union_all
 
 #: Results of a search, and fragments picked as context of a record.
 SEARCH_K, FRAGMENT_K = 20, 15
@@ -356,7 +356,9 @@ def fragment_search_by_record(
     stored = vectors.select(F.col("fragment_id").alias("id"), F.col("embedding").alias("v"))
     placed = fragments.select("id", "record_id").join(stored, "id")
     asked = queries.select("record_id", F.col("embedding").alias("q"))
-    pairs = join_many_to_one(placed, asked, ["record_id"], "inner", **salting)
+    sizes = {name: salting[name] for name in ("hot_rows", "small_bytes") if name in salting}
+    popular = hot_keys(fragments, ["record_id"], **sizes)
+    pairs = join_many_to_one(placed, asked, ["record_id"], "inner", **{**salting, "hot": popular})
     shown = cosine_distance(F.col("v"), F.col("q"))
     rank = shown if metric == "cosine" else l2_distance(F.col("v"), F.col("q"))
     ranked = pairs.select("record_id", "id", shown.alias("distance"), rank.alias("rank_distance"))

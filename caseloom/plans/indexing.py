@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import texts as tx
+from ..operators.common import SMALL_BYTES, estimated_bytes
+from ..session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -37,20 +39,29 @@ def run_index(
     ``texts`` is (record_id, text, error), one row per record at most, ``scores``
     an optional (record_id, score) of image redaction. A record without text, or
     with an error, becomes ``failed`` with the message; the others go on. Every result
-    starts from the same joined texts: with ``staging``, a path in the shared folder,
-    they are written there once and read by all results.
+    starts from the same joined texts and hits: with ``staging``, a path in the shared
+    folder, they are written there once and read by all results. Large inputs are
+    staged in any case.
     """
+    spark = texts.sparkSession
+    if staging is None:
+        size = estimated_bytes(texts)
+        staging = scratch_path(spark, "index") if size is not None and size >= SMALL_BYTES else None
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        if staging is None:
+            return df
+        df.write.mode("overwrite").parquet(f"{staging}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{staging}/{name}")
+
     targets = tx.select_targets(tables.records, stage).select(F.col("id").alias("record_id"), "title")
     got = targets.join(texts.select("record_id", "text", "error"), "record_id", "left")
     problem = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("text").isNull(), "no text extracted")
-    judged = got.withColumn("problem", problem)
-    if staging is not None:
-        judged.write.mode("overwrite").parquet(staging)
-        judged = judged.sparkSession.read.parquet(staging)
+    judged = staged(got.withColumn("problem", problem), "texts")
     docs = judged.filter(F.col("problem").isNull()).select("record_id", "title", "text")
     processed = docs.select("record_id")
 
-    hits = tx.extract_entities(docs, dictionary=dictionary)
+    hits = staged(tx.extract_entities(docs, dictionary=dictionary), "hits")
     entities = tx.upsert_entities(tables.entities, hits)
     links = tx.link_entities(tables.links, hits, entities, processed)
     chunks, vectors, search_documents = tx.index_chunks(docs, ts, dictionary, dims)

@@ -127,3 +127,14 @@ def test_entities_and_cases_with_hot_keys(spark):
     results = records.select(F.col("id").alias("record_id"), F.col("title").alias("ocr_text"))
     arguments = (cases, members, notes, records, links, results)
     same(ca.dossier_blocks(*arguments), ca.dossier_blocks(*arguments, **FORCE))
+
+
+def test_fragments_of_a_hot_record(spark):
+    n = F.col("id")
+    fragments = spark.range(0, 300, 1, 6).select(
+        n.cast("string").alias("id"), F.when(n % 3 == 0, "hot").otherwise(n.cast("string")).alias("record_id"), F.lit("t").alias("text")
+    )
+    vectors = fragments.select(F.col("id").alias("fragment_id"), F.array(F.col("id").cast("double"), F.lit(50.0)).alias("embedding"))
+    queries = fragments.select("record_id").distinct().withColumn("embedding", F.array(F.lit(1.0), F.lit(1.0)))
+    force = {**FORCE, "hot_rows": 30}
+    same(se.fragment_search_by_record(queries, fragments, vectors), se.fragment_search_by_record(queries, fragments, vectors, **force))

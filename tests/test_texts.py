@@ -144,12 +144,13 @@ def index_tables(spark):
     )
 
 
-def test_index_pass_replaces_and_survives_bad_records(spark):
+@pytest.mark.parametrize("staged", [False, True])
+def test_index_pass_replaces_and_survives_bad_records(spark, tmp_path, staged):
     texts = spark.createDataFrame(
         [("1", "NASA saw an orb", None), ("2", None, None), ("5", None, "cannot read")],
         "record_id string, text string, error string",
     )
-    out = run_index(index_tables(spark), texts, "now")
+    out = run_index(index_tables(spark), texts, "now", staging=str(tmp_path / "stage") if staged else None)
     status = {r.id: (r.analysis_status, r.analysis_error) for r in out.records.collect()}
     assert status == {
         "1": ("indexed", None),
