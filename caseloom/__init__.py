@@ -1,3 +1,11 @@
 """Evidence-corpus analytics expressed as Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with their tasks, so executors need
+# numpy, pandas and pyarrow, but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
