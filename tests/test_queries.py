@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest tables, and what their plans must not contain."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -8,7 +10,8 @@ from caseloom.workload.views import TABLES
 from check import rows_of
 from conftest import SF
 
-NAMES = sorted(entry.queries())
+#: the text operators have tests of their own
+NAMES = sorted(n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n))
 #: Python inside the plan is allowed only where the operator is one of these.
 PYTHON = {"s13", "x02", "x07", "x10", "v01", "v04", "l04"}
 
