@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import urls
+from . import neardup, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,8 @@ from piece p join term t using (page_id) left join hit h on h.page_id = p.page_i
 @query("op10_url_vocabulary", _URL_SQL)
 def op10_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+@query("op1_bagminhash_classes")
+def op1_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_digest")
