@@ -20,26 +20,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return settled(df, f"llm-{label}")
 
 
-def in_ranges(df: DataFrame, key: str, rows: int = 4096, name: str = "_range") -> DataFrame:
-    """Add the number of the key range a row lies in: ranges ascend with the key, NULL comes first.
+def range_bounds(df: DataFrame, key: str, rows: int = 4096) -> list:
+    """Ascending bounds that cut a column into ranges of about ``rows`` rows: one light job over that column.
 
-    The bounds are quantiles of the whole column, one for every ``rows`` rows, so a
-    window within a range stays small whatever the size of the table. One light job
-    reads the key column only; the bounds number rows / ``rows``, at most 10,000
-    (ranges then hold more rows, in proportion).
+    At most 10,000 ranges are made; beyond 10,000 x ``rows`` rows they hold more, in
+    proportion. Compute the bounds once and use them for all that must agree.
     """
     n = df.select(F.count(F.lit(1))).first()[0]
     parts = int(min(10_000, max(1, n // rows)))
     if parts == 1:
-        return df.withColumn(name, F.lit(0))
+        return []
     cuts = [i / parts for i in range(1, parts)]
-    bounds = df.select(F.percentile_approx(key, cuts, max(10_000, 4 * parts))).first()[0] or []
-    bounds = sorted(set(bounds))
+    return sorted(set(df.select(F.percentile_approx(key, cuts, max(10_000, 4 * parts))).first()[0] or []))
+
+
+def range_number(bounds: list, key: Column) -> Column:
+    """The number of the range a key lies in: numbers ascend with the key, NULL comes first.
+
+    A window within a range stays small whatever the size of the table.
+    """
     if not bounds:
-        return df.withColumn(name, F.lit(0))
-    # bisect over a literal array, all in the JVM: width_bucket takes sorted bounds
-    spots = F.array(*[F.lit(b) for b in bounds])
-    return df.withColumn(name, _bisect(spots, F.col(key), len(bounds)))
+        return F.lit(0)
+    return _bisect(F.array(*[F.lit(b) for b in bounds]), key, len(bounds))
 
 
 def _bisect(spots: Column, key: Column, n: int) -> Column:
@@ -61,7 +63,7 @@ def _bisect(spots: Column, key: Column, n: int) -> Column:
 def running_starts(totals: DataFrame, order: str, amount: str, out: str) -> DataFrame:
     """Sum of ``amount`` over the rows before, in ``order``.
 
-    For tables of one row per key range: :func:`in_ranges` bounds their number.
+    For tables of one row per key range: :func:`range_bounds` bounds their number.
     """
     window = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn(out, F.coalesce(F.sum(amount).over(window), F.lit(0)))

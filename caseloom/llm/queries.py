@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import neardup, urls
+from . import neardup, tokenfile, urls
 from .common import table
 
+#: Vocabulary of the registered token queries; the operators take any path.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -64,3 +68,8 @@ def op10_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_bagminhash_classes")
 def op1_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_digest")
+
+
+@query("op7_token_codes")
+def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_table(table(spark, sf_dir, "documents"), TOKENIZER).drop("shard")
