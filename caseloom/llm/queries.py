@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import neardup, tokenfile, urls
+from . import mixing, neardup, tokenfile, urls
 from .common import table
 
 #: Vocabulary of the registered token queries; the operators take any path.
@@ -73,3 +73,8 @@ def op1_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_codes")
 def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_table(table(spark, sf_dir, "documents"), TOKENIZER).drop("shard")
+
+
+@query("op2_water_filling")
+def op2_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents"))
