@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, neardup, tokenfile, urls
+from . import langid, mixing, neardup, tokenfile, urls
 from .common import table
 
 #: Vocabulary of the registered token queries; the operators take any path.
@@ -78,3 +78,12 @@ def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_water_filling")
 def op2_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
+
+
+@query("op3_compression_language")
+def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.fold_of(F.col("doc_id")) == 0
+    model = langid.fit_languages(docs.filter(~held_out))
+    found = langid.identify(docs.select("doc_id", "text"), model).drop("text")
+    return found.withColumn("held_out", held_out)
