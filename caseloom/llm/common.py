@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from caseloom.session import settled
@@ -93,7 +94,7 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def by_size(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each, one row at least."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     start = 0
     ends = np.cumsum(lengths)
     while start < len(lengths):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, neardup, tokenfile, urls
+from . import decontaminate, langid, mixing, neardup, tokenfile, urls
 from .common import table
 
 #: Vocabulary of the registered token queries; the operators take any path.
@@ -87,3 +87,8 @@ def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit_languages(docs.filter(~held_out))
     found = langid.identify(docs.select("doc_id", "text"), model).drop("text")
     return found.withColumn("held_out", held_out)
+
+
+@query("op9_contained_items")
+def op9_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
