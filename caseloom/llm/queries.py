@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, mixing, neardup, tokenfile, urls
+from . import bloomsketch, decontaminate, langid, mixing, neardup, personal, tokenfile, urls
 from .common import table
 
 #: Vocabulary of the registered token queries; the operators take any path.
@@ -92,3 +92,21 @@ def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_contained_items")
 def op9_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_personal_spans")
+def op5_personal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["is_base"])
+    return found.select(
+        "doc_id",
+        *[F.size(personal.of_kind(F.col("spans"), k, base_only=True)).cast("long").alias(f"n_{k}") for k in personal.KINDS],
+        F.sha2(personal.joined_spans(base), 256).alias("base_sha256"),
+        personal.joined_spans(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op8_paragraph_sketches")
+def op8_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bloomsketch.fingerprints(table(spark, sf_dir, "documents"))
+    return found.drop("added", "removed")
