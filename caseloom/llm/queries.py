@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bloomsketch, decontaminate, langid, mixing, neardup, personal, tokenfile, urls
+from . import bloomsketch, chat, decontaminate, langid, mixing, neardup, personal, tokenfile, urls
 from .common import table
 
 #: Vocabulary of the registered token queries; the operators take any path.
@@ -110,3 +110,8 @@ def op5_personal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bloomsketch.fingerprints(table(spark, sf_dir, "documents"))
     return found.drop("added", "removed")
+
+
+@query("op4_role_repair")
+def op4_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
