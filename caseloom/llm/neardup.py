@@ -126,33 +126,59 @@ def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFram
     return full.filter(shared >= F.lit(similarity) * (F.size("_ga") + F.size("_gb") - shared)).select("_a", "_b")
 
 
-def _cross(left_over: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Plausible pairs of different components within buckets (_key, _node, _comp).
+def _cross(left_over: DataFrame, nodes: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Links between different components within buckets (_key, _node, _comp), enough of them to join all that are linked.
 
-    A bucket is cut into blocks of about 512 nodes; every two blocks meet in a task of
-    their own, where registers are compared, so the size of a bucket bounds neither
-    memory nor the result: only pairs that agree often enough are returned.
+    A bucket is cut into blocks of about 512 nodes, and every two blocks meet in a task
+    of their own; so the size of a bucket bounds neither memory nor the result, and
+    only links leave the task. A pair is checked in the first bucket it shares: by
+    registers, then exactly, unless the block has joined its components already.
     """
     sizes = left_over.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("_n"))
     rows = left_over.join(sizes, "_key").withColumn("_i", F.pmod(F.xxhash64("_node"), F.col("_n")).cast("int"))
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.select("_key", "_node", "_comp", "_i", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"))
-    rows = rows.join(nodes.select("_node", "_regs"), "_node")
+    rows = rows.join(nodes.select("_node", "_regs", "_bands"), "_node").join(grams, "_node")
 
     def compare(group: pa.Table) -> pa.Table:
-        regs = np.frombuffer(b"".join(group.column("_regs").to_pylist()), "<u2").reshape(group.num_rows, -1)
-        node, comp, block = (group.column(c).to_numpy() for c in ("_node", "_comp", "_i"))
-        one_block = group.column("_lo")[0] == group.column("_hi")[0]
+        n = group.num_rows
+        regs = np.frombuffer(b"".join(group.column("_regs").to_pylist()), "<u2").reshape(n, -1)
+        node, comp, block = (group.column(c).to_numpy().copy() for c in ("_node", "_comp", "_i"))
+        key, low, high = (group.column(c)[0].as_py() for c in ("_key", "_lo", "_hi"))
+        bands = np.concatenate(group.column("_bands").combine_chunks().to_numpy(zero_copy_only=False)).reshape(n, -1)
+        lists = group.column("_grams").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = pa.concat_arrays(lists.chunks)
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.values.to_numpy()
         one, other = [], []
-        for i in range(group.num_rows):
-            far = comp > comp[i] if one_block else (comp > comp[i]) & (block != block[i])
-            at = np.flatnonzero(far)
+        for i in np.flatnonzero(block == low):
+            others = np.arange(n) > i if low == high else block == high
+            at = np.flatnonzero(others & (comp != comp[i]))
             at = at[(regs[at] == regs[i]).mean(axis=1) >= LEAST_AGREE]
-            one.append(np.full(len(at), node[i]))
-            other.append(node[at])
-        return pa.table({"_a": np.concatenate(one), "_b": np.concatenate(other)})
-
-    return rows.groupBy("_key", "_lo", "_hi").applyInArrow(compare, "_a long, _b long").distinct()
+            at = at[bands[i][(bands[at] == bands[i]).argmax(axis=1)] == key]
+            if not len(at):
+                continue
+            own = np.sort(flat[ends[i] : ends[i + 1]])
+            size = ends[at + 1] - ends[at]
+            every = flat[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - ends[at], size)]
+            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+            for j in at[shared >= similarity * (len(own) + size - shared)]:
+                if comp[j] != comp[i]:
+                    comp[comp == comp[j]] = comp[i]
+                    one.append(node[i])
+                    other.append(node[j])
+        return pa.table({"_a": pa.array(one, pa.int64()), "_b": pa.array(other, pa.int64())})
+
+    return rows.groupBy("_key", "_lo", "_hi").applyInArrow(compare, "_a long, _b long")
+
+
+def _labelled(rows: DataFrame, node: str, root: DataFrame) -> DataFrame:
+    """Add the component of column ``node``, itself where it has no links, as ``<node>r``."""
+    label = node + "r"
+    named = root.select(F.col("_node").alias(node), F.col("_root").alias(label))
+    return rows.join(named, node, "left").withColumn(label, F.coalesce(label, node))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -203,26 +229,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # first each node against the smallest node it met, then all that is not yet joined
     nearest = pairs.groupBy("_a").agg(F.min("_b").alias("_b"))
     edges = stored(_verified(nearest, grams, similarity), "edges")
-    for again in (False, True):
-        root = components(edges)
-        comp = lambda df, c: (
-            df.join(root.select(F.col("_node").alias(c), F.col("_root").alias(c + "r")), c, "left")
-            .withColumn(c + "r", F.coalesce(c + "r", c))
-        )
-        if again:
-            whole = comp(members.select("_key", "_node"), "_node").withColumnRenamed("_noder", "_comp")
-            mixed = whole.groupBy("_key").agg(F.min("_comp").alias("_l"), F.max("_comp").alias("_h")).filter("_l < _h")
-            rest = _cross(whole.join(mixed.select("_key"), "_key", "left_semi"), nodes)
-        else:
-            rest = comp(comp(pairs, "_a"), "_b").filter("_ar <> _br").select("_a", "_b")
-            regs = nodes.select("_node", "_regs")
-            rest = (
-                rest.join(regs.select(F.col("_node").alias("_a"), F.col("_regs").alias("_ra")), "_a")
-                .join(regs.select(F.col("_node").alias("_b"), F.col("_regs").alias("_rb")), "_b")
-                .mapInArrow(_agreeing, "_a long, _b long")
-            )
-        rest = stored(rest, "rest")
-        edges = stored(edges.unionByName(_verified(rest, grams, similarity)), "edges")
+    root = components(edges)
+    apart = _labelled(_labelled(pairs, "_a", root), "_b", root).filter("_ar <> _br").select("_a", "_b")
+    regs = nodes.select("_node", "_regs")
+    rest = (
+        apart.join(regs.select(F.col("_node").alias("_a"), F.col("_regs").alias("_ra")), "_a")
+        .join(regs.select(F.col("_node").alias("_b"), F.col("_regs").alias("_rb")), "_b")
+        .mapInArrow(_agreeing, "_a long, _b long")
+    )
+    edges = stored(edges.unionByName(_verified(stored(rest, "rest"), grams, similarity)), "edges")
+    whole = _labelled(members.select("_key", "_node"), "_node", components(edges)).withColumnRenamed("_noder", "_comp")
+    mixed = whole.groupBy("_key").agg(F.min("_comp").alias("_l"), F.max("_comp").alias("_h")).filter("_l < _h")
+    left_over = stored(whole.join(mixed.select("_key"), "_key", "left_semi"), "left")
+    edges = stored(edges.unionByName(_cross(left_over, nodes, grams, similarity)), "edges")
     root = components(edges)
     classed = nodes.select("_node", "_digest", "_doc").join(root, "_node", "left")
     classed = classed.select("_digest", F.coalesce("_root", "_node").alias("_root"), "_doc")
