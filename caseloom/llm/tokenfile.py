@@ -39,9 +39,9 @@ BITS = 8
 SPAN = 512
 #: Id that ends every document.
 END = 2
-_BYTES = 8 << 20
-#: Distinct pieces whose ids a worker remembers, about 200 bytes each; beyond it starts anew.
-_REMEMBER = 1_000_000
+_BYTES = 3 << 20
+#: Distinct pieces whose ids a worker remembers, about 300 bytes each; beyond it starts anew.
+_REMEMBER = 400_000
 
 
 # ---- the code ---------------------------------------------------------------------
@@ -176,7 +176,8 @@ class PieceTokenizer:
         at = place[coded.indices.to_numpy(zero_copy_only=False)]
         size = self.ends[at + 1] - self.ends[at]
         each = np.bincount(owner, size, n).astype(np.int64) if len(owner) else np.zeros(n, np.int64)
-        source = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - self.ends[at], size)
+        source = np.arange(size.sum())
+        source -= np.repeat(np.cumsum(size) - size - self.ends[at], size)
         ids = self.ids[source]
         for i in self._with_special(texts):
             whole = np.asarray(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
