@@ -17,6 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
+from .weak import estimate
 
 KINDS = ("email", "ip", "card", "phone")
 #: Spans of base patterns: fixed values. Groups are possessive, so a long run of digits
@@ -180,40 +181,6 @@ def _candidates(text: Column, base: Column) -> Column:
 # ---- the model: sums over small tables, on the driver -------------------------------
 
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> dict[tuple[int, ...], float]:
-    """Posterior probability of each combination of votes, by expectation-maximisation.
-
-    Labelers err independently given the truth; for each the chance of every vote is
-    estimated for both truths, starting from a majority vote.
-    """
-    after = {}
-    for votes in patterns:
-        lead = sum(votes)
-        after[votes] = 0.9 if lead > 0 else 0.1 if lead < 0 else 0.3
-    for _ in range(rounds):
-        weight = {True: 1.0, False: 1.0}
-        seen = {}
-        for votes, n in patterns.items():
-            for truth, share in ((True, after[votes]), (False, 1 - after[votes])):
-                weight[truth] += n * share
-                for j, v in enumerate(votes):
-                    seen[truth, j, v] = seen.get((truth, j, v), 0.0) + n * share
-        new = {}
-        for votes in patterns:
-            odds = math.log(weight[True] / weight[False])
-            for j, v in enumerate(votes):
-                # one observation of each right vote, a tenth of each wrong one, keeps labels the right way up
-                up, down = (1.0, 0.1) if v > 0 else (0.1, 1.0) if v < 0 else (1.0, 1.0)
-                odds += math.log((seen.get((True, j, v), 0) + up) / (weight[True] + 2.1))
-                odds -= math.log((seen.get((False, j, v), 0) + down) / (weight[False] + 2.1))
-            new[votes] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        moved = max((abs(new[v] - after[v]) for v in patterns), default=0.0)
-        after = new
-        if moved < 1e-9:
-            break
-    return after
-
-
 def _votes_key(votes: Column) -> Column:
     """The votes as one number in base 3."""
     return F.aggregate(votes, F.lit(0), lambda key, v: key * 3 + v + 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bloomsketch, chat, decontaminate, langid, mixing, neardup, personal, tokenfile, urls
+from . import bloomsketch, chat, decontaminate, langid, mixing, neardup, personal, quality, tokenfile, urls
 from .common import table
 
 #: Vocabulary of the registered token queries; the operators take any path.
@@ -115,3 +115,9 @@ def op8_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_role_repair")
 def op4_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op6_weak_quality")
+def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(docs, quality.fit_quality(docs)).drop("text")

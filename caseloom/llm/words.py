@@ -50,9 +50,20 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _hash_block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _mark_values() -> np.ndarray:
+    values = mix(np.arange(1001, 1257, dtype=np.uint64) * _STEP)
+    values[_VALUES != 0] = 0
+    values[:33] = values[127] = 0
+    return values
+
+
+#: For :func:`word_hashes`: runs of ASCII punctuation instead of words.
+MARKS = _mark_values()
+
+
+def _hash_block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and start offsets of the words in ``data``; a word never spans a break."""
-    values = _VALUES[data]
+    values = table[data]
     inside = values != 0
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -70,16 +81,16 @@ def _hash_block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix((after - before) * down[starts]), starts
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, table: np.ndarray = _VALUES) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and for every text where its words begin (one entry more than texts)."""
     data, offsets = byte_view(texts)
     hashes, starts, at = [], [], 0
     while at < len(data):
         end = min(len(data), at + _BLOCK)
-        while end < len(data) and _VALUES[data[end]] and _VALUES[data[end - 1]]:
+        while end < len(data) and table[data[end]] and table[data[end - 1]]:
             end += 1  # a block ends between words
         low, high = np.searchsorted(offsets, at), np.searchsorted(offsets, end, side="right")
-        found, where = _hash_block(data[at:end], offsets[low:high] - at)
+        found, where = _hash_block(data[at:end], offsets[low:high] - at, table)
         hashes.append(found)
         starts.append(where + at)
         at = end
