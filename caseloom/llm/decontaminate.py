@@ -212,18 +212,22 @@ def drop_contaminated(
     for block in _item_passes(items.dropDuplicates([item_id, item_text]), item_id, item_text):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
-        def clean(batches: Iterator[pa.Array], held=held) -> Iterator[pa.Array]:
-            index = held.value
-            for texts in batches:
-                flags = []
-                for batch in by_size(pa.record_batch([texts], names=["_text"]), "_text", _BYTES):
-                    shingles, begins = shingle_hashes(*word_hashes(batch.column(0)))
-                    pairs = index.candidates(shingles, begins)
-                    dirty = np.zeros(batch.num_rows, bool)
-                    dirty[pairs[index.verified(shingles, begins, pairs) >= containment, 0]] = True
-                    flags.append(~dirty)
-                yield pa.array(np.concatenate(flags) if flags else np.zeros(0, bool))
-
-        clean.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        kept = kept.filter(F.arrow_udf(clean, "boolean")(F.lower(F.col(text))))
+        kept = kept.filter(F.arrow_udf(_cleaner(held, containment), "boolean")(F.lower(F.col(text))))
     return kept
+
+
+def _cleaner(held, containment: float):
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = held.value
+        for texts in batches:
+            flags = []
+            for batch in by_size(pa.record_batch([texts], names=["_text"]), "_text", _BYTES):
+                shingles, begins = shingle_hashes(*word_hashes(batch.column(0)))
+                pairs = index.candidates(shingles, begins)
+                dirty = np.zeros(batch.num_rows, bool)
+                dirty[pairs[index.verified(shingles, begins, pairs) >= containment, 0]] = True
+                flags.append(~dirty)
+            yield pa.array(np.concatenate(flags) if flags else np.zeros(0, bool))
+
+    clean.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return clean

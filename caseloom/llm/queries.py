@@ -121,3 +121,10 @@ def op4_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score_quality(docs, quality.fit_quality(docs)).drop("text")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
