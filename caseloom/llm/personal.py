@@ -142,17 +142,18 @@ def _candidates(text: Column, base: Column) -> Column:
         lead = F.length(m["found"]) - F.length(F.regexp_replace(m["found"], r"^[(\[\"'<]+", ""))
         start = m["start"] + lead
         known = F.struct(
-            found.alias("found"), start.alias("start"), (start + F.length(found)).alias("end"),
-            F.length(digits_of(found)).alias("digits"), F.lower(F.right(m["before"], F.lit(32))).alias("near"),
+            # what is longer than 128 characters is judged by its beginning, and never like any kind
+            F.left(found, F.lit(128)).alias("found"), start.alias("start"), (start + F.length(found)).alias("end"),
+            F.length(digits_of(F.left(found, F.lit(128)))).alias("digits"), F.lower(F.right(m["before"], F.lit(32))).alias("near"),
         )
         return let(known, judge)
 
     def judge(m: Column) -> Column:
         found, start, end, digits, near = (m[c] for c in ("found", "start", "end", "digits", "near"))
         covered = F.exists(base, lambda b: (b["start"] < end) & (b["end"] > start))
-        mail = found.rlike(r"^[^\s@]+@[^\s@]+$")
+        mail = (F.length(found) < 128) & found.rlike(r"^[^\s@]+@[^\s@]+$")
         phone = found.rlike(r"^\+?[(]?[0-9][0-9\x20().+/-]*[0-9]$") & digits.between(9, 15)
-        card = found.rlike(r"^[0-9](?:[\x20-]?[0-9])*$") & digits.between(13, 19)
+        card = found.rlike(r"^[0-9](?:[\x20-]?[0-9])*+$") & digits.between(13, 19)
         quad = found.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
         vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
         votes = F.array(
