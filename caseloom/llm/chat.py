@@ -36,11 +36,12 @@ _FAR = 1e18
 
 @dataclass(frozen=True)
 class Costs:
-    """Cost of each repair of a turn, and of an empty turn put in before it."""
+    """Cost of merging a turn, of another role (less if it had none, more for system), and of an empty turn before it."""
 
     merge: float = 1.0
     relabel: float = 3.0
     unknown: float = 0.5
+    system: float = 0.25
     insert: float = 2.0
 
 
@@ -74,6 +75,7 @@ def _choices(role: str | None, costs: Costs) -> list[tuple[int, int, float, str,
             fill = FILLS.get((state, target))
             if fill is not None:
                 change = 0.0 if target == role else costs.relabel if known else costs.unknown
+                change += costs.system if target == "system" != role else 0.0
                 out.append((state, AFTER[target], change + costs.insert * len(fill), "keep" if target == role else "relabel", target))
     return out
 
@@ -122,7 +124,7 @@ def _segment_matrix(costs: Costs):
 def best_states(matrices: list[np.ndarray], start: int = START, end: int | None = None) -> list[int]:
     """States before, between and after consecutive steps on the cheapest path; ties go to the smaller state.
 
-    Without ``end`` any state but the one after a system turn may be the last, unless nothing else can be.
+    Without ``end`` any state may be the last.
     """
     cost = np.full(4, _FAR)
     cost[start] = 0.0

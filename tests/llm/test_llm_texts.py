@@ -274,6 +274,7 @@ def test_repairs_are_legal_and_cheapest(spark, monkeypatch):
         for r in sorted(by[i], key=lambda r: r.turn):
             known = chat._known(roles[r.turn])
             change = 0.0 if r.role == known else costs.relabel if known else costs.unknown
+            change += costs.system if r.action == "relabel" and r.role == "system" else 0.0
             spent += change + costs.insert * len(r.inserted) + (costs.merge if r.action == "merge" else 0)
         assert np.isclose(spent, plain_cost(roles, costs))
         whole = "".join(r.rendered for r in sorted(by[i], key=lambda r: r.turn))
