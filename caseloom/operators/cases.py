@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_blank, trim_ws
-from .common import derived_id, first_row, hot_keys, join_many_to_one, union_all
+from .common import derived_id, first_row, join_many_to_one, union_all
 
 EXCERPT_CHARS = 1600
 
@@ -14,10 +14,6 @@ def _known(df: DataFrame, column: str, kind: str = "string") -> Column:
     return F.col(column) if column in df.columns else F.lit(None).cast(kind)
 
 
-def _sizes(salting: dict) -> dict:
-    return {k: v for k, v in salting.items() if k in ("hot_rows", "small_bytes")}
-
-
 def case_summary(cases: DataFrame, members: DataFrame, notes: DataFrame) -> DataFrame:
     """Cases with their numbers of records and notes, newest first.
 
@@ -37,21 +33,21 @@ def _when(df: DataFrame) -> Column:
     return F.coalesce(_known(df, "incident_date"), _known(df, "release_date"), F.col("created_at"))
 
 
-def timeline_rows(members: DataFrame, records: DataFrame, **salting) -> DataFrame:
+def timeline_rows(members: DataFrame, records: DataFrame) -> DataFrame:
     """Member records with case_id, the membership note and ``occurred``, the date they are ordered by."""
     notes = _known(members, "notes")
     placed = members.select("case_id", F.col("record_id").alias("id"), notes.alias("case_record_notes"))
     dated = records.withColumn("occurred", _when(records))
-    return join_many_to_one(placed, dated, ["id"], "inner", **salting)
+    return join_many_to_one(placed, dated, ["id"], "inner")
 
 
-def case_timeline(members: DataFrame, records: DataFrame, **salting) -> DataFrame:
+def case_timeline(members: DataFrame, records: DataFrame) -> DataFrame:
     """The records of every case in the order of their dates (as text, NULL first)."""
-    return timeline_rows(members, records, **salting).orderBy("case_id", "occurred", "id")
+    return timeline_rows(members, records).orderBy("case_id", "occurred", "id")
 
 
 def add_members(
-    members: DataFrame, requests: DataFrame, cases: DataFrame, records: DataFrame, **salting
+    members: DataFrame, requests: DataFrame, cases: DataFrame, records: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Memberships after (case_id, record_id, notes, ordinal) requests, and the rejected ones.
 
@@ -60,9 +56,8 @@ def add_members(
     """
     by_case = cases.select(F.col("id").alias("case_id"), F.lit(True).alias("_case"))
     by_record = records.select(F.col("id").alias("record_id"), F.lit(True).alias("_record"))
-    popular = hot_keys(requests, ["record_id"], **_sizes(salting))
-    judged = join_many_to_one(requests, by_case, ["case_id"], "left", **salting)
-    judged = join_many_to_one(judged, by_record, ["record_id"], "left", **{**salting, "hot": popular}).withColumn(
+    judged = join_many_to_one(requests, by_case, ["case_id"], "left")
+    judged = join_many_to_one(judged, by_record, ["record_id"], "left").withColumn(
         "reason",
         F.when(F.col("_case").isNull(), F.concat(F.lit("case not found: "), F.col("case_id"))).when(
             F.col("_record").isNull(), F.concat(F.lit("record not found: "), F.col("record_id"))
@@ -92,11 +87,11 @@ def create_cases(requests: DataFrame, ts: str) -> tuple[DataFrame, DataFrame]:
 
 
 def append_notes(
-    notes: DataFrame, requests: DataFrame, cases: DataFrame, ts: str, **salting
+    notes: DataFrame, requests: DataFrame, cases: DataFrame, ts: str
 ) -> tuple[DataFrame, DataFrame]:
     """Notes after (request_id, case_id, record_id, body) requests, and the rejected ones."""
     by_case = cases.select(F.col("id").alias("case_id"), F.lit(True).alias("_case"))
-    judged = join_many_to_one(requests, by_case, ["case_id"], "left", **salting).withColumn(
+    judged = join_many_to_one(requests, by_case, ["case_id"], "left").withColumn(
         "reason",
         F.when(F.col("_case").isNull(), F.concat(F.lit("case not found: "), F.col("case_id"))).when(
             is_blank("body"), "note body is required"
@@ -194,7 +189,6 @@ def dossier_blocks(
     records: DataFrame,
     links: DataFrame,
     results: DataFrame,
-    **salting,
 ) -> DataFrame:
     """The Markdown dossier of every case as blocks, whole once sorted by :data:`BLOCK_ORDER`.
 
@@ -202,15 +196,14 @@ def dossier_blocks(
     ocr_text). The text of a record is put together once, however many cases it is
     in. No task gathers a case: a case of any size is a sorted range of rows.
     """
-    by_record = {**salting, "hot": hot_keys(members, ["record_id"], **_sizes(salting))}
     known_cases = cases.select(F.col("id").alias("case_id"))
-    members = join_many_to_one(members, known_cases, ["case_id"], "left_semi", **salting)
-    notes = join_many_to_one(notes, known_cases, ["case_id"], "left_semi", **salting)
+    members = join_many_to_one(members, known_cases, ["case_id"], "left_semi")
+    notes = join_many_to_one(notes, known_cases, ["case_id"], "left_semi")
     places = members.select("case_id", F.col("record_id").alias("id"), _known(members, "notes").alias("_note"))
 
     # per membership: the record's facts with the note, its entity heading, its excerpt
     pieces = _record_pieces(records, links, results)
-    evidence = join_many_to_one(places, pieces, ["id"], "inner", **by_record)
+    evidence = join_many_to_one(places, pieces, ["id"], "inner")
     entry = F.concat("_facts", _optional_fact("Case Notes", "_note"), "_summary")
     parts = F.array(
         F.struct(F.lit(0).alias("part"), entry.alias("block")),
@@ -233,7 +226,7 @@ def dossier_blocks(
     # per membership and entity: many to many, where AQE splits skew on either side
     dated = records.select("id", _when(records).alias("occurred"))
     named = links.select(F.col("record_id").alias("id"), "name", "entity_type", "confidence")
-    dated_places = join_many_to_one(places.select("case_id", "id"), dated, ["id"], "inner", **by_record)
+    dated_places = join_many_to_one(places.select("case_id", "id"), dated, ["id"], "inner")
     entity = F.concat(
         F.lit("- "),
         F.col("entity_type"),
@@ -247,7 +240,7 @@ def dossier_blocks(
     entity_blocks = _block(dated_places.join(named, "id"), 1, 2, entity, **at)
 
     n_records = (
-        join_many_to_one(places.select("case_id", "id"), records.select("id"), ["id"], "left_semi", **by_record)
+        join_many_to_one(places.select("case_id", "id"), records.select("id"), ["id"], "left_semi")
         .groupBy("case_id")
         .agg(F.count(F.lit(1)).alias("n_records"))
     )

@@ -7,89 +7,26 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: A key counts as hot from this many rows on.
-HOT_ROWS = 1_000_000
-#: Hot keys tracked at most: bounds the list that becomes part of the plan.
-HOT_KEYS = 1_000
-#: Tasks a hot key is spread over.
-SALTS = 64
-#: Tables estimated below this size are joined as they are; AQE deals with them.
-SMALL_BYTES = 256 * 1024 * 1024
-
-
-def key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(k) for k in keys])
 
+def join_many_to_one(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table that may pile up on few keys with one that is unique on them.
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate, None where the session does not tell."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except AttributeError:
-        return None
+    ``how`` is inner, left, left_semi or left_anti, ``many`` being the left side. It is
+    then the side whose large partitions adaptive execution splits at run time, by their
+    measured size, also where that costs another shuffle (see the session settings).
+    NULL keys match nothing.
+    """
+    return many.join(one, list(keys), how)
 
 
-def hot_keys(many: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, small_bytes: int = SMALL_BYTES) -> list[int]:
-    """Hashes of the keys that hold ``hot_rows`` rows or more, :data:`HOT_KEYS` at most.
+def join_one_to_many(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join whose right side may pile up on few keys: the matches, then the unmatched rows.
 
-    Runs one light job: only the keys are read, and a frequent-items sketch per task
-    is all that is shuffled. The list is fixed from then on, so both sides of a join
-    agree on it; a key it misses is joined less evenly, never wrongly.
-    """
-    size = estimated_bytes(many)
-    if size is not None and size < small_bytes:
-        return []
-    sketch = many.select(key_hash(keys).alias("k")).agg(
-        F.expr(f"approx_top_k(k, {HOT_KEYS}, {HOT_KEYS * 10})").alias("top")
-    )
-    found = sketch.select(F.explode("top").alias("t")).filter(F.col("t.count") >= hot_rows)
-    return sorted(row[0] for row in found.select("t.item").limit(HOT_KEYS).collect())
-
-
-def join_many_to_one(
-    many: DataFrame,
-    one: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    hot: list[int] | None = None,
-    hot_rows: int = HOT_ROWS,
-    small_bytes: int = SMALL_BYTES,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join a table that may pile up on few keys with one that is unique on them.
-
-    Rows of a hot key are spread by the map task they come from (stable under
-    retries, and it also splits identical copies); only the matching rows of
-    ``one`` are repeated, once per salt. All other keys join as usual, and without
-    hot keys this is a plain join. ``how`` is inner, left, left_semi or left_anti,
-    ``many`` being the left side. Where ``many`` is derived, pass the ``hot`` keys of
-    its base table, so that nothing is computed twice.
-    """
-    keys = list(keys)
-    if hot is None:
-        hot = hot_keys(many, keys, hot_rows, small_bytes)
-    if not hot:
-        return many.join(one, keys, how)
-    is_hot = key_hash(keys).isin(hot)
-    task = F.pmod(F.spark_partition_id(), F.lit(salts))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    spread = many.withColumn("_salt", F.when(is_hot, task).otherwise(F.lit(0)))
-    repeated = one.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
-
-
-def join_one_to_many(one: DataFrame, many: DataFrame, keys: Sequence[str], **salting) -> DataFrame:
-    """Left join whose right side may pile up on few keys.
-
-    Without hot keys a plain left join; with them the matches plus the unmatched rows.
+    The right side of a left join is never split; as an inner join and an anti join with
+    the distinct keys it can be, whatever its size.
     """
     keys = list(keys)
-    hot = salting.pop("hot", None)
-    if hot is None:
-        hot = hot_keys(many, keys, salting.get("hot_rows", HOT_ROWS), salting.get("small_bytes", SMALL_BYTES))
-    if not hot:
-        return one.join(many, keys, "left")
-    matched = join_many_to_one(many, one, keys, "inner", hot, **salting)
+    matched = join_many_to_one(many, one, keys)
     present = many.select(*keys).distinct()
     return matched.unionByName(one.join(present, keys, "left_anti"), allowMissingColumns=True)
 
@@ -132,6 +69,16 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def derived_id(kind: str, *cols: Column | str) -> Column:
-    """Repeatable identifier from natural keys."""
-    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]
-    return F.sha2(F.concat_ws("|", F.lit(kind), *parts), 256)
+    """Repeatable identifier from natural keys: SHA-256 of their texts, separated by bars.
+
+    Bars and backslashes in a text are escaped, NULL is a backslash and an N; so different
+    keys never give the same text.
+    """
+    slash, bar = F.lit("\\"), F.lit("|")
+
+    def part(c: Column | str) -> Column:
+        text = (F.col(c) if isinstance(c, str) else c).cast("string")
+        escaped = F.replace(F.replace(text, slash, F.lit("\\\\")), bar, F.lit("\\|"))
+        return F.coalesce(escaped, F.lit("\\N"))
+
+    return F.sha2(F.concat_ws("|", F.lit(kind), *[part(c) for c in cols]), 256)

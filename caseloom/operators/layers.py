@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import is_blank, ltrim_ws, rtrim_ws
-from .common import derived_id, hot_keys, join_many_to_one, joined_text, union_all
+from .common import derived_id, join_many_to_one, joined_text, union_all
 from .texts import replace_rows
 
 #: Page size assumed where none is known; boxes are scaled to it.
@@ -17,7 +17,7 @@ PAGE_WIDTH, PAGE_HEIGHT = 1000.0, 1414.0
 LAYER_CONFIDENCE = {"improper_redaction": 0.9, "hidden_text": 0.7, "metadata_leak": 1.0}
 
 
-def box_layers(ops: DataFrame, pages: DataFrame | None = None, **salting) -> DataFrame:
+def box_layers(ops: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Filled rectangles that may cover text.
 
     ``ops`` is (record_id, page, seq, op, x, y, w, h); ``pages`` optionally gives
@@ -30,7 +30,7 @@ def box_layers(ops: DataFrame, pages: DataFrame | None = None, **salting) -> Dat
     if pages is None:
         sized = boxes.withColumn("page_width", F.lit(PAGE_WIDTH)).withColumn("page_height", F.lit(PAGE_HEIGHT))
     else:
-        sized = join_many_to_one(boxes, pages, ["record_id", "page"], "left", **salting).fillna(
+        sized = join_many_to_one(boxes, pages, ["record_id", "page"], "left").fillna(
             {"page_width": PAGE_WIDTH, "page_height": PAGE_HEIGHT}
         )
     pw, ph = F.col("page_width"), F.col("page_height")
@@ -52,14 +52,15 @@ def box_layers(ops: DataFrame, pages: DataFrame | None = None, **salting) -> Dat
     )
 
 
-def text_layers(ops: DataFrame, span: int = 1024, **salting) -> DataFrame:
+def text_layers(ops: DataFrame, span: int = 1024) -> DataFrame:
     """Text drawn on a page, in order, as numbered parts; 5 bytes or less do not count.
 
-    ``ops`` is (record_id, page, seq, op, text). The outer white space of the page's
+    ``ops`` is (record_id, page, seq, op, text) and, where a page has several content
+    streams, their ``stream``: each is a layer of its own. The outer white space of a
     text is cut at its first and last non-blank piece, which a plain aggregate finds,
     so that even a page with very many pieces is assembled by many tasks.
     """
-    keys = ["record_id", "page"]
+    keys = ["record_id", "page", *(["stream"] if "stream" in ops.columns else [])]
     drawn = ops.filter(F.col("op").isin("Tj", "TJ")).select(*keys, "seq", F.coalesce("text", F.lit("")).alias("text"))
     solid = ~is_blank("text")
     extent = (
@@ -71,7 +72,7 @@ def text_layers(ops: DataFrame, span: int = 1024, **salting) -> DataFrame:
         )
         .filter((F.col("bytes") > 5) & F.col("first").isNotNull())
     )
-    inside = join_many_to_one(drawn, extent, keys, "inner", **salting).filter(
+    inside = join_many_to_one(drawn, extent, keys, "inner").filter(
         F.col("seq").between(F.col("first"), F.col("last"))
     )
     head = F.when(F.col("seq") == F.col("first"), ltrim_ws("text")).otherwise(F.col("text"))
@@ -83,7 +84,7 @@ def text_layers(ops: DataFrame, span: int = 1024, **salting) -> DataFrame:
         F.lit("hidden_text").alias("layer_type"),
         "content",
         F.lit(LAYER_CONFIDENCE["hidden_text"]).alias("confidence"),
-        F.to_json(F.struct("page")).alias("metadata_json"),
+        F.to_json(F.struct(*keys[1:])).alias("metadata_json"),
     )
 
 
@@ -108,12 +109,14 @@ def forensic_layers(ops: DataFrame, pages: DataFrame | None = None, info: DataFr
     return union_all(frames)
 
 
-def save_forensics(existing: DataFrame, layers: DataFrame, ts: str, **salting) -> DataFrame:
+def save_forensics(existing: DataFrame, layers: DataFrame, ts: str) -> DataFrame:
     """Forensic table with the rows of the records in ``layers`` replaced; the box gets its own column."""
     # the box as a column spares parsing it out of the metadata
+    # two layers of one record may be alike in all but their place
+    place = [c for c in ("page", "stream", "seq", "part") if c in layers.columns]
     box = F.to_json("bbox") if "bbox" in layers.columns else F.get_json_object("metadata_json", "$.bbox")
     new = layers.select(
-        derived_id("layer", "record_id", "layer_type", "metadata_json", "content", "seq").alias("id"),
+        derived_id("layer", "record_id", "layer_type", "metadata_json", "content", *place).alias("id"),
         "record_id",
         "layer_type",
         "content",
@@ -122,7 +125,7 @@ def save_forensics(existing: DataFrame, layers: DataFrame, ts: str, **salting) -
         "metadata_json",
         F.lit(ts).alias("created_at"),
     )
-    return replace_rows(existing, new, layers.select("record_id"), **salting)
+    return replace_rows(existing, new, layers.select("record_id"))
 
 
 # --- image redaction --------------------------------------------------------
@@ -139,7 +142,6 @@ def redaction_score_of_pixels(pixels: DataFrame) -> DataFrame:
     Runs are found per line; lines meet their neighbours by sending their sum to
     both, so an image of any height is still aggregated map-side.
     """
-    hot = hot_keys(pixels, ["image_id"])
     line = Window.partitionBy("image_id", "y").orderBy("x")
     # dark pixels of one run share the difference of position and rank
     ranked = pixels.filter("dark").withColumn("run", F.col("x") - F.row_number().over(line))
@@ -147,7 +149,7 @@ def redaction_score_of_pixels(pixels: DataFrame) -> DataFrame:
         (F.max("x") + 1).cast("long").alias("width"), (F.max("y") + 1).cast("long").alias("height")
     )
     runs = ranked.groupBy("image_id", "y", "run").agg(F.count(F.lit(1)).alias("n"))
-    long_runs = join_many_to_one(runs, size, ["image_id"], hot=hot).filter(F.col("n") > F.floor(F.col("width") / 8))
+    long_runs = join_many_to_one(runs, size, ["image_id"]).filter(F.col("n") > F.floor(F.col("width") / 8))
     sums = long_runs.groupBy("image_id", "y").agg(F.sum("n").alias("own"))
     sent = F.explode(
         F.array(
@@ -162,7 +164,7 @@ def redaction_score_of_pixels(pixels: DataFrame) -> DataFrame:
         .agg(F.sum("m.own").alias("own"), F.sum("m.near").alias("near"))
         .filter((F.col("own") > 0) & (F.col("near") > 0))
     )
-    inner = join_many_to_one(met, size, ["image_id"], hot=hot).filter((F.col("y") >= 1) & (F.col("y") <= F.col("height") - 2))
+    inner = join_many_to_one(met, size, ["image_id"]).filter((F.col("y") >= 1) & (F.col("y") <= F.col("height") - 2))
     kept = inner.groupBy("image_id").agg(F.sum("own").alias("covered"))
     return size.join(kept, "image_id", "left").select(
         "image_id",

@@ -10,7 +10,7 @@ from .common import first_rows, join_many_to_one
 POISON_BYTES = 1024
 
 
-def drop_duplicate_records(records: DataFrame, **salting) -> DataFrame:
+def drop_duplicate_records(records: DataFrame) -> DataFrame:
     """Keep one row of every (title, document_url) that several official rows share.
 
     All rows of such a pair compete, manual ones too: ``completed`` counts 10, a
@@ -32,20 +32,28 @@ def drop_duplicate_records(records: DataFrame, **salting) -> DataFrame:
         .select(*pair, F.col("w.winner").alias("winner"))
     )
     columns = records.columns
-    judged = join_many_to_one(records, contest, pair, "left", **salting)
+    judged = join_many_to_one(records, contest, pair, "left")
     return judged.filter(F.col("winner").isNull() | (F.col("winner") == F.col("id"))).select(*columns)
 
 
-def drop_poisoned_artifacts(artifacts: DataFrame, records: DataFrame, **salting) -> tuple[DataFrame, DataFrame]:
-    """Remove too small official files and forget them on the records that point there."""
+def _renewed(records: DataFrame, changed: Column, ts: str | None) -> DataFrame:
+    """``updated_at`` set to ``ts`` where a record changed; tables without the column stay without."""
+    if ts is None or "updated_at" not in records.columns:
+        return records
+    return records.withColumn("updated_at", F.when(changed, F.lit(ts)).otherwise(F.col("updated_at")))
+
+
+def drop_poisoned_artifacts(artifacts: DataFrame, records: DataFrame, ts: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Remove too small official files and forget them on the records that point there, renewing these at ``ts``."""
     poisoned = (
         artifacts.filter((F.col("byte_size") < POISON_BYTES) & (F.col("source_type") == "official"))
         .select("relative_path")
         .distinct()
     )
-    kept = join_many_to_one(artifacts, poisoned, ["relative_path"], "left_anti", **salting)
+    kept = join_many_to_one(artifacts, poisoned, ["relative_path"], "left_anti")
     marked = poisoned.select(F.col("relative_path").alias("local_path"), F.lit(True).alias("_poisoned"))
-    reset = join_many_to_one(records, marked, ["local_path"], "left", **salting)
+    reset = join_many_to_one(records, marked, ["local_path"], "left")
+    reset = _renewed(reset, F.col("_poisoned").isNotNull(), ts)
     return (
         kept.select(*artifacts.columns),
         reset.withColumn("local_path", F.when(F.col("_poisoned").isNull(), F.col("local_path"))).select(
@@ -54,16 +62,16 @@ def drop_poisoned_artifacts(artifacts: DataFrame, records: DataFrame, **salting)
     )
 
 
-def integrity_rows(records: DataFrame, artifacts: DataFrame, files: DataFrame, **salting) -> DataFrame:
+def integrity_rows(records: DataFrame, artifacts: DataFrame, files: DataFrame) -> DataFrame:
     """Verdict per local record and artifact; ``files`` is (local_path, file_hash), NULL hash = unreadable."""
     local = records.filter(F.col("local_path").isNotNull()).select("id", "local_path")
     expected = artifacts.filter(F.col("record_id").isNotNull()).select(
         F.col("record_id").alias("id"), F.col("sha256").alias("expected")
     )
     seen = files.select("local_path", "file_hash", F.lit(True).alias("present"))
-    found = join_many_to_one(local, seen, ["local_path"], "left", **salting)
+    found = join_many_to_one(local, seen, ["local_path"], "left")
     # a record may own many artifacts; each of them is judged
-    owned = join_many_to_one(expected, found, ["id"], "inner", **salting)
+    owned = join_many_to_one(expected, found, ["id"], "inner")
     bare = found.join(expected.select("id").distinct(), "id", "left_anti")
     verdict = (
         F.when(F.col("present").isNull(), "missing")
@@ -76,10 +84,10 @@ def integrity_rows(records: DataFrame, artifacts: DataFrame, files: DataFrame, *
     )
 
 
-def verify_integrity(records: DataFrame, artifacts: DataFrame, files: DataFrame, **salting) -> DataFrame:
+def verify_integrity(records: DataFrame, artifacts: DataFrame, files: DataFrame) -> DataFrame:
     """One row: total, verified, corrupted, missing."""
     tally = lambda kind: F.count_if(F.col("verdict") == kind).alias(kind)
-    return integrity_rows(records, artifacts, files, **salting).agg(
+    return integrity_rows(records, artifacts, files).agg(
         F.count(F.lit(1)).alias("total"), tally("verified"), tally("corrupted"), tally("missing")
     )
 
@@ -95,7 +103,7 @@ DEPENDENT = {
 }
 
 
-def clear_analysis(tables: dict[str, DataFrame], ids: DataFrame | None = None, **salting) -> dict[str, DataFrame]:
+def clear_analysis(tables: dict[str, DataFrame], ids: DataFrame | None = None) -> dict[str, DataFrame]:
     """Forget the analysis of the given records (a one-column ``id`` table), or of all.
 
     Fragments stay, as do assets of type ``source``. Only tables that are passed in
@@ -108,7 +116,7 @@ def clear_analysis(tables: dict[str, DataFrame], ids: DataFrame | None = None, *
         if chosen is None:
             return df.limit(0)
         keys = chosen.select(F.col("id").alias(column))
-        return join_many_to_one(df, keys, [column], "left_anti", **salting).select(*df.columns)
+        return join_many_to_one(df, keys, [column], "left_anti").select(*df.columns)
 
     if "chunk_vectors" in tables:
         vectors = tables["chunk_vectors"]
@@ -142,15 +150,15 @@ def clear_analysis(tables: dict[str, DataFrame], ids: DataFrame | None = None, *
 
 
 def reset_local_copies(
-    records: DataFrame, artifacts: DataFrame, assets: DataFrame
+    records: DataFrame, artifacts: DataFrame, assets: DataFrame, ts: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Report (files_removed, bytes_removed), then records, artifacts and assets without local copies."""
+    """Report (files_removed, bytes_removed), then records (renewed at ``ts``), artifacts and assets without local copies."""
     report = artifacts.agg(
         F.count(F.lit(1)).alias("files_removed"),
         F.coalesce(F.sum("byte_size"), F.lit(0).cast("long")).alias("bytes_removed"),
     )
     nothing = F.lit(None).cast("string")
-    bare = records.withColumn("local_path", nothing).withColumn("thumbnail_path", nothing).select(*records.columns)
+    bare = _renewed(records, F.lit(True), ts).withColumn("local_path", nothing).withColumn("thumbnail_path", nothing).select(*records.columns)
     return report, bare, artifacts.limit(0), assets.limit(0)
 
 
@@ -183,7 +191,7 @@ def download_worklist(records: DataFrame) -> DataFrame:
     """Official rows still to fetch, newest release first, then by title."""
     todo = records.filter((F.col("source_type") == "official") & _wanted())
     newest = F.coalesce("release_date", "created_at")
-    return todo.orderBy(newest.desc(), F.col("title")).select(
+    return todo.orderBy(newest.desc(), F.col("title"), F.col("id")).select(
         F.col("id").alias("record_id"), "title", F.col("document_url").alias("url"), F.lit("queued").alias("status")
     )
 
@@ -238,7 +246,7 @@ def job_progress(completed: Column, failed: Column, total: Column, skipped: Colu
     )
 
 
-def job_report(jobs: DataFrame, items: DataFrame, limit: int | None = None, **salting) -> DataFrame:
+def job_report(jobs: DataFrame, items: DataFrame, limit: int | None = None) -> DataFrame:
     """Items of the jobs by last update, newest first, then title.
 
     With ``limit`` only the newest items per job come back, pruned before the shuffle.
@@ -246,7 +254,7 @@ def job_report(jobs: DataFrame, items: DataFrame, limit: int | None = None, **sa
     order = [F.col("updated_at").desc(), F.col("title"), F.col("id")]
     picked = items if limit is None else first_rows(items, ["job_id"], order, limit)
     heads = jobs.select(F.col("id").alias("job_id"), F.col("status").alias("job_status"))
-    return join_many_to_one(picked, heads, ["job_id"], "inner", **salting).orderBy("job_id", *order)
+    return join_many_to_one(picked, heads, ["job_id"], "inner").orderBy("job_id", *order)
 
 
 def active_job(jobs: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from ..functions.text import trim_ws
 from .common import derived_id, first_rows, join_many_to_one, joined_text
 from .texts import hash_embed
 
-#: Texts above this many bytes are shown by their first characters only.
-LONG_TEXT_BYTES, EXCERPT_CHARS = 5000, 2000
+#: Texts above so many bytes are shown by so many first characters; fragments of a prompt.
+LONG_TEXT_BYTES, EXCERPT_CHARS, FRAGMENTS = 5000, 2000, 15
 FRAGMENT_CONFIDENCE = 0.9
 #: Seconds a record may be newer than its last synthesis.
 STALE_SECONDS = 5
@@ -60,27 +60,28 @@ def build_prompts(
     assets: DataFrame,
     system: str = "You audit documents for an evidence archive.",
     task: str = "Perform the audit.",
+    k: int = FRAGMENTS,
+    long_bytes: int | None = LONG_TEXT_BYTES,
+    excerpt_chars: int = EXCERPT_CHARS,
 ) -> DataFrame:
     """Prompts as numbered parts (record_id, part, prompt); joined in order they are the prompt.
 
-    ``fragments`` is (record_id, rank, text) with few ranks per record, ``manifest``
-    the parts of :func:`forensic_manifest`. The manifest may be of any length, so it
-    keeps its parts and only the frame around it is added.
+    ``fragments`` is (record_id, rank, text), of which each record's ``k`` first by rank
+    are shown, cut before the shuffle; ``manifest`` the parts of :func:`forensic_manifest`.
+    The manifest may be of any length, so it keeps its parts and only the frame around
+    it is added. A text of more than ``long_bytes`` (None: no text) is shown by its first
+    ``excerpt_chars``.
     """
-    context = fragments.groupBy("record_id").agg(
+    context = first_rows(fragments, ["record_id"], [F.col("rank"), F.col("text")], k).groupBy("record_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda f: f["text"]), _CONTEXT_SEPARATOR).alias(
             "context"
         )
     )
     images = assets.filter(F.col("asset_type") == "image").groupBy("record_id").agg(F.count(F.lit(1)).alias("images"))
-    shown = F.when(
-        F.octet_length("text") > LONG_TEXT_BYTES,
-        F.concat(
-            F.lit(_LONG_TEXT_HEAD),
-            F.substring("text", 1, EXCERPT_CHARS),
-            F.lit("\n"),
-        ),
-    ).otherwise(F.col("text"))
+    shown = F.col("text")
+    if long_bytes is not None:
+        excerpt = F.concat(F.lit(_LONG_TEXT_HEAD), F.substring("text", 1, excerpt_chars), F.lit("\n"))
+        shown = F.when(F.octet_length("text") > long_bytes, excerpt).otherwise(shown)
     framed = texts.join(context, "record_id", "left").join(images, "record_id", "left")
     notice = F.when(
         F.coalesce("images", F.lit(0)) > 0,
@@ -223,7 +224,7 @@ def stale_synthesis(records: DataFrame, texts: DataFrame, logs: DataFrame) -> Da
 RESET, TOKEN = "synthesizing-start", "synthesizing"
 
 
-def assemble_token_stream(events: DataFrame, span: int = 1024, **salting) -> DataFrame:
+def assemble_token_stream(events: DataFrame, span: int = 1024) -> DataFrame:
     """Text of every record's last run: (record_id, part, text), whole once the parts are joined.
 
     ``events`` is (record_id, seq, status, token_text). The last start of a run is a
@@ -234,7 +235,7 @@ def assemble_token_stream(events: DataFrame, span: int = 1024, **salting) -> Dat
     )
     tokens = events.filter((F.col("status") == TOKEN) & (F.coalesce("token_text", F.lit("")) != ""))
     current = join_many_to_one(
-        tokens.select("record_id", "seq", "token_text"), starts, ["record_id"], "left", **salting
+        tokens.select("record_id", "seq", "token_text"), starts, ["record_id"], "left"
     ).filter(F.col("_start").isNull() | (F.col("seq") > F.col("_start")))
     return joined_text(current, ["record_id"], "seq", "token_text", "text", span=span)
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import contains_pattern
 from ..functions.vectors import DISTANCE_DIGITS, cosine_distance, l2_distance
 from ..session import settled
-from .common import first_rows, hot_keys, join_many_to_one, join_one_to_many, union_all
+from .common import first_rows, join_many_to_one, join_one_to_many, union_all
 
 #: Results of a search, and fragments picked as context of a record.
 SEARCH_K, FRAGMENT_K = 20, 15
@@ -20,8 +21,6 @@ SEARCH_K, FRAGMENT_K = 20, 15
 QUERY_BLOCK = 4096
 #: Cells of a distance matrix held at a time by one task.
 _CELLS = 4_000_000
-#: Result rows (queries times k) up to which the hits may be broadcast.
-_SMALL_HITS = 500_000
 
 
 @dataclass(frozen=True)
@@ -43,30 +42,22 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The k nearest items of every query seen so far in one task."""
+    """The k nearest items of every query seen so far in one task, as tables of queries x k."""
 
     def __init__(self, n_queries: int, k: int):
         self.k = k
-        self.rank: list[np.ndarray] = [np.empty(0)] * n_queries
-        self.shown: list[np.ndarray] = [np.empty(0)] * n_queries
-        self.items: list[np.ndarray] = [np.empty(0, dtype=object)] * n_queries
-
-    def offer(self, rank: np.ndarray, shown: np.ndarray, items: np.ndarray) -> None:
-        for q in range(len(self.rank)):
-            row, have = rank[q], self.rank[q]
-            limit = np.inf
-            if len(row) > self.k:
-                limit = np.partition(row, self.k - 1)[self.k - 1]
-            if len(have) >= self.k:
-                limit = min(limit, have[-1])
-            take = np.nonzero(row <= limit)[0]
-            if not len(take):
-                continue
-            all_rank = np.concatenate([have, row[take]])
-            all_shown = np.concatenate([self.shown[q], shown[q][take]])
-            all_items = np.concatenate([self.items[q], items[take]])
-            order = np.lexsort((all_items, all_rank))[: self.k]
-            self.rank[q], self.shown[q], self.items[q] = all_rank[order], all_shown[order], all_items[order]
+        self.rank, self.shown = np.empty((n_queries, 0)), np.empty((n_queries, 0))
+        self.items = np.empty((n_queries, 0), dtype=object)
+
+    def offer(self, rank: np.ndarray, shown: np.ndarray, items: pa.Array) -> None:
+        """Take in the distances to some items, which come in ascending order of their id."""
+        top = np.argsort(rank, axis=1, kind="stable")[:, : self.k]
+        ids = np.array(items.take(pa.array(top.ravel())).to_pylist(), dtype=object).reshape(top.shape)
+        all_rank = np.concatenate([self.rank, np.take_along_axis(rank, top, 1)], axis=1)
+        all_shown = np.concatenate([self.shown, np.take_along_axis(shown, top, 1)], axis=1)
+        all_items = np.concatenate([self.items, ids], axis=1)
+        order = np.lexsort((all_items, all_rank), axis=1)[:, : self.k]
+        self.rank, self.shown, self.items = (np.take_along_axis(x, order, 1) for x in (all_rank, all_shown, all_items))
 
 
 def _scan(queries: np.ndarray, ids: list, k: int, metric: str, schema: pa.Schema):
@@ -81,23 +72,23 @@ def _scan(queries: np.ndarray, ids: list, k: int, metric: str, schema: pa.Schema
                 batch = batch.filter(batch.column(1).is_valid())
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
+                part = part.take(pc.sort_indices(part.column(0)))
                 rows = _matrix(part.column(1))
-                items = np.array(part.column(0).to_pylist(), dtype=object)
                 shown = np.round(1.0 - units @ _unit(rows).T, DISTANCE_DIGITS) + 0.0
                 if metric == "cosine":
                     rank = shown
                 else:
                     gap = squares[:, None] + (rows * rows).sum(axis=1)[None, :] - 2.0 * (queries @ rows.T)
                     rank = np.round(np.sqrt(np.maximum(gap, 0.0)), DISTANCE_DIGITS) + 0.0
-                best.offer(rank, shown, items)
-        found = [len(r) for r in best.rank]
-        if sum(found):
+                best.offer(rank, shown, part.column(0))
+        found = best.rank.shape[1]
+        if found:
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids[q] for q, n in enumerate(found) for _ in range(n)], schema.field(0).type),
-                    pa.array(list(np.concatenate(best.items)), schema.field(1).type),
-                    pa.array(np.concatenate(best.rank), pa.float64()),
-                    pa.array(np.concatenate(best.shown), pa.float64()),
+                    pa.array([q for q in ids for _ in range(found)], schema.field(0).type),
+                    pa.array(best.items.ravel().tolist(), schema.field(1).type),
+                    pa.array(best.rank.ravel(), pa.float64()),
+                    pa.array(best.shown.ravel(), pa.float64()),
                 ],
                 schema=schema,
             )
@@ -113,52 +104,38 @@ def nearest(
     ``queries`` is (query_id, embedding), ``vectors`` (item_id, embedding). Stored
     vectors never move: each task multiplies its Arrow batches with a block of query
     vectors and keeps k rows per query, and only those meet in the final ranking.
-    Queries travel in blocks of bounded size, one pass per block, so any number of
-    them works. Neighbours are picked by ``metric`` (``cosine`` or ``l2``), ties by
-    item id; ``distance`` is the cosine distance either way.
+    Queries are computed once, written to the shared folder, and travel to the tasks in
+    blocks of about ``block``; every block is a branch of one lazy plan that scans the
+    vectors, so any number of queries works alike. Neighbours are picked by ``metric``
+    (``cosine`` or ``l2``), ties by item id; ``distance`` is the cosine distance either way.
     """
-    return _nearest(queries, vectors, k, metric, block)[0]
-
-
-def _nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str, block: int = QUERY_BLOCK) -> tuple[DataFrame, int]:
-    """:func:`nearest` and the number of queries."""
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric: {metric}")
-    spark = queries.sparkSession
-    q_type = queries.schema["query_id"].dataType
-    i_type = vectors.schema["item_id"].dataType
     out = T.StructType(
         [
-            T.StructField("query_id", q_type),
-            T.StructField("item_id", i_type),
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("item_id", vectors.schema["item_id"].dataType),
             T.StructField("rank_distance", T.DoubleType()),
             T.StructField("distance", T.DoubleType()),
         ]
     )
     arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in out.fields])
     # rows without a vector are skipped in the tasks: a filter here would compute vectors twice
-    asked, stored = queries.select("query_id", "embedding"), vectors.select("item_id", "embedding")
-    # one block is what most searches need; more are cut by a hash of the query id
-    first = asked.limit(block + 1).collect()
-    total = len(first) if len(first) <= block else asked.count()
-    blocks = max(1, -(-total // block))
+    stored = vectors.select("item_id", "embedding")
+    asked = settled(queries.select("query_id", "embedding"), "queries").filter(F.col("embedding").isNotNull())
+    blocks = max(1, -(-asked.count() // block))
+    of_block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     order = [F.col("rank_distance"), F.col("item_id")]
 
     def best_of(rows: list) -> DataFrame:
-        """The k nearest items of one block of queries."""
-        known = [r for r in rows if r["embedding"] is not None]
-        if not known:
-            return spark.createDataFrame([], out)
-        matrix = np.array([r["embedding"] for r in known], dtype=np.float64)
-        scan = _scan(matrix, [r["query_id"] for r in known], k, metric, arrow)
+        """The k nearest items of one block of queries; the driver holds one block at a time."""
+        if not rows:
+            return queries.sparkSession.createDataFrame([], out)
+        matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
+        scan = _scan(matrix, [r["query_id"] for r in rows], k, metric, arrow)
         return first_rows(stored.mapInArrow(scan, out), ["query_id"], order, k)
 
-    if blocks == 1:
-        return best_of(first), total
-    # one block after the other, each result written, so that the driver holds one block at a time
-    of_block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    done = [settled(best_of(asked.filter(of_block == b).collect()), "nearest") for b in range(blocks)]
-    return union_all(done), total
+    return union_all([best_of(asked.filter(of_block == b).collect()) for b in range(blocks)])
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
@@ -217,15 +194,14 @@ def vector_search(
         stored = stored.join(ids.select("item_id"), "item_id", "left_semi")
     elif filter_mode != "post":
         raise ValueError(f"unknown filter mode: {filter_mode}")
-    top, asked = _nearest(queries, stored, k, metric)
-    few = _few_hint(asked * k)
+    top = nearest(queries, stored, k, metric)
     body = chunks.select(F.col("id").alias("item_id"), "record_id", F.col("text").alias("excerpt"))
     # k rows per query: from here on the scan of all vectors is not repeated
-    placed = settled(body.join(few(top), "item_id"), "hits")
+    placed = settled(body.join(top, "item_id"), "hits")
     if filter_mode == "post":
         placed = _in_case(placed, case_records, filters)
     # the big tables are cut down to the hits where they lie; only what is left is joined
-    wanted = few(placed.select("record_id").distinct())
+    wanted = placed.select("record_id").distinct()
     heads = _record_columns(allowed).join(wanted, "record_id", "left_semi")
     files = artifacts.select("record_id", F.col("sha256").alias("artifact_sha256")).join(
         wanted, "record_id", "left_semi"
@@ -247,11 +223,6 @@ def vector_search(
     )
 
 
-def _few_hint(rows: int) -> Callable[[DataFrame], DataFrame]:
-    """Broadcast for tables of at most so many short rows, if that is few enough; else no hint."""
-    return F.broadcast if rows <= _SMALL_HITS else (lambda df: df)
-
-
 def keyword_search(
     query: str,
     chunks: DataFrame,
@@ -260,7 +231,6 @@ def keyword_search(
     case_records: DataFrame | None = None,
     filters: Filters = Filters(),
     k: int = SEARCH_K,
-    **salting,
 ) -> DataFrame:
     """Chunks whose text or record title contains ``query``; the first k by record, chunk and artifact.
 
@@ -271,11 +241,11 @@ def keyword_search(
     titles = allowed.select("record_id", F.coalesce(contains_pattern("title", query), F.lit(False)).alias("_title"))
     own = F.coalesce(contains_pattern("text", query), F.lit(False)).alias("_own")
     tested = chunks.select("record_id", "chunk_index", own)
-    found = join_many_to_one(tested, titles, ["record_id"], "inner", **salting).filter(F.col("_own") | F.col("_title"))
+    found = join_many_to_one(tested, titles, ["record_id"], "inner").filter(F.col("_own") | F.col("_title"))
     # an artifact only multiplies rows, so the first k chunks suffice for the first k results
     key = ["record_id", "chunk_index"]
-    first = F.broadcast(settled(found.select(*key).orderBy(*key).limit(k), "first"))
-    of_first = F.broadcast(first.select("record_id").distinct())
+    first = settled(found.select(*key).orderBy(*key).limit(k), "first")
+    of_first = first.select("record_id").distinct()
     texts = chunks.select(*key, F.col("text").alias("excerpt")).join(first, key, "left_semi")
     heads = allowed.join(of_first, "record_id", "left_semi")
     owned = artifacts.select("record_id", F.col("sha256").alias("artifact_sha256")).join(
@@ -327,9 +297,9 @@ def fragment_search(
     queries: DataFrame, fragments: DataFrame, vectors: DataFrame, k: int = FRAGMENT_K, metric: str = "cosine"
 ) -> DataFrame:
     """k nearest fragments of every query over all records."""
-    top, asked = _nearest(queries, vectors.select(F.col("fragment_id").alias("item_id"), "embedding"), k, metric)
+    top = nearest(queries, vectors.select(F.col("fragment_id").alias("item_id"), "embedding"), k, metric)
     body = fragments.select(F.col("id").alias("item_id"), "record_id", "text")
-    return body.join(_few_hint(asked * k)(top), "item_id").select(
+    return body.join(top, "item_id").select(
         "query_id", F.col("item_id").alias("fragment_id"), "record_id", "text", "distance"
     )
 
@@ -341,7 +311,6 @@ def fragment_search_by_record(
     k: int = FRAGMENT_K,
     metric: str = "cosine",
     filter_mode: str = "pre",
-    **salting,
 ) -> DataFrame:
     """For every record its own k fragments nearest to its query vector (record_id, embedding).
 
@@ -350,15 +319,16 @@ def fragment_search_by_record(
     """
     if filter_mode == "post":
         asked = queries.select(F.col("record_id").alias("query_id"), "embedding")
-        found = fragment_search(asked, fragments, vectors, k, metric)
-        own = found.filter(F.col("record_id") == F.col("query_id"))
-        return own.select("record_id", "fragment_id", "text", "distance")
+        top = nearest(asked, vectors.select(F.col("fragment_id").alias("item_id"), "embedding"), k, metric)
+        # only hits of the own record are of interest: ids first, texts for what is left
+        own = top.join(fragments.select(F.col("id").alias("item_id"), "record_id"), "item_id")
+        own = own.filter(F.col("record_id") == F.col("query_id")).select("item_id", "distance")
+        body = fragments.select(F.col("id").alias("item_id"), "record_id", "text")
+        return body.join(own, "item_id").select("record_id", F.col("item_id").alias("fragment_id"), "text", "distance")
     stored = vectors.select(F.col("fragment_id").alias("id"), F.col("embedding").alias("v"))
     placed = fragments.select("id", "record_id").join(stored, "id")
     asked = queries.select("record_id", F.col("embedding").alias("q"))
-    sizes = {name: salting[name] for name in ("hot_rows", "small_bytes") if name in salting}
-    popular = hot_keys(fragments, ["record_id"], **sizes)
-    pairs = join_many_to_one(placed, asked, ["record_id"], "inner", **{**salting, "hot": popular})
+    pairs = join_many_to_one(placed, asked, ["record_id"], "inner")
     shown = cosine_distance(F.col("v"), F.col("q"))
     rank = shown if metric == "cosine" else l2_distance(F.col("v"), F.col("q"))
     ranked = pairs.select("record_id", "id", shown.alias("distance"), rank.alias("rank_distance"))
@@ -393,7 +363,7 @@ _SUMMARY = [
 
 
 def _summaries(
-    records: DataFrame, artifacts: DataFrame, links: DataFrame, assets: DataFrame, **salting
+    records: DataFrame, artifacts: DataFrame, links: DataFrame, assets: DataFrame
 ) -> DataFrame:
     entity_count = links.groupBy(F.col("record_id").alias("id")).agg(F.count(F.lit(1)).alias("_entities"))
     image = (
@@ -412,7 +382,7 @@ def _summaries(
         .join(entity_count, "id", "left")
         .join(image, "id", "left")
     )
-    return join_one_to_many(base, files, ["id"], **salting).select(
+    return join_one_to_many(base, files, ["id"]).select(
         *known,
         "created_at",
         "artifact_sha256",
@@ -431,7 +401,6 @@ def list_records(
     agency: str | None = None,
     local_only: bool = False,
     query: str | None = None,
-    **salting,
 ) -> DataFrame:
     """Record summaries, newest release first, then by title; a record repeats per artifact."""
     chosen = _allowed(records, Filters(source_type, local_only))
@@ -444,19 +413,19 @@ def list_records(
         for match in matches[1:]:
             any_match = any_match | match
         chosen = chosen.filter(any_match)
-    listed = _summaries(chosen, artifacts, links, assets, **salting)
+    listed = _summaries(chosen, artifacts, links, assets)
     newest = F.coalesce("release_date", "created_at")
     return listed.orderBy(newest.desc(), F.col("title"), F.col("id"), F.col("artifact_sha256")).drop("created_at")
 
 
 def get_records(
-    ids: DataFrame, records: DataFrame, artifacts: DataFrame, links: DataFrame, assets: DataFrame, **salting
+    ids: DataFrame, records: DataFrame, artifacts: DataFrame, links: DataFrame, assets: DataFrame
 ) -> DataFrame:
     """The same summaries for a table of ids."""
     wanted = ids.select("id").distinct()
 
     def of(df: DataFrame) -> DataFrame:
-        return join_many_to_one(df, wanted.withColumnRenamed("id", "record_id"), ["record_id"], "left_semi", **salting)
+        return join_many_to_one(df, wanted.withColumnRenamed("id", "record_id"), ["record_id"], "left_semi")
 
     chosen = records.join(wanted, "id", "left_semi")
-    return _summaries(chosen, of(artifacts), of(links), of(assets), **salting).drop("created_at")
+    return _summaries(chosen, of(artifacts), of(links), of(assets)).drop("created_at")

@@ -145,14 +145,14 @@ def upsert_entities(entities: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def link_entities(links: DataFrame, hits: DataFrame, entities: DataFrame, processed: DataFrame, **salting) -> DataFrame:
+def link_entities(links: DataFrame, hits: DataFrame, entities: DataFrame, processed: DataFrame) -> DataFrame:
     """Record-entity links with those of the ``processed`` records (record_id) replaced."""
     done = processed.select("record_id").distinct()
-    kept = join_many_to_one(links, done, ["record_id"], "left_anti", **salting)
+    kept = join_many_to_one(links, done, ["record_id"], "left_anti")
     ids = entities.select("name", "entity_type", F.col("id").alias("entity_id"))
     # names such as a frequent agency occur in a large share of all records
     fresh = join_many_to_one(
-        hits.select("record_id", "name", "entity_type", "confidence"), ids, ["name", "entity_type"], **salting
+        hits.select("record_id", "name", "entity_type", "confidence"), ids, ["name", "entity_type"]
     )
     columns = ["record_id", "entity_id", "confidence"]
     return kept.select(*columns).unionByName(fresh.select(*columns))
@@ -197,10 +197,10 @@ def index_chunks(
     return chunks, vectors, rows.select("chunk_id", "record_id", "title", "text", "entities")
 
 
-def replace_rows(existing: DataFrame, new: DataFrame, processed: DataFrame, **salting) -> DataFrame:
+def replace_rows(existing: DataFrame, new: DataFrame, processed: DataFrame) -> DataFrame:
     """``existing`` without the processed records (record_id), plus ``new``."""
     done = processed.select("record_id").distinct()
-    kept = join_many_to_one(existing, done, ["record_id"], "left_anti", **salting)
+    kept = join_many_to_one(existing, done, ["record_id"], "left_anti")
     return kept.select(*new.columns).unionByName(new)
 
 

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import texts as tx
-from ..operators.common import SMALL_BYTES, estimated_bytes
 from ..session import scratch_path
 
 
@@ -39,18 +38,13 @@ def run_index(
     ``texts`` is (record_id, text, error), one row per record at most, ``scores``
     an optional (record_id, score) of image redaction. A record without text, or
     with an error, becomes ``failed`` with the message; the others go on. Every result
-    starts from the same joined texts and hits: with ``staging``, a path in the shared
-    folder, they are written there once and read by all results. Large inputs are
-    staged in any case.
+    starts from the same joined texts and hits: they are written once to ``staging``, a
+    path in the shared folder (a fresh one by default), and read by all results.
     """
     spark = texts.sparkSession
-    if staging is None:
-        size = estimated_bytes(texts)
-        staging = scratch_path(spark, "index") if size is not None and size >= SMALL_BYTES else None
+    staging = staging or scratch_path(spark, "index")
 
     def staged(df: DataFrame, name: str) -> DataFrame:
-        if staging is None:
-            return df
         df.write.mode("overwrite").parquet(f"{staging}/{name}")
         return spark.read.schema(df.schema).parquet(f"{staging}/{name}")
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from ..operators.changes import snapshot_diff, sync_report, upsert_records
-from ..operators.common import union_all
 from ..operators.quality import download_worklist, drop_duplicate_records, drop_poisoned_artifacts
-from ..sources.catalogue import read_catalogue_csv, snapshot_rows
+from ..sources.catalogue import snapshot_rows
 
 
 @dataclass(frozen=True)
@@ -35,24 +34,8 @@ def apply_release(
     )
 
 
-def sync_release(
-    spark: SparkSession, path: str, previous: DataFrame, records: DataFrame, snapshot_id: str, ts: str
-) -> SyncResult:
-    """:func:`apply_release` for a catalogue file.
-
-    Several results of one file are best computed from rows that were stored first,
-    as the stream does: each result parses the file again otherwise.
-    """
-    return apply_release(read_catalogue_csv(spark, path), previous, records, snapshot_id, ts)
-
-
 def maintain(records: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clean-up after a sync: records, artifacts, and what is left to download."""
     unique = drop_duplicate_records(records)
     good, clean = drop_poisoned_artifacts(artifacts, unique)
     return clean, good, download_worklist(clean)
-
-
-def all_records(*kinds: DataFrame) -> DataFrame:
-    """Official, manual and web records in one table."""
-    return union_all(kinds)

@@ -49,57 +49,12 @@ RECORDS = _struct(
     "intelligence_json string, redaction_score double, analysis_status string, analysis_error string, "
     "thumbnail_path string, removed_from_source_at string, updated_at string, created_at string"
 )
-SNAPSHOTS = _struct(
-    "id string, source_name string, upstream_url string, release_label string, fetched_at string, "
-    "content_hash string, snapshot_path string, record_count long, status string, error string"
-)
 SNAPSHOT_ROWS = _struct(
     "snapshot_id string, stable_key string, content_hash string, title string, document_url string, "
     "record_json string"
 )
-DIFFS = _struct(
-    "snapshot_id string, stable_key string, change_type string, title string, document_url string, "
-    "previous_hash string, current_hash string, created_at string"
-)
 ARTIFACTS = _struct(
     "id string, record_id string, sha256 string, original_filename string, media_type string, "
     "byte_size long, source_url string, relative_path string, source_type string, created_at string"
 )
-RECORD_ASSETS = _struct(
-    "id string, record_id string, asset_type string, local_path string, mime_type string, "
-    "file_size long, metadata_json string, created_at string"
-)
-DOWNLOAD_JOBS = _struct(
-    "id string, status string, total long, queued long, completed long, failed long, skipped long, "
-    "cancel_requested boolean, summary_json string, error string, created_at string, updated_at string"
-)
-DOWNLOAD_ITEMS = _struct(
-    "id string, job_id string, record_id string, title string, url string, status string, "
-    "bytes_downloaded long, byte_size long, error string, artifact_id string, updated_at string"
-)
-ANALYSIS_RESULTS = _struct("record_id string, ocr_text string, status string, processed_at string")
-ANALYSIS_CHUNKS = _struct(
-    "id string, record_id string, chunk_index long, text string, engine_name string, "
-    "model_version string, created_at string"
-)
-CHUNK_VECTORS = _struct("chunk_id string, embedding array<float>")
-SEARCH_DOCUMENTS = _struct("chunk_id string, record_id string, title string, text string, entities string")
-ENTITIES = _struct("id string, name string, entity_type string, description string")
-RECORD_ENTITIES = _struct("record_id string, entity_id string, confidence double")
-FRAGMENTS = _struct(
-    "id string, record_id string, fragment_type string, text string, confidence double, created_at string"
-)
-FORENSICS = _struct(
-    "id string, record_id string, layer_type string, content string, confidence double, "
-    "bounding_box_json string, metadata_json string, created_at string"
-)
-LOGS = _struct(
-    "id string, record_id string, system_prompt string, user_prompt string, thought_block string, "
-    "response_json string, model_id string, created_at string"
-)
-CASES = _struct("id string, title string, description string, created_at string")
-CASE_RECORDS = _struct("case_id string, record_id string, notes string")
-CASE_NOTES = _struct(
-    "id string, case_id string, record_id string, body string, created_at string, updated_at string"
-)
 EXPORTS = _struct("id string, case_id string, format string, relative_path string, created_at string")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.catalogue import conform_columns, dedup_first, keyed_rows
-from ..operators.common import derived_id
+from ..functions.text import blank_to_null, trim_ws
+from ..operators.catalogue import keyed_rows
+from ..operators.common import derived_id, first_row, join_many_to_one
+from ..schemas import CATALOGUE_HEADERS
 
 _CSV = {
-    "header": "true",
+    "header": "false",
     "multiLine": "true",
     "quote": '"',
     "escape": '"',
@@ -16,33 +18,50 @@ _CSV = {
     "ignoreTrailingWhiteSpace": "true",
     "mode": "PERMISSIVE",
     "encoding": "UTF-8",
-    # two files of one folder may order their columns differently
-    "enforceSchema": "false",
 }
+#: Columns a catalogue file may have; a wider header is an error.
+MAX_COLUMNS = 64
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the catalogue files as text, with ``file`` and ``ordinal``, the order within the file.
+def read_raw_csv(spark: SparkSession, path: str, spec: dict[str, str] | None = None) -> DataFrame:
+    """Rows of the catalogue files: ``file``, ``ordinal`` (grows with the line) and the columns of ``spec``.
 
-    Fields may span lines, so a file is read by one task; the running id grows with
-    the line there. All files of the path share one header.
+    Every file has a header of its own, in any order: its first row says which value
+    belongs to which column (case and outer blanks do not count, of two equal headers
+    the later one does, unknown ones are left out). Blank and missing values are NULL.
+    Fields may span lines, so a file is read by one task; several files are read by many.
     """
-    raw = spark.read.options(**{**_CSV, "enforceSchema": "true"}).csv(path)
-    # a header may come with blanks around it or twice; names are matched later
-    return raw.withColumn("file", F.col("_metadata.file_path")).withColumn("ordinal", F.monotonically_increasing_id())
+    spec = spec or CATALOGUE_HEADERS
+    names = [f"c{i}" for i in range(MAX_COLUMNS + 1)]
+    raw = spark.read.options(**_CSV).schema(", ".join(f"{n} string" for n in names)).csv(path)
+    rows = raw.select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ordinal"), F.array(*names).alias("_values")
+    )
+    first = rows.groupBy("file").agg(F.min(F.struct("ordinal", "_values")).alias("_head"))
+    title = lambda h: F.lower(trim_ws(F.ltrim(h, F.lit("\ufeff"))))
+    heads = F.transform("_head._values", lambda h: F.coalesce(title(h), F.lit("")))
+    too_wide = F.raise_error(F.format_string("more than %d columns: %s", F.lit(MAX_COLUMNS), F.col("file")))
+    heads = F.when(F.get("_head._values", F.lit(MAX_COLUMNS)).isNotNull(), too_wide.cast("array<string>")).otherwise(heads)
+    first = first.select("file", F.col("_head.ordinal").alias("_top"), F.reverse(heads).alias("_names"))
+    # counted from the end, so that the last of equal headers is found
+    place = lambda h: F.lit(MAX_COLUMNS + 1) - F.array_position("_names", h.strip().lower()).cast("int")
+    values = [
+        F.when(F.array_contains("_names", h.strip().lower()), blank_to_null(F.get("_values", place(h)))).alias(name)
+        for h, name in spec.items()
+    ]
+    return join_many_to_one(rows, first, ["file"]).filter("ordinal > _top").select("file", "ordinal", *values)
 
 
 def read_catalogue_csv(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """Usable rows of a release with ``stable_key`` and ``content_hash``, first of each key.
 
-    With ``check`` a release without any usable row is an error, found by looking for
-    a single row.
+    First means the first line of the first file, by path. With ``check`` a release
+    without any usable row is an error, found by looking for a single row.
     """
-    conformed = conform_columns(read_raw_csv(spark, path), keep=("file", "ordinal"))
-    usable = conformed.filter(F.col("title").isNotNull())
+    usable = read_raw_csv(spark, path).filter(F.col("title").isNotNull())
     if check and not usable.take(1):
         raise ValueError(f"catalogue without usable records: {path}")
-    return dedup_first(keyed_rows(usable)).drop("ordinal")
+    return first_row(keyed_rows(usable), ["stable_key"], [F.col("file"), F.col("ordinal")]).drop("ordinal")
 
 
 # fixed values: starts of an error page delivered in place of data (case matters)
@@ -115,7 +134,3 @@ def snapshot_rows(rows: DataFrame, snapshot_id: str) -> DataFrame:
         F.to_json(F.struct(*sorted(catalogue)), {"ignoreNullFields": "false"}).alias("record_json"),
     )
 
-
-def catalogue_schema(headers: list[str]) -> T.StructType:
-    """All-text schema of a catalogue file with the given headers."""
-    return T.StructType([T.StructField(h, T.StringType()) for h in headers])

@@ -188,12 +188,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all cores where the files give fewer partitions than there are cores.
-
-    Only for work that is heavy per row; a table of many files is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    """Rows dealt over the default number of tasks, for work that is heavy per row on tables of few files."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -41,6 +41,30 @@ def test_csv_rows_of_every_kind(spark, tmp_path):
     assert rows["Short"].stable_key.startswith("meta:") and rows["Short"].redaction is None
 
 
+def test_files_of_a_release_have_their_own_headers(spark, tmp_path):
+    write(tmp_path, "b.csv", "Title,Agency,PDF | Image Link\n" + "Two,FBI,https://ex.org/2\n" + "Same,late,https://ex.org/s\n" + '"x\ny",B,\n' * 400)
+    write(tmp_path, "a.csv", "\ufeff agency ,unknown,TITLE,Title,pdf | image link\n" + "NASA,u,old,One,https://ex.org/1\n" + "first,u,,Same,https://ex.org/s\n")
+    rows = read(spark, str(tmp_path))
+    assert set(rows) == {"One", "Two", "Same", "x\ny"}
+    assert (rows["One"].agency, rows["Two"].agency, rows["x\ny"].agency) == ("NASA", "FBI", "B")
+    # the larger file comes first in a scan, the first one by path still wins
+    assert rows["Same"].agency == "first" and rows["Same"].file.endswith("a.csv")
+
+
+def test_too_wide_a_header_is_an_error(spark, tmp_path):
+    path = write(tmp_path, "w.csv", ",".join(["Title", *[f"c{i}" for i in range(src.MAX_COLUMNS)]]) + "\nx\n")
+    with pytest.raises(Exception, match="more than 64 columns"):
+        src.read_catalogue_csv(spark, path).collect()
+
+
+def test_derived_ids_tell_keys_apart(spark):
+    from caseloom.operators.common import derived_id
+
+    rows = [("a|b", "c"), ("a", "b|c"), ("a", None), ("a", ""), (None, "a"), ("a\\", "b"), ("a", "\\N"), ("a\\|b", "c")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert len({r[0] for r in df.select(derived_id("k", "x", "y")).collect()}) == len(rows)
+
+
 def test_release_without_usable_rows_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError):
         src.read_catalogue_csv(spark, write(tmp_path, "c.csv", HEADER + "\n ,a,b,,\n"))

@@ -5,7 +5,31 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import cases as ca, common as cm, quality as q, search as se, texts as tx
 
-FORCE = {"hot_rows": 50, "small_bytes": 0, "salts": 4}
+#: Partitions count as large from a few bytes on, so that adaptive execution splits the hot ones.
+SPLIT = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    "spark.sql.shuffle.partitions": "16",
+}
+
+
+class split:  # noqa: N801
+    """Within: joins whose hot partitions are split."""
+
+    def __init__(self, spark):
+        self.conf, self.old = spark.conf, {}
+
+    def __enter__(self):
+        for key, value in SPLIT.items():
+            self.old[key] = self.conf.get(key, None)
+            self.conf.set(key, value)
+
+    def __exit__(self, *_):
+        for key, value in self.old.items():
+            self.conf.unset(key) if value is None else self.conf.set(key, value)
 
 
 @pytest.fixture(scope="module")
@@ -18,28 +42,20 @@ def tables(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_the_plain_one(tables, how):
+def test_hot_keys_are_split_at_run_time(spark, tables, how):
     many, one = tables
     plain = sorted(map(tuple, many.join(one, "k", how).fillna(-1).collect()))
-    salted = cm.join_many_to_one(many, one, ["k"], how, **FORCE)
-    assert sorted(map(tuple, salted.fillna(-1).collect())) == plain
+    with split(spark):
+        joined = cm.join_many_to_one(many.repartition(6), one.repartition(6), ["k"], how)
+        assert sorted(tuple(-1 if v is None else v for v in r) for r in joined.collect()) == plain
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
 
 
-def test_only_hot_keys_are_found_and_copies_are_split(tables):
-    many, one = tables
-    hot = cm.hot_keys(many, ["k"], 50, 0)
-    assert hot == [many.sparkSession.range(1).select(F.lit(7).cast("long").alias("k")).select(cm.key_hash(["k"])).head()[0]]
-    assert cm.hot_keys(many, ["k"]) == []  # small tables are left alone
-    copies = many.filter("k = 7").select("k")
-    salts = copies.select(F.pmod(F.spark_partition_id(), F.lit(4)).alias("s")).distinct().count()
-    assert salts == 4
-
-
-def test_one_to_many_keeps_unmatched_rows(tables):
+def test_one_to_many_keeps_unmatched_rows(spark, tables):
     many, one = tables
     plain = sorted(map(str, one.join(many, "k", "left").select("k", "w", "v").collect()))
-    salted = cm.join_one_to_many(one, many, ["k"], **FORCE).select("k", "w", "v")
-    assert sorted(map(str, salted.collect())) == plain
+    with split(spark):
+        assert sorted(map(str, cm.join_one_to_many(one, many, ["k"]).select("k", "w", "v").collect())) == plain
 
 
 def test_joined_text_parts_are_bounded_and_whole(spark):
@@ -73,14 +89,22 @@ def hot_records(spark):
     )
 
 
-def same(plain, salted):
-    left, right = plain.select(sorted(plain.columns)), salted.select(sorted(salted.columns))
-    assert sorted(map(str, left.collect())) == sorted(map(str, right.collect()))
+def same(spark, make):
+    """``make()`` gives one or several tables: alike with and without splitting."""
+
+    def rows():
+        made = make()
+        frames = made if isinstance(made, tuple) else tuple(made.values()) if isinstance(made, dict) else (made,)
+        return [sorted(map(str, f.select(sorted(f.columns)).collect())) for f in frames]
+
+    plain = rows()
+    with split(spark):
+        assert rows() == plain
 
 
 def test_operators_give_the_same_with_hot_keys(spark):
     records = hot_records(spark)
-    same(q.drop_duplicate_records(records), q.drop_duplicate_records(records, **FORCE))
+    same(spark, lambda: q.drop_duplicate_records(records))
     artifacts = records.select(
         F.when(F.col("title") == "same", "3").otherwise(F.col("id")).alias("record_id"),
         F.sha2("id", 256).alias("sha256"),
@@ -88,18 +112,16 @@ def test_operators_give_the_same_with_hot_keys(spark):
         (F.col("id").cast("long") * 3).alias("byte_size"),
         F.lit("official").alias("source_type"),
     )
-    for plain, salted in zip(q.drop_poisoned_artifacts(artifacts, records), q.drop_poisoned_artifacts(artifacts, records, **FORCE)):
-        same(plain, salted)
+    same(spark, lambda: q.drop_poisoned_artifacts(artifacts, records))
     files = artifacts.groupBy(F.col("relative_path").alias("local_path")).agg(F.min("sha256").alias("file_hash"))
-    same(q.verify_integrity(records, artifacts, files), q.verify_integrity(records, artifacts, files, **FORCE))
+    same(spark, lambda: q.verify_integrity(records, artifacts, files))
     links = artifacts.select("record_id", F.lit("e").alias("name"))
     assets = artifacts.select(F.col("sha256").alias("id"), "record_id", F.lit("image").alias("asset_type"), F.col("relative_path").alias("local_path"))
     listed = records.withColumn("release_date", F.lit("x")).withColumn("created_at", F.lit("x")).withColumn("agency", F.lit("a"))
-    same(se.list_records(listed, artifacts, links, assets), se.list_records(listed, artifacts, links, assets, **FORCE))
+    same(spark, lambda: se.list_records(listed, artifacts, links, assets))
     tables = {"records": records.withColumn("intelligence_json", F.lit("x")).withColumn("redaction_score", F.lit(1.0)), "record_entities": links}
     ids = spark.createDataFrame([("3",), ("4",)], "id string")
-    for name, frame in q.clear_analysis(tables, ids, **FORCE).items():
-        same(q.clear_analysis(tables, ids)[name], frame)
+    same(spark, lambda: q.clear_analysis(tables, ids))
 
 
 def test_entities_and_cases_with_hot_keys(spark):
@@ -109,7 +131,7 @@ def test_entities_and_cases_with_hot_keys(spark):
     entities = tx.upsert_entities(known, hits)
     none = spark.createDataFrame([("zz", "x", 1.0), ("3", "x", 1.0)], "record_id string, entity_id string, confidence double")
     done = hits.select("record_id")
-    same(tx.link_entities(none, hits, entities, done), tx.link_entities(none, hits, entities, done, **FORCE))
+    same(spark, lambda: tx.link_entities(none, hits, entities, done))
     members = records.select(
         F.when(F.col("title") == "same", "hot").otherwise(F.concat(F.lit("c"), F.col("id").cast("long") % 5)).alias("case_id"),
         F.col("id").alias("record_id"),
@@ -118,15 +140,13 @@ def test_entities_and_cases_with_hot_keys(spark):
     cases = members.select(F.col("case_id").alias("id"), F.col("case_id").alias("title"), F.lit(None).cast("string").alias("description"), F.lit("t").alias("created_at")).distinct().filter("id <> 'c4'")
     notes = members.select("case_id", F.col("record_id").alias("id"), F.lit("b").alias("body"), F.lit("t").alias("created_at"))
     requests = members.withColumn("ordinal", F.lit(1)).withColumn("request_id", F.col("record_id")).withColumn("body", F.lit("b"))
-    for plain, salted in zip(ca.add_members(members.limit(0), requests, cases, records), ca.add_members(members.limit(0), requests, cases, records, **FORCE)):
-        same(plain, salted)
+    same(spark, lambda: ca.add_members(members.limit(0), requests, cases, records))
     asked = requests.select("request_id", "case_id", "record_id", "body")
-    for plain, salted in zip(ca.append_notes(notes, asked, cases, "t"), ca.append_notes(notes, asked, cases, "t", **FORCE)):
-        same(plain, salted)
+    same(spark, lambda: ca.append_notes(notes, asked, cases, "t"))
     links = hits.select("record_id", "name", "entity_type", "confidence")
     results = records.select(F.col("id").alias("record_id"), F.col("title").alias("ocr_text"))
     arguments = (cases, members, notes, records, links, results)
-    same(ca.dossier_blocks(*arguments), ca.dossier_blocks(*arguments, **FORCE))
+    same(spark, lambda: ca.dossier_blocks(*arguments))
 
 
 def test_fragments_of_a_hot_record(spark):
@@ -136,5 +156,4 @@ def test_fragments_of_a_hot_record(spark):
     )
     vectors = fragments.select(F.col("id").alias("fragment_id"), F.array(F.col("id").cast("double"), F.lit(50.0)).alias("embedding"))
     queries = fragments.select("record_id").distinct().withColumn("embedding", F.array(F.lit(1.0), F.lit(1.0)))
-    force = {**FORCE, "hot_rows": 30}
-    same(se.fragment_search_by_record(queries, fragments, vectors), se.fragment_search_by_record(queries, fragments, vectors, **force))
+    same(spark, lambda: se.fragment_search_by_record(queries, fragments, vectors))
