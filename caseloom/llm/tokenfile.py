@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from caseloom.session import scratch_path
 
 from .common import by_size, byte_view, range_bounds, range_number, running_starts, stored
+from .words import piece_hashes
 
 MAGIC = b"DAC1"
 BITS = 8
@@ -40,8 +41,8 @@ SPAN = 512
 #: Id that ends every document.
 END = 2
 _BYTES = 3 << 20
-#: Distinct pieces whose ids a worker remembers, about 300 bytes each; beyond it starts anew.
-_REMEMBER = 400_000
+#: Distinct pieces whose ids a worker remembers, about 40 bytes each; beyond it starts anew.
+_REMEMBER = 2_000_000
 
 
 # ---- the code ---------------------------------------------------------------------
@@ -122,8 +123,9 @@ class PieceTokenizer:
 
     Its pre-tokenizer never joins over the start of a run of white space, nor over a
     letter and a punctuation mark after it, so a text is cut there and every different
-    piece is encoded once: the ids of the pieces in a row are those of the text. Texts
-    that hold a special token's string are encoded whole.
+    piece is encoded once: the ids of the pieces in a row are those of the text. Pieces
+    are told apart by 64-bit hashes. Texts that hold a special token's string are encoded
+    whole.
     """
 
     def __init__(self, path: str):
@@ -134,18 +136,19 @@ class PieceTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = np.zeros(0, np.uint64)
+        self.place = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         """Encode new pieces; those that start with a space and end in none are encoded as one text."""
-        plain, odd = [], []
-        for p in pieces:
-            (plain if p[0] == " " and p[-1] > " " and not p[-1].isspace() else odd).append(p)
+        simple = np.array([p[0] == " " and p[-1] > " " and not p[-1].isspace() for p in pieces])
+        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+        plain, odd = [pieces[i] for i in np.flatnonzero(simple)], [pieces[i] for i in np.flatnonzero(~simple)]
         ids, counts = [], []
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
+        for at in range(0, len(plain), 10_000):
+            some = plain[at : at + 10_000]
             found = self.tokenizer.encode("".join(some), add_special_tokens=False)
             ends = np.cumsum([len(p) for p in some])
             begin = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.offsets))
@@ -155,29 +158,37 @@ class PieceTokenizer:
             for found in self.tokenizer.encode_batch(odd[at : at + 256], add_special_tokens=False):
                 ids.append(np.asarray(found.ids, np.uint32))
                 counts.append(np.array([len(found.ids)]))
-        first = len(self.known)
-        self.known.update(zip(plain + odd, range(first, first + len(pieces)), strict=True))
+        new = len(self.ends) - 1 + np.arange(len(pieces))
         self.ids = np.concatenate([self.ids, *ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
+        known, place = np.concatenate([self.known, hashes[order]]), np.concatenate([self.place, new])
+        sort = np.argsort(known, kind="stable")
+        self.known, self.place = known[sort], place[sort]
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, ``end`` after each, and the number of ids of each."""
         data, offsets = byte_view(texts)
         n = len(offsets) - 1
-        pieces, owner = _pieces(data, offsets)
-        coded = pieces.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        bounds = _piece_bounds(data, offsets)
+        owner = np.searchsorted(offsets, bounds[:-1], side="right") - 1
+        hashes, first, which = np.unique(piece_hashes(data, bounds), return_index=True, return_inverse=True)
         if len(self.known) > _REMEMBER:
             self.forget()
-        new = [w for w in words if w not in self.known]
-        if new:
-            self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        at = place[coded.indices.to_numpy(zero_copy_only=False)]
-        size = self.ends[at + 1] - self.ends[at]
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != hashes[inside]
+        if new.any():
+            body = data.tobytes()
+            spans = zip(bounds[first[new]].tolist(), bounds[first[new] + 1].tolist(), strict=True)
+            self._learn(hashes[new], [body[a:b].decode() for a, b in spans])
+            at = np.searchsorted(self.known, hashes)
+        place = self.place[at][which] if len(hashes) else np.zeros(0, np.int64)
+        begin = self.ends[place]
+        size = self.ends[place + 1] - begin
         each = np.bincount(owner, size, n).astype(np.int64) if len(owner) else np.zeros(n, np.int64)
         source = np.arange(size.sum())
-        source -= np.repeat(np.cumsum(size) - size - self.ends[at], size)
+        source -= np.repeat(np.cumsum(size) - size - begin, size)
         ids = self.ids[source]
         for i in self._with_special(texts):
             whole = np.asarray(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
@@ -211,8 +222,8 @@ _MARK = np.zeros(256, bool)
 _MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Pieces of all texts, and the text each belongs to; empty texts have none."""
+def _piece_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of all texts begin, and the end of the data; empty texts have none."""
     space = np.flatnonzero(data == 32)
     before = data[np.maximum(space - 1, 0)]
     two, three = data[np.maximum(space - 2, 0)], data[np.maximum(space - 3, 0)]
@@ -223,12 +234,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray
     if len(data):
         cut[1:-1] |= _MARK[data[1:]] & _LETTER[data[:-1]]
     cut[offsets] = True
-    at = np.flatnonzero(cut)
-    bounds = at if len(data) else np.zeros(1, np.int64)
-    pieces = pa.StringArray.from_buffers(
-        len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))
-    )
-    return pieces, np.searchsorted(offsets, bounds[:-1], side="right") - 1
+    return np.flatnonzero(cut) if len(data) else np.zeros(1, np.int64)
 
 
 # ---- files ------------------------------------------------------------------------

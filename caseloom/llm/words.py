@@ -99,6 +99,24 @@ def word_hashes(texts: pa.Array, table: np.ndarray = _VALUES) -> tuple[np.ndarra
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
 
 
+def piece_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Hash of all bytes of every piece; ``bounds`` ascend and end with the end of the data."""
+    table = mix(np.arange(2001, 2257, dtype=np.uint64) * _STEP)
+    out, first = np.zeros(len(bounds) - 1, np.uint64), 0
+    while first < len(out):
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + _BLOCK, side="right")) - 1)
+        start = bounds[first]
+        values = table[data[start : bounds[last]]]
+        up, down = _power_tables(len(values))
+        values *= up[: len(values)]
+        total = np.concatenate([[np.uint64(0)], np.cumsum(values)])
+        at = bounds[first : last + 1] - start
+        sums = np.diff(total[at]) * down[at[:-1]]
+        out[first:last] = mix(sums + np.diff(at).astype(np.uint64) * _STEP)
+        first = last
+    return out
+
+
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every run of ``size`` words, and where each text's runs begin.
 
