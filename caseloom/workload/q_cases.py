@@ -315,13 +315,18 @@ def l01(spark: SparkSession, sf: str) -> DataFrame:
     return _manifest(spark, sf)
 
 
-@query(
-    "l02_build_prompts",
-    f"""
+def _prompt_sql(per_record: int) -> str:
+    """Prompts whose context comes from ``per_record`` conversations each."""
+    return f"""
 with {_MANIFEST_SQL},
+turns as (
+  select cast(conv_id // {per_record} as varchar) as record_id, conv_id * 1000 + turn as rank, text from conversations
+),
+first as (
+  select * from (select *, row_number() over (partition by record_id order by rank, text) as rn from turns) where rn <= 15
+),
 frag as (
-  select cast(conv_id as varchar) as record_id, string_agg(text, chr(10) || '---' || chr(10) order by turn) as context
-  from conversations group by 1
+  select record_id, string_agg(text, chr(10) || '---' || chr(10) order by rank, text) as context from first group by 1
 ),
 img as (select record_id, count(*) as images from fx_assets where asset_type = 'image' group by 1),
 framed as (
@@ -339,18 +344,30 @@ framed as (
 )
 select record_id, -2 as part, sha256(head) as prompt_hash from framed
 union all select record_id, part, sha256(manifest) from manifest
-union all select record_id, 4611686018427387904, sha256(tail) from framed""",
-)
-def l02(spark: SparkSession, sf: str) -> DataFrame:
+union all select record_id, 4611686018427387904, sha256(tail) from framed"""
+
+
+def _prompts(spark: SparkSession, sf: str, per_record: int) -> DataFrame:
     fragments = table(spark, sf, "conversations").select(
-        F.col("conv_id").cast("string").alias("record_id"), F.col("turn").alias("rank"), "text"
-    )
-    prompts = rs.build_prompts(
-        view(spark, sf, "fx_docs"), _manifest(spark, sf), fragments, view(spark, sf, "fx_assets")
+        F.floor(F.col("conv_id") / per_record).cast("string").alias("record_id"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("rank"),
+        "text",
     )
+    prompts = rs.build_prompts(view(spark, sf, "fx_docs"), _manifest(spark, sf), fragments, view(spark, sf, "fx_assets"))
     return prompts.select("record_id", "part", F.sha2("prompt", 256).alias("prompt_hash"))
 
 
+@query("l02_build_prompts", _prompt_sql(1))
+def l02(spark: SparkSession, sf: str) -> DataFrame:
+    return _prompts(spark, sf, 1)
+
+
+@query("l02_build_prompts_top", _prompt_sql(20))
+def l02_top(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with far more fragments than a prompt shows."""
+    return _prompts(spark, sf, 20)
+
+
 _PARSED_SQL = """
 split as (
   select record_id, generated,

@@ -56,6 +56,29 @@ def s01(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "s01_read_catalogue_files",
+    f"""
+select 'Doc "00' || doc_id || '"' as title, source as agency, 'https://ex.org/a%20file/' || doc_id as document_url,
+  sha256({trim("case when doc_id % 2 = 0 then 'first, ' else 'later, ' end || text")}) as summary_hash,
+  case when doc_id % 2 = 0 then 'a' else 'b' end as folder
+from documents""",
+)
+def s01_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A release in files whose headers differ in order; keys that stand in several files come from the first one."""
+    path = scratch_path(spark, "files")
+    rows = _release(spark, sf).withColumn("n", F.regexp_extract(" Title", "00([0-9]+)", 1).cast("long"))
+    columns = [c for c in rows.columns if c != "n"]
+    summary = f" {_HEADER_OF['summary']}"
+    later = rows.withColumn(summary, F.concat(F.lit("later"), F.expr(f"substring(`{summary}`, 6)")))
+    for folder, frame in (("a", rows.filter("n % 2 = 0").select(*columns)), ("b", later.select(*reversed(columns)))):
+        writer = frame.write.option("header", "true").option("quoteAll", "true").option("escape", '"')
+        writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(f"{path}/{folder}")
+    found = src.read_catalogue_csv(spark, f"{path}/*")
+    folder = F.regexp_extract("file", "/([ab])/[^/]*$", 1).alias("folder")
+    return found.select("title", "agency", "document_url", F.sha2("summary", 256).alias("summary_hash"), folder)
+
+
 @query(
     "s02_split_html_payloads",
     """

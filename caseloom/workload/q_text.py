@@ -276,6 +276,71 @@ def x10_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return _index_pass(spark, sf).chunks.select("record_id", "chunk_index", "text", "engine_name", "model_version")
 
 
+_TODO = """todo as (
+  select x.record_id, x.ocr_text as text from fx_records r join fx_results x on x.record_id = r.id
+  where r.local_path is not null and (r.analysis_status is null or r.analysis_status not in ('indexed', 'completed'))
+    and x.ocr_text is not null
+)"""
+
+
+@query(
+    "x10_run_index_documents",
+    f"""
+with recursive {_TODO}, {chunk_ctes("todo")},
+{_HITS},
+named as (
+  select record_id, string_agg(name, ' ' order by lower(name), entity_type) as entities from hits
+  where entity_type <> 'date' or exists (select 1 from fx_docs d where d.record_id = hits.record_id
+    and regexp_matches(d.text, name)) group by record_id
+)
+select sha256('chunk|' || record_id || '|' || chunk_index) as chunk_id, record_id, d.title as title,
+  c.chunk as text, coalesce(n.entities, '') as entities
+from chunk c join fx_docs d using (record_id) left join named n using (record_id)""",
+)
+def x10_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return _index_pass(spark, sf).search_documents.select("chunk_id", "record_id", "title", "text", "entities")
+
+
+@query(
+    "x10_run_index_vectors",
+    f"""
+with recursive {_TODO}, {chunk_ctes("todo")}
+select sha256('chunk|' || record_id || '|' || chunk_index) as chunk_id, 384 as dims, cast(1.0 as double) as norm from chunk""",
+)
+def x10_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return _index_pass(spark, sf).vectors.select("chunk_id", F.size("embedding").alias("dims"), F.round(F.sqrt(square), 4).alias("norm"))
+
+
+@query(
+    "x10_run_index_results",
+    f"""
+with {_TODO}
+select x.record_id, coalesce(t.text, 'old') as ocr_text, case when t.record_id is null then x.processed_at else '{TS}' end
+  as processed_at
+from fx_results x left join todo t using (record_id)""",
+)
+def x10_results(spark: SparkSession, sf: str) -> DataFrame:
+    return _index_pass(spark, sf).results.select("record_id", "ocr_text", "processed_at")
+
+
+@query(
+    "x10_run_index_links",
+    f"""
+with {_TODO}, {_HITS},
+own as (
+  select h.record_id, count(*) as links from hits h join todo t using (record_id)
+  where entity_type <> 'date' or regexp_matches(t.text, name) group by 1
+),
+kept as (select record_id, count(*) as links from fx_links where record_id not in (select record_id from todo) group by 1)
+select record_id, links from own union all select record_id, links from kept""",
+)
+def x10_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links per record: new ones where the pass read a text, the old ones elsewhere."""
+    links = _index_pass(spark, sf).links
+    return links.groupBy("record_id").agg(F.count(F.lit(1)).alias("links"))
+
+
 @query(
     "x11_forensic_boxes",
     """
@@ -374,6 +439,16 @@ def x13(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("x13_layer_ids", "select count(*) as layers, count(*) as ids from fx_page_ops where w > 10 and h > 5")
+def x13_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stored layer has an id of its own."""
+    layers = ly.box_layers(view(spark, sf, "fx_page_ops"))
+    none = spark.createDataFrame([], "id string, record_id string, layer_type string, content string, confidence double, "
+                                 "bounding_box_json string, metadata_json string, created_at string")
+    saved = ly.save_forensics(none, layers, TS)
+    return saved.agg(F.count(F.lit(1)).alias("layers"), F.count_distinct("id").alias("ids"))
+
+
 @query(
     "x14_seal_unseal",
     """
@@ -581,6 +656,23 @@ def v05(spark: SparkSession, sf: str) -> DataFrame:
     return se.fragment_search_by_record(*_fragments(spark, sf))
 
 
+@query(
+    "v05_fragment_search_post",
+    f"""
+with {_POOLED},
+near as (
+  select p.record_id as asked, f.id as fragment_id, f.record_id, f.text,
+    round(1 - list_cosine_similarity(p.q, f.embedding::double[]), 6) + 0.0 as distance
+  from pooled p, fx_fragments f
+)
+select record_id, fragment_id, text, distance from (
+  select *, row_number() over (partition by asked order by distance, fragment_id) as rn from near)
+where rn <= 15 and record_id = asked""",
+)
+def v05_post(spark: SparkSession, sf: str) -> DataFrame:
+    return se.fragment_search_by_record(*_fragments(spark, sf), filter_mode="post")
+
+
 @query(
     "v06_match_percent",
     """
