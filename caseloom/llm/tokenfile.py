@@ -38,9 +38,9 @@ MAGIC = b"DAC1"
 BITS = 8
 #: Entries per number of the rank directory.
 SPAN = 512
-#: Id that ends every document.
-END = 2
-_BYTES = 3 << 20
+#: Id that ends every document, and documents in a file on average.
+END, SHARD = 2, 2048
+_BYTES = 2 << 20
 #: Distinct pieces whose ids a worker remembers, about 40 bytes each; beyond it starts anew.
 _REMEMBER = 2_000_000
 
@@ -257,12 +257,12 @@ def write_tokens(
 
     Rows are dealt by ranges of doc_id (NULL first, repeated ids together, then by text;
     a NULL text is empty), one file ``shard-<number>.dac`` for every range (cut at
-    ``bounds``, ascending doc_ids; by default about 4,096 documents each); an
+    ``bounds``, ascending doc_ids; by default about 2,048 documents each); an
     empty table writes none. Each worker sorts its range, so only texts move, once.
     Other columns are ignored.
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    bounds = range_bounds(narrow, "_id") if bounds is None else bounds
+    bounds = range_bounds(narrow, "_id", SHARD) if bounds is None else bounds
     ranged = narrow.withColumn("_shard", range_number(bounds, F.col("_id")))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +324,7 @@ def token_table(
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "llm-tokens")
     ids = docs.select(F.col(doc_id).cast("long").alias("_id"))
-    bounds = range_bounds(ids, "_id")
+    bounds = range_bounds(ids, "_id", SHARD)
     shards = stored(write_tokens(docs, folder, tokenizer, doc_id, text, bounds=bounds), "shards")
     schema = "shard long, n long, begin long, n_tokens long, ids_crc32 long"
     found = read_tokens(spark, folder) if not shards.isEmpty() else spark.createDataFrame([], schema)

@@ -304,7 +304,7 @@ def test_token_query_equals_plain_encoding(spark):
 
 
 def test_token_edges(spark, monkeypatch):
-    monkeypatch.setattr(tokenfile, "range_bounds", lambda df, key: [3, 9])
+    monkeypatch.setattr(tokenfile, "range_bounds", lambda df, key, rows: [3, 9])
     docs = [(None, "null id"), (1, "b c"), (1, "z"), (3, None)] + [(5 + k, t) for k, t in enumerate(HARD)] + [(4, "q"), (4, "q")]
     rows = tokenfile.token_table(docs_of(spark, docs), PATH).collect()
     check_tokens(rows, sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or "")))
