@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import is_blank, trim_ws
 from .common import derived_id, first_row, join_many_to_one, union_all
 
+#: Fixed value: characters of a record's text shown in a dossier.
 EXCERPT_CHARS = 1600
 
 
@@ -157,12 +158,13 @@ def _optional_fact(label: str, column: str) -> Column:
     return F.when(is_blank(column), F.lit("")).otherwise(_fact(label, trim_ws(column)))
 
 
-def _record_pieces(records: DataFrame, links: DataFrame, results: DataFrame) -> DataFrame:
+def _record_pieces(records: DataFrame, links: DataFrame, results: DataFrame, excerpt_chars: int | None) -> DataFrame:
     """Per record, independent of any case: date, texts around the membership note, entity flag."""
     text = F.replace(F.col("ocr_text"), F.lit("\n"), F.lit("\n> "))
+    shown = text if excerpt_chars is None else F.substring(text, 1, excerpt_chars)
     excerpts = results.filter(~is_blank("ocr_text")).select(
         F.col("record_id").alias("id"),
-        F.concat(F.lit(_EXCERPT_HEAD), F.substring(text, 1, EXCERPT_CHARS), F.lit("\n\n")).alias("_excerpt"),
+        F.concat(F.lit(_EXCERPT_HEAD), shown, F.lit("\n\n")).alias("_excerpt"),
     )
     owners = links.select(F.col("record_id").alias("id")).distinct().withColumn("_owner", F.lit(True))
     facts = [_optional_fact(label, column) for label, column in _FACTS if column in records.columns]
@@ -189,11 +191,12 @@ def dossier_blocks(
     records: DataFrame,
     links: DataFrame,
     results: DataFrame,
+    excerpt_chars: int | None = EXCERPT_CHARS,
 ) -> DataFrame:
     """The Markdown dossier of every case as blocks, whole once sorted by :data:`BLOCK_ORDER`.
 
     ``links`` is (record_id, name, entity_type, confidence), ``results`` (record_id,
-    ocr_text). The text of a record is put together once, however many cases it is
+    ocr_text), of which the first ``excerpt_chars`` characters are shown (None: all). The text of a record is put together once, however many cases it is
     in. No task gathers a case: a case of any size is a sorted range of rows.
     """
     known_cases = cases.select(F.col("id").alias("case_id"))
@@ -202,7 +205,7 @@ def dossier_blocks(
     places = members.select("case_id", F.col("record_id").alias("id"), _known(members, "notes").alias("_note"))
 
     # per membership: the record's facts with the note, its entity heading, its excerpt
-    pieces = _record_pieces(records, links, results)
+    pieces = _record_pieces(records, links, results, excerpt_chars)
     evidence = join_many_to_one(places, pieces, ["id"], "inner")
     entry = F.concat("_facts", _optional_fact("Case Notes", "_note"), "_summary")
     parts = F.array(

@@ -47,7 +47,8 @@ def status_rollup(tables: dict[str, DataFrame]) -> DataFrame:
     every = F.count(F.lit(1))
     latest = F.max_by(
         F.struct("fetched_at", "upstream_url", "record_count"),
-        F.when(F.col("status") == "completed", F.col("fetched_at")),
+        # of several sources synced at the same time the last by address counts
+        F.when(F.col("status") == "completed", F.struct("fetched_at", "upstream_url", "record_count")),
     )
     plans: dict[str, dict[str, Column]] = {
         "records": {

@@ -554,11 +554,15 @@ rollup_row as (
     count(*) filter (analysis_status is null or analysis_status not in ('completed', 'indexed')) as unanalyzed_count,
     count(*) filter (analysis_status = 'completed') as completed_count,
     count(*) filter (analysis_status is null or analysis_status = 'pending') as pending_count,
-    cast(0 as bigint) as analysis_chunks, (select count(*) from fx_fragments) as vector_chunks,
+    (select count(*) from fx_docs) as analysis_chunks, (select count(*) from fx_fragments) as vector_chunks,
     (select count(*) from fx_links) as entity_count, (select count(*) from fx_cases) as case_count,
     (select count(*) from fx_manifest) as source_snapshots,
     (select count(*) from fx_jobs where status in ('queued', 'running')) as active_download_jobs,
-    (select max(fetched_at) from fx_manifest where status = 'completed') as latest_snapshot_at
+    (select max(fetched_at) from fx_manifest where status = 'completed') as latest_snapshot_at,
+    (select upstream_url from fx_manifest where status = 'completed'
+      order by fetched_at desc, upstream_url desc, record_count desc limit 1) as latest_snapshot_url,
+    (select record_count from fx_manifest where status = 'completed'
+      order by fetched_at desc, upstream_url desc, record_count desc limit 1) as latest_snapshot_records
   from fx_records
 )"""
 
@@ -567,6 +571,7 @@ def _rollup(spark: SparkSession, sf: str) -> DataFrame:
     names = {
         "records": "fx_records",
         "artifacts": "fx_artifacts",
+        "chunks": "fx_docs",
         "vectors": "fx_fragments",
         "entities": "fx_links",
         "cases": "fx_cases",
@@ -578,8 +583,7 @@ def _rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d01_status_rollup", f"with {_ROLLUP_SQL} select * from rollup_row")
 def d01(spark: SparkSession, sf: str) -> DataFrame:
-    # which of several sources synced on the newest day is reported is not defined
-    return _rollup(spark, sf).drop("latest_snapshot_url", "latest_snapshot_records")
+    return _rollup(spark, sf)
 
 
 @query(
