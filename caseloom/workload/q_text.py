@@ -608,6 +608,28 @@ def v03(spark: SparkSession, sf: str) -> DataFrame:
     return total
 
 
+@query(
+    "v03_search_vectors",
+    f"""
+select id, title, agency, document_url, artifact_sha256, distance, chunk_id, excerpt_hash, count(*) over () as total
+from ({_search_sql("t.query_id = (select min(item_id) from benchmark)")})""",
+)
+def v03_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """One text through the entry point of the search, where vectors exist: rows and total."""
+    text = table(spark, sf, "benchmark").agg(F.min_by("text", "item_id")).first()[0]
+    chunks = _chunks(spark, sf)
+    rows, total = se.search(
+        text,
+        lambda asked: tx.hash_embed(asked, ["query_id"]),
+        chunks,
+        _vectors(chunks),
+        view(spark, sf, "fx_records"),
+        view(spark, sf, "fx_artifacts"),
+    )
+    found = rows.select(*_SEARCH_COLUMNS[1:], F.sha2("excerpt", 256).alias("excerpt_hash"))
+    return found.withColumn("total", F.lit(total.first()["total"]).cast("long"))
+
+
 def _fragments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = view(spark, sf, "fx_fragments")
     queries = tx.mean_pool(table(spark, sf, "embeddings"), "label", "vec_id").select(
