@@ -27,8 +27,8 @@ _SETTINGS = {"window_log": 20, "hash_log": 18, "chain_log": 18, "search_log": 1,
 
 
 def letters_of(text: Column) -> Column:
-    """Lower case, every run of other characters than letters one space."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")
+    """Lower case, every run of other characters than letters and their marks one space; empty without a letter."""
+    return F.when(text.rlike(r"\p{L}"), F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")).otherwise("")
 
 
 @dataclass(frozen=True)
