@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from caseloom.session import settled
+from caseloom.session import scratch_path, settled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +25,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return settled(df, f"llm-{label}")
 
 
+class Shelf:
+    """Intermediate tables in the shared folder that go when nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        """The rows written once and read back; see :func:`stored`."""
+        path = scratch_path(df.sparkSession, f"llm-{label}")
+        self.paths.append(path)
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete all of them. Where the file system is none that Arrow knows they stay, which costs disk only."""
+        for path in self.paths:
+            with contextlib.suppress(OSError, pa.ArrowException):
+                system, base = pafs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+                system.delete_dir(base)
+        self.paths = []
+
+
 def range_bounds(df: DataFrame, key: str, rows: int = 4096) -> list:
     """Ascending bounds that cut a column into ranges of about ``rows`` rows: one light job over that column.
 
@@ -76,6 +102,18 @@ def unit_hash(seed: int, *cols: Column | str) -> Column:
     return bits.cast("double") / F.lit(float(1 << 53))
 
 
+def sent(spark: SparkSession, value: object) -> Broadcast:
+    """A model for all tasks, of bounded size; :func:`received` there.
+
+    It travels by value, classes included, so executors need not have this package.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(held: Broadcast):
+    return pickle.loads(held.value)
+
+
 # ---- inside tasks: texts as bytes -------------------------------------------------
 
 

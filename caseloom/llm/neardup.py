@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .bagminhash import count_shingles, signatures
-from .common import by_size, stored
+from .common import Shelf, by_size
 from .words import mix, shingle_hashes, word_hashes
 
 #: 25 bands of 5 registers: a pair at similarity 0.8 shares a band with probability 0.99995.
@@ -76,7 +76,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["_a", "_b"]).filter(pa.array(keep))
 
 
-def components(edges: DataFrame, a: str = "_a", b: str = "_b") -> DataFrame:
+def components(edges: DataFrame, shelf: Shelf, a: str = "_a", b: str = "_b") -> DataFrame:
     """A common node (``_root``) for all nodes (``_node``) of a connected component; nodes without edges are left out.
 
     Every round each node joins the first of itself and its neighbours, and edges are
@@ -86,27 +86,27 @@ def components(edges: DataFrame, a: str = "_a", b: str = "_b") -> DataFrame:
     combined before the shuffle, so a node with very many edges is no hot spot; each
     round is written to the shared folder.
     """
-    links = stored(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).filter("_a <> _b").distinct(), "links")
+    links = shelf.put(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).filter("_a <> _b").distinct(), "links")
     steps = []
     while not links.isEmpty():
         rank = (lambda c: F.col(c)) if not steps else (lambda c, n=len(steps): F.xxhash64(F.lit(n), F.col(c)))
         both = links.unionByName(links.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
         least = both.groupBy(F.col("_a").alias("_node")).agg(F.min(F.struct(rank("_b").alias("r"), F.col("_b").alias("n"))).alias("_m"))
         own = F.struct(rank("_node").alias("r"), F.col("_node").alias("n"))
-        step = stored(least.select("_node", F.least(own, F.col("_m"))["n"].alias("_up")), "joined")
+        step = shelf.put(least.select("_node", F.least(own, F.col("_m"))["n"].alias("_up")), "joined")
         steps.append(step)
         ends = links
         for end in ("_a", "_b"):
             ends = ends.join(step.select(F.col("_node").alias(end), F.col("_up").alias(end + "u")), end)
         ends = ends.select(F.col("_au").alias("_a"), F.col("_bu").alias("_b")).filter("_a <> _b")
-        links = stored(ends.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct(), "links")
+        links = shelf.put(ends.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct(), "links")
     if not steps:
         return edges.select(F.col(a).alias("_node"), F.col(a).alias("_root")).limit(0)
     roots = steps[0].select("_node", F.col("_up").alias("_root"))
     for step in steps[1:]:
         next_up = step.select(F.col("_node").alias("_root"), F.col("_up").alias("_next"))
         roots = roots.join(next_up, "_root", "left").select("_node", F.coalesce("_next", "_root").alias("_root"))
-    return stored(roots, "roots")
+    return shelf.put(roots, "roots")
 
 
 def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
@@ -181,7 +181,9 @@ def _labelled(rows: DataFrame, node: str, root: DataFrame) -> DataFrame:
     return rows.join(named, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shelf: Shelf | None = None
+) -> DataFrame:
     """Class of every row: doc_id, class_id (smallest doc_id of the class), class_size, is_kept, text_digest.
 
     Two texts are linked if the multisets of their five-word shingles (lower case; words
@@ -200,7 +202,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     smallest one; members of buckets that then still hold several components are
     compared across components. A linked pair is missed only if no band agrees
     (probability 5e-5 at similarity 0.8) in every chain that would link it.
+
+    Intermediate tables go to the shared folder. Those that the result does not read are
+    deleted; the others are on ``shelf``, for a caller who is done with the result.
     """
+    shelf, work = shelf or Shelf(), Shelf()
     body = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
     low = F.lower(F.col("_text"))
     source = body.select(F.md5(low).alias("_digest"), "_doc", low.alias("_text"))
@@ -210,26 +216,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = sketched.filter("_size > 0").groupBy("_digest").agg(
         F.min("_doc").alias("_doc"), F.first("_bands").alias("_bands"), F.first("_regs").alias("_regs")
     )
-    nodes = stored(texts.withColumn("_node", F.monotonically_increasing_id()), "nodes")
+    nodes = shelf.put(texts.withColumn("_node", F.monotonically_increasing_id()), "nodes")
     spread = nodes.select("_node", F.explode("_bands").alias("_key"))
     buckets = spread.groupBy("_key").agg(F.min("_node").alias("_pivot"), F.max("_node").alias("_last"))
-    members = stored(
+    members = work.put(
         spread.join(buckets.filter("_pivot < _last").select("_key", "_pivot"), "_key"), "members"
     )
     pairs = members.filter("_node <> _pivot").select(F.col("_node").alias("_a"), F.col("_pivot").alias("_b"))
-    pairs = stored(pairs.distinct(), "pairs")
+    pairs = work.put(pairs.distinct(), "pairs")
 
     needed = nodes.join(members.select("_node").distinct(), "_node", "left_semi").select("_node", "_digest", "_doc")
     chosen = source.filter("_text is not null").join(
         needed.withColumnRenamed("_doc", "_at"), (source["_digest"] == needed["_digest"]) & source["_doc"].eqNullSafe(F.col("_at"))
     )
-    grams = stored(
+    grams = work.put(
         chosen.select("_node", "_text").mapInArrow(_grams, "_node long, _grams array<long>").dropDuplicates(["_node"]), "grams"
     )
     # first each node against the smallest node it met, then all that is not yet joined
     nearest = pairs.groupBy("_a").agg(F.min("_b").alias("_b"))
-    edges = stored(_verified(nearest, grams, similarity), "edges")
-    root = components(edges)
+    edges = work.put(_verified(nearest, grams, similarity), "edges")
+    root = components(edges, work)
     apart = _labelled(_labelled(pairs, "_a", root), "_b", root).filter("_ar <> _br").select("_a", "_b")
     regs = nodes.select("_node", "_regs")
     rest = (
@@ -237,12 +243,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .join(regs.select(F.col("_node").alias("_b"), F.col("_regs").alias("_rb")), "_b")
         .mapInArrow(_agreeing, "_a long, _b long")
     )
-    edges = stored(edges.unionByName(_verified(stored(rest, "rest"), grams, similarity)), "edges")
-    whole = _labelled(members.select("_key", "_node"), "_node", components(edges)).withColumnRenamed("_noder", "_comp")
+    edges = work.put(edges.unionByName(_verified(work.put(rest, "rest"), grams, similarity)), "edges")
+    whole = _labelled(members.select("_key", "_node"), "_node", components(edges, work)).withColumnRenamed("_noder", "_comp")
     mixed = whole.groupBy("_key").agg(F.min("_comp").alias("_l"), F.max("_comp").alias("_h")).filter("_l < _h")
-    left_over = stored(whole.join(mixed.select("_key"), "_key", "left_semi"), "left")
-    edges = stored(edges.unionByName(_cross(left_over, nodes, grams, similarity)), "edges")
-    root = components(edges)
+    left_over = work.put(whole.join(mixed.select("_key"), "_key", "left_semi"), "left")
+    edges = work.put(edges.unionByName(_cross(left_over, nodes, grams, similarity)), "edges")
+    root = components(edges, shelf)
+    work.clear()
     classed = nodes.select("_node", "_digest", "_doc").join(root, "_node", "left")
     classed = classed.select("_digest", F.coalesce("_root", "_node").alias("_root"), "_doc")
     return _with_classes(body, classed)
@@ -276,17 +283,19 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Rows that repeat both the doc_id and the text of a kept one count as one row: one of them stays.
     """
-    classes = stored(near_duplicates(docs, doc_id, text, similarity), "classes")
-    rows = classes.filter("text_digest is not null").groupBy(F.col("doc_id").alias("_at"), F.col("text_digest").alias("_digest"))
-    rows = rows.agg(F.first("is_kept").alias("_kept"), F.max("class_size").alias("_size"), F.count(F.lit(1)).alias("_rows"))
+    shelf = Shelf()
+    classes = near_duplicates(docs, doc_id, text, similarity, shelf).filter("text_digest is not null")
+    key = [F.coalesce("doc_id", F.lit(0)).alias("_llm_id"), F.col("doc_id").isNull().alias("_llm_none"), F.col("text_digest").alias("_llm_digest")]
+    rows = classes.groupBy(*key).agg(
+        F.first("is_kept").alias("_kept"), F.max("class_size").alias("_size"), F.count(F.lit(1)).alias("_rows")
+    )
     # a kept row of a class of one has nothing to be decided; most rows are of this kind
-    odd = stored(rows.filter("not _kept or (_rows > 1 and _size > 1)").select("_at", "_digest", "_kept"), "odd")
-    marked = docs.withColumn("_llm_digest", F.md5(F.lower(F.col(text))))
-
-    def same(other: DataFrame):
-        return marked[doc_id].cast("long").eqNullSafe(other["_at"]) & (marked["_llm_digest"] == other["_digest"])
-
-    repeated = odd.filter("_kept")
-    whole = marked.join(odd, same(odd), "left_anti")
-    one = marked.join(repeated, same(repeated), "left_semi").dropDuplicates([doc_id, "_llm_digest"])
-    return whole.unionByName(one).drop("_llm_digest")
+    names = ["_llm_id", "_llm_none", "_llm_digest"]
+    odd = Shelf().put(rows.filter("not _kept or (_rows > 1 and _size > 1)").select(*names, F.col("_kept").alias("_llm_kept")), "odd")
+    shelf.clear()
+    ident = F.col(doc_id).cast("long")
+    marked = docs.withColumns(dict(zip(names, [F.coalesce(ident, F.lit(0)), ident.isNull(), F.md5(F.lower(F.col(text)))], strict=True)))
+    # rows that repeat a kept one stand side by side then; texts move once
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy("_llm_id"))
+    judged = marked.join(odd, names, "left").withColumn("_llm_nth", nth)
+    return judged.filter("_llm_kept is null or (_llm_kept and _llm_nth = 1)").select(*docs.columns)

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from caseloom.llm import bagminhash, bloomsketch, decontaminate, mixing, neardup, tokenfile, words
+from caseloom.llm.common import Shelf
 from conftest import SF
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -138,7 +139,7 @@ def test_near_edges(spark):
 
 def test_components_of_long_chains(spark):
     links = [(k, k + 1) for k in range(400) if k != 200] + [(1000, k) for k in range(1001, 1300)] + [(7, 7)]
-    got = neardup.components(spark.createDataFrame(links, "_a long, _b long")).collect()
+    got = neardup.components(spark.createDataFrame(links, "_a long, _b long"), Shelf()).collect()
     roots = {}
     for r in got:
         roots.setdefault(r._root, set()).add(r._node)
@@ -305,6 +306,8 @@ def test_token_query_equals_plain_encoding(spark):
 
 def test_token_edges(spark, monkeypatch):
     monkeypatch.setattr(tokenfile, "range_bounds", lambda df, key, rows: [3, 9])
+    monkeypatch.setattr(tokenfile, "FILE_TOKENS", 5)  # several files for a range
+    monkeypatch.setattr(tokenfile, "_BYTES", 8)
     docs = [(None, "null id"), (1, "b c"), (1, "z"), (3, None)] + [(5 + k, t) for k, t in enumerate(HARD)] + [(4, "q"), (4, "q")]
     rows = tokenfile.token_table(docs_of(spark, docs), PATH).collect()
     check_tokens(rows, sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or "")))
