@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_size
+from .common import by_size, received, sent
 from .words import mix, shingle_hashes, word_hashes
 
 #: Share of an item's shingles that a document must hold.
@@ -176,10 +176,10 @@ def find_items(
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(F.col(text)).alias("_text")).filter("_text is not null")
     found = []
     for block in _item_passes(items.dropDuplicates([item_id, item_text]), item_id, item_text):
-        held = spark.sparkContext.broadcast(block)
+        held = sent(spark, block)
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
+            index = received(held)
             for whole in batches:
                 for batch in by_size(whole, "_text", _BYTES):
                     shingles, begins = shingle_hashes(*word_hashes(batch.column("_text")))
@@ -210,7 +210,7 @@ def drop_contaminated(
     """
     kept = docs
     for block in _item_passes(items.dropDuplicates([item_id, item_text]), item_id, item_text):
-        held = docs.sparkSession.sparkContext.broadcast(block)
+        held = sent(docs.sparkSession, block)
 
         kept = kept.filter(F.arrow_udf(_cleaner(held, containment), "boolean")(F.lower(F.col(text))))
     return kept
@@ -218,7 +218,7 @@ def drop_contaminated(
 
 def _cleaner(held, containment: float):
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = held.value
+        index = received(held)
         for texts in batches:
             flags = []
             for batch in by_size(pa.record_batch([texts], names=["_text"]), "_text", _BYTES):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.operators.common import first_rows
 
-from .common import byte_view, unit_hash
+from .common import byte_view, received, sent, unit_hash
 
 UNKNOWN = "und"
 #: Bounds of the sample that a model is fitted on: texts per language, and characters of each.
@@ -89,10 +89,10 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", margin:
     the input that bear one of the three names are replaced.
     """
     names = list(model.dictionaries)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = sent(docs.sparkSession, model)
 
     def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        compressors = held.value.compressors()
+        compressors = received(held).compressors()
         for texts in batches:
             data, ends = byte_view(texts)
             body = memoryview(np.ascontiguousarray(data))

@@ -38,11 +38,11 @@ MAGIC = b"DAC1"
 BITS = 8
 #: Entries per number of the rank directory.
 SPAN = 512
-#: Id that ends every document, and documents in a file on average.
-END, SHARD = 2, 2048
+#: Id that ends every document, documents in a range on average, and tokens from which on a file is closed.
+END, SHARD, FILE_TOKENS = 2, 2048, 2_000_000
 _BYTES = 2 << 20
 #: Distinct pieces whose ids a worker remembers, about 40 bytes each; beyond it starts anew.
-_REMEMBER = 2_000_000
+_REMEMBER = 1_000_000
 
 
 # ---- the code ---------------------------------------------------------------------
@@ -253,11 +253,12 @@ def _put(folder: str, name: str, data: bytes) -> None:
 def write_tokens(
     docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = END, bounds: list | None = None
 ) -> DataFrame:
-    """Encode all texts and write them to ``folder`` in ascending doc_id order; returns (shard, first row, tokens).
+    """Encode all texts and write them to ``folder`` in ascending doc_id order; returns (shard, part, documents, tokens).
 
     Rows are dealt by ranges of doc_id (NULL first, repeated ids together, then by text;
-    a NULL text is empty), one file ``shard-<number>.dac`` for every range (cut at
-    ``bounds``, ascending doc_ids; by default about 2,048 documents each); an
+    a NULL text is empty), files ``shard-<range>-<part>.dac`` for every range (cut at
+    ``bounds``, ascending doc_ids; by default about 2,048 documents each), a new part
+    after about 2 million tokens, which bounds what a worker holds; an
     empty table writes none. Each worker sorts its range, so only texts move, once.
     Other columns are ignored.
     """
@@ -266,20 +267,21 @@ def write_tokens(
     ranged = narrow.withColumn("_shard", range_number(bounds, F.col("_id")))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, shard, ids, counts = _shared_tokenizer(tokenizer), None, [], []
+        pieces, shard, part, ids, counts = _shared_tokenizer(tokenizer), None, 0, [], []
 
         def close() -> pa.RecordBatch:
             begins = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-            _put(folder, f"shard-{shard:09d}.dac", encode_ids(np.concatenate(ids), begins))
-            return pa.record_batch([[shard], [len(begins) - 1], [int(begins[-1])]], names=["shard", "documents", "tokens"])
+            _put(folder, f"shard-{shard:09d}-{part:09d}.dac", encode_ids(np.concatenate(ids), begins))
+            return pa.record_batch([[shard], [part], [len(begins) - 1], [int(begins[-1])]], names=["shard", "part", "documents", "tokens"])
 
         for whole in batches:
             for batch in by_size(whole, "_text", _BYTES):
                 numbers = batch.column("_shard").to_numpy()
                 edges = np.flatnonzero(np.diff(numbers)) + 1
                 for low, high in zip([0, *edges], [*edges, len(numbers)], strict=True):
-                    if shard is not None and numbers[low] != shard:
+                    if shard is not None and (numbers[low] != shard or sum(map(len, ids)) >= FILE_TOKENS):
                         yield close()
+                        part = part + 1 if numbers[low] == shard else 0
                         ids, counts = [], []
                     shard = int(numbers[low])
                     found, each = pieces.encode(batch.column("_text").slice(low, high - low), end)
@@ -289,11 +291,11 @@ def write_tokens(
             yield close()
 
     dealt = ranged.repartition("_shard").sortWithinPartitions("_shard", F.col("_id").asc_nulls_first(), "_text")
-    return dealt.select("_shard", "_text").mapInArrow(encode, "shard long, documents long, tokens long")
+    return dealt.select("_shard", "_text").mapInArrow(encode, "shard long, part long, documents long, tokens long")
 
 
 def read_tokens(spark, folder: str) -> DataFrame:
-    """(shard, n, begin, n_tokens, ids_crc32) of every document in the files, n counting within the file."""
+    """(shard, part, n, begin, n_tokens, ids_crc32) of every document in the files, n counting within the file."""
     files = spark.read.format("binaryFile").load(folder).filter(F.col("path").endswith(".dac")).select("path", "content")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,14 +305,14 @@ def read_tokens(spark, folder: str) -> DataFrame:
                 ids = file.all_ids().astype("<u4")
                 begins = file.begins
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
-                shard = int(path.as_py().rpartition("shard-")[2].split(".")[0])
+                shard, part = map(int, path.as_py().rpartition("shard-")[2].split(".")[0].split("-"))
                 n = len(sums)
                 yield pa.record_batch(
-                    [pa.array([shard] * n), pa.array(range(n)), pa.array(begins[:-1]), pa.array(np.diff(begins)), pa.array(sums, pa.int64())],
-                    names=["shard", "n", "begin", "n_tokens", "ids_crc32"],
+                    [pa.array([shard] * n), pa.array([part] * n), pa.array(range(n)), pa.array(begins[:-1]), pa.array(np.diff(begins)), pa.array(sums, pa.int64())],
+                    names=["shard", "part", "n", "begin", "n_tokens", "ids_crc32"],
                 )
 
-    return files.mapInArrow(decode, "shard long, n long, begin long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(decode, "shard long, part long, n long, begin long, n_tokens long, ids_crc32 long")
 
 
 def token_table(
@@ -326,13 +328,19 @@ def token_table(
     ids = docs.select(F.col(doc_id).cast("long").alias("_id"))
     bounds = range_bounds(ids, "_id", SHARD)
     shards = stored(write_tokens(docs, folder, tokenizer, doc_id, text, bounds=bounds), "shards")
-    schema = "shard long, n long, begin long, n_tokens long, ids_crc32 long"
+    schema = "shard long, part long, n long, begin long, n_tokens long, ids_crc32 long"
     found = read_tokens(spark, folder) if not shards.isEmpty() else spark.createDataFrame([], schema)
-    starts = running_starts(shards, "shard", "tokens", "_before").select("shard", "_before")
+    # tokens before each range, and tokens and documents before each part of a range
+    sums = shards.groupBy("shard").agg(F.sum("tokens").alias("tokens"))
+    starts = running_starts(sums, "shard", "tokens", "_before").select("shard", "_before")
+    parts = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(parts), F.lit(0))
+    offsets = shards.select("shard", "part", earlier("tokens").alias("_inside"), earlier("documents").alias("_rows"))
+    found = found.join(offsets, ["shard", "part"]).withColumn("n", F.col("n") + F.col("_rows"))
     order = Window.partitionBy("shard").orderBy(F.col("_id").asc_nulls_first())
     names = ids.withColumn("shard", range_number(bounds, F.col("_id")).cast("long"))
     names = names.withColumn("n", F.row_number().over(order).cast("long") - 1)
     joined = found.join(starts, "shard").join(names, ["shard", "n"])
     return joined.select(
-        F.col("_id").alias("doc_id"), (F.col("_before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", "shard"
+        F.col("_id").alias("doc_id"), (F.col("_before") + F.col("_inside") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", "shard"
     )
