@@ -80,7 +80,10 @@ def _draw(best, doc, seed, low, width, weight, documents, registers):
         at = seed[:, None] + np.arange(step + 1, step + many + 1, dtype=np.uint64)[None, :] * _STEP
         bits = mix(at)
         wait = -np.log1p(-((bits >> np.uint64(11)).astype(np.float64) * 2.0**-53))
-        times = time[:, None] + np.cumsum(wait / width[:, None], axis=1)
+        # added strictly one after another, so a time does not depend on how many points are drawn at once
+        wait /= width[:, None]
+        wait[:, 0] += time
+        times = np.cumsum(wait, axis=1)
         step += many
         spread = mix(bits ^ _DRAW)
         slot = ((spread >> np.uint64(32)) % np.uint64(registers)).astype(np.int64)

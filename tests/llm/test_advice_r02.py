@@ -1,0 +1,23 @@
+"""Findings of the second round: each test failed before its fix."""
+
+import numpy as np
+
+from caseloom.llm import bagminhash
+
+
+def test_signatures_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 60, 600)
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    shingles = rng.integers(0, 2**63, begins[-1], dtype=np.int64).astype(np.uint64)
+    # some shingles occur several times, so that strips are cut as well
+    shingles[::7] = shingles[0]
+
+    def signed(low, high):
+        part = begins[low : high + 1] - begins[low]
+        doc, shingle, weight, _ = bagminhash.count_shingles(shingles[begins[low] : begins[high]], part)
+        return bagminhash.signatures(doc, shingle, weight, high - low, 125)
+
+    together = signed(0, 600)
+    alone = np.concatenate([signed(i, i + 1) for i in range(600)])
+    assert (together == alone).all()
