@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import contains_pattern
 from ..functions.vectors import DISTANCE_DIGITS, cosine_distance, l2_distance
-from ..session import settled
-from .common import first_rows, join_many_to_one, join_one_to_many, union_all
+from ..session import scratch_path, settled
+from .common import first_rows, join_many_to_one, join_one_to_many
 
 #: Results of a search, and fragments picked as context of a record.
 SEARCH_K, FRAGMENT_K = 20, 15
@@ -105,8 +105,9 @@ def nearest(
     vectors never move: each task multiplies its Arrow batches with a block of query
     vectors and keeps k rows per query, and only those meet in the final ranking.
     Queries are computed once, written to the shared folder, and travel to the tasks in
-    blocks of about ``block``; every block is a branch of one lazy plan that scans the
-    vectors, so any number of queries works alike. Neighbours are picked by ``metric``
+    blocks of about ``block``, one scan of the vectors each. What several blocks find is
+    written to the shared folder block by block, so the driver holds one of them whatever
+    the number of queries. Neighbours are picked by ``metric``
     (``cosine`` or ``l2``), ties by item id; ``distance`` is the cosine distance either way.
     """
     if metric not in ("cosine", "l2"):
@@ -135,7 +136,12 @@ def nearest(
         scan = _scan(matrix, [r["query_id"] for r in rows], k, metric, arrow)
         return first_rows(stored.mapInArrow(scan, out), ["query_id"], order, k)
 
-    return union_all([best_of(asked.filter(of_block == b).collect()) for b in range(blocks)])
+    if blocks == 1:
+        return best_of(asked.collect())
+    path = scratch_path(queries.sparkSession, "nearest")
+    for b in range(blocks):
+        best_of(asked.filter(of_block == b).collect()).write.mode("append").parquet(path)
+    return queries.sparkSession.read.schema(out).parquet(path)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
