@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bloomsketch, chat, decontaminate, langid, mixing, neardup, personal, quality, tokenfile, urls
+from . import alignment, bloomsketch, chat, decontaminate, langid, licences, mixing, neardup, personal, prefixtrie, quality, tokenfile, urls
 from .common import table
 
 #: Vocabulary of the registered token queries; the operators take any path.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,6 +124,66 @@ def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs)).drop("text")
 
 
+@query("op11_pair_bitmaps")
+def op11_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
+_TRIE_SQL = """
+with turns as (
+  select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as t,
+    row_number() over (partition by conv_id order by turn nulls first) as rn
+  from conversations where conv_id is not null
+),
+conv as (
+  select c, c - c % 5 as base,
+    (4294967295 - list_reduce(list_prepend(4294967295, list_transform(range(1, length(c::varchar) + 1), lambda i: ascii(substr(c::varchar, i, 1))::bigint)),
+      lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+        lambda x, k: xor(x >> 1, (x & 1) * 3988292384)))) % 9 as h
+  from (select distinct c from turns)
+),
+piece as (
+  select conv.c, 0 as part, rn, r, t from conv join turns on turns.c = conv.base where rn <= h
+  union all
+  select conv.c, 1, rn, r, t from conv join turns on turns.c = conv.c where rn > h
+),
+sequence as (
+  select c, coalesce(s, []) as s from (select c from conv)
+  left join (select c, list({'r': r, 't': t} order by part, rn) as s from piece group by c) using (c)
+),
+member as (select c, len(s) as n, unnest(range(0, len(s) + 1)) as d, s from sequence),
+node as (
+  select s[:d] as p, d, min(c) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (n = d), '')) as ends_sha256
+  from member group by 1, 2
+),
+linked as (
+  select n.p, n.d, n.conv_id, n.n_convs, n.ends_sha256, up.conv_id as parent_conv_id, coalesce(kids.k, 0) as n_children
+  from node n left join node up on up.d = n.d - 1 and up.p = n.p[:n.d - 1]
+  left join (select p[:d - 1] as p, d - 1 as d, count(*) as k from node where d > 0 group by 1, 2) kids on kids.d = n.d and kids.p = n.p
+),
+below as (
+  select p[:k] as p, k as d, sum(leaf)::bigint as n_leaves, sum(saved)::bigint as saved_tokens
+  from (
+    select p, (n_children = 0)::int as leaf, case when d = 0 then 0 else (n_convs - 1) * strlen(p[d].t) end as saved,
+      unnest(range(0, d + 1)) as k from linked
+  ) group by 1, 2
+)
+select conv_id, d as depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+from linked join below using (p, d)
+"""
+
+
+@query("op12_prefix_trie", _TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_licence_words")
+def op13_licence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
