@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import pickle
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +118,40 @@ def received(held: Broadcast):
     return pickle.loads(held.value)
 
 
+# ---- inside tasks: memory ---------------------------------------------------------
+
+
+def worker_model(kind: str, key: object, make: Callable[[], object]) -> object:
+    """A model that a worker process keeps from task to task: one of each kind, the last one asked for."""
+    held = sys.modules.setdefault("_caseloom_models", SimpleNamespace(by_kind={})).by_kind
+    if kind not in held or held[kind][0] != key:
+        held.pop(kind, None)
+        held[kind] = (key, make())
+    return held[kind][1]
+
+
+def tidy(work: Callable[[Iterator], Iterator], keeps: str | None = None) -> Callable[[Iterator], Iterator]:
+    """The same function of batches in a worker that drops models of other kinds first and gives memory back at the end.
+
+    Workers are reused by later stages; what an earlier one left would add up.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        held = getattr(sys.modules.get("_caseloom_models"), "by_kind", {})
+        for kind in [k for k in held if k != keeps]:
+            del held[kind]
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    run.__annotations__ = dict(work.__annotations__)
+    return run
+
+
 # ---- inside tasks: texts as bytes -------------------------------------------------
 
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_size, received, sent
+from .common import by_size, received, sent, tidy
 from .words import mix, shingle_hashes, word_hashes
 
 #: Share of an item's shingles that a document must hold.
@@ -192,7 +192,7 @@ def find_items(
                         names=["doc_id", "item_id", "containment"],
                     )
 
-        found.append(narrow.mapInArrow(search, "doc_id long, item_id long, containment double"))
+        found.append(narrow.mapInArrow(tidy(search), "doc_id long, item_id long, containment double"))
     if not found:
         return spark.createDataFrame([], "doc_id long, item_id long, containment double")
     result = found[0]
@@ -230,4 +230,4 @@ def _cleaner(held, containment: float):
             yield pa.array(np.concatenate(flags) if flags else np.zeros(0, bool))
 
     clean.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return clean
+    return tidy(clean)

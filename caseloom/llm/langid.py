@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.operators.common import first_rows
 
-from .common import byte_view, received, sent, unit_hash
+from .common import byte_view, received, sent, tidy, unit_hash
 
 UNKNOWN = "und"
 #: Bounds of the sample that a model is fitted on: texts per language, and characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 512, 1024
-#: Languages a model holds at most; more labels are an error, not cut off.
-MAX_LANGUAGES = 64
+#: Languages up to which each gets the full sample; of more, each gets a smaller one, so that the model stays bounded.
+FULL_LANGUAGES = 64
+_SALTS = 64
 #: Bytes compressed at a time, so that a long text meets the dictionary again and again.
 CHUNK = 4096
 #: Share of the size by which the best language must beat the next one to be accepted.
@@ -59,18 +60,22 @@ def fit_languages(
 ) -> LanguageModel:
     """Dictionaries from a bounded sample: of each language ``texts`` texts picked at random, ``chars`` characters of each.
 
+    Any number of label values is learned; beyond 64 the texts of each are fewer in
+    proportion, one at least.
+
     The sample is repeatable and independent of the order of rows. Rows without text or
     language are left out; without any row the model is empty and knows no language.
     """
     rows = labelled.select(F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text")).filter(
         "_lang is not null and _text is not null"
     )
-    counts = rows.groupBy("_lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in the labels")
+    counts = rows.groupBy("_lang").count().collect()
+    texts = max(1, texts * FULL_LANGUAGES // max(FULL_LANGUAGES, len(counts)))
     pieces = rows.select("_lang", F.substring(letters_of(F.substring("_text", 1, 2 * chars)), 1, chars).alias("_piece"))
-    pieces = pieces.withColumn("_place", unit_hash(seed, "_piece"))
-    sample = first_rows(pieces, ["_lang"], [F.col("_place"), F.col("_piece")], texts).collect()
+    pieces = pieces.withColumn("_place", unit_hash(seed, "_piece")).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
+    # in two steps, so that a language with a third of all rows is no single task's work
+    first = [F.col("_place"), F.col("_piece")]
+    sample = first_rows(first_rows(pieces, ["_lang", "_salt"], first, texts), ["_lang"], first, texts).collect()
     order = sorted(counts, key=lambda r: (-r["count"], r["_lang"]))
     by_lang: dict[str, list] = {r["_lang"]: [] for r in order}
     for row in sorted(sample, key=lambda r: (r["_place"], r["_piece"])):
@@ -111,7 +116,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", margin:
             yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(share, pa.float64())], names=["lang", "score"])
 
     classify.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    named = F.arrow_udf(classify, "lang string, score double")
+    named = F.arrow_udf(tidy(classify), "lang string, score double")
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
     found = docs.select(*kept, named(letters_of(F.col(text))).alias("_llm_found"))
     return found.select(*kept, *_results(margin))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bagminhash import count_shingles, signatures
-from .common import Shelf, by_size
+from .common import Shelf, by_size, tidy
 from .words import mix, shingle_hashes, word_hashes
 
 #: 25 bands of 5 registers: a pair at similarity 0.8 shares a band with probability 0.99995.
@@ -211,7 +211,7 @@ def near_duplicates(
     low = F.lower(F.col("_text"))
     source = body.select(F.md5(low).alias("_digest"), "_doc", low.alias("_text"))
     sketched = source.filter("_text is not null").mapInArrow(
-        _sketch, "_digest string, _doc long, _size long, _bands array<long>, _regs binary"
+        tidy(_sketch), "_digest string, _doc long, _size long, _bands array<long>, _regs binary"
     )
     texts = sketched.filter("_size > 0").groupBy("_digest").agg(
         F.min("_doc").alias("_doc"), F.first("_bands").alias("_bands"), F.first("_regs").alias("_regs")
@@ -230,7 +230,7 @@ def near_duplicates(
         needed.withColumnRenamed("_doc", "_at"), (source["_digest"] == needed["_digest"]) & source["_doc"].eqNullSafe(F.col("_at"))
     )
     grams = work.put(
-        chosen.select("_node", "_text").mapInArrow(_grams, "_node long, _grams array<long>").dropDuplicates(["_node"]), "grams"
+        chosen.select("_node", "_text").mapInArrow(tidy(_grams), "_node long, _grams array<long>").dropDuplicates(["_node"]), "grams"
     )
     # first each node against the smallest node it met, then all that is not yet joined
     nearest = pairs.groupBy("_a").agg(F.min("_b").alias("_b"))
@@ -241,7 +241,7 @@ def near_duplicates(
     rest = (
         apart.join(regs.select(F.col("_node").alias("_a"), F.col("_regs").alias("_ra")), "_a")
         .join(regs.select(F.col("_node").alias("_b"), F.col("_regs").alias("_rb")), "_b")
-        .mapInArrow(_agreeing, "_a long, _b long")
+        .mapInArrow(tidy(_agreeing), "_a long, _b long")
     )
     edges = work.put(edges.unionByName(_verified(work.put(rest, "rest"), grams, similarity)), "edges")
     whole = _labelled(members.select("_key", "_node"), "_node", components(edges, work)).withColumnRenamed("_noder", "_comp")

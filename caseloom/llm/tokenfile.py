@@ -16,12 +16,10 @@ decoding anything around it.
 from __future__ import annotations
 
 import json
-import sys
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from caseloom.session import scratch_path
 
-from .common import by_size, byte_view, range_bounds, range_number, running_starts, stored
+from .common import by_size, byte_view, range_bounds, range_number, running_starts, stored, tidy, worker_model
 from .words import piece_hashes
 
 MAGIC = b"DAC1"
@@ -210,10 +208,7 @@ class PieceTokenizer:
 
 def _shared_tokenizer(path: str) -> PieceTokenizer:
     """One tokenizer per worker process, so that pieces seen in earlier tasks are known."""
-    held = sys.modules.setdefault("_caseloom_tokenizers", SimpleNamespace(by_path={})).by_path
-    if path not in held:
-        held[path] = PieceTokenizer(path)
-    return held[path]
+    return worker_model("tokenizer", path, lambda: PieceTokenizer(path))
 
 
 _LETTER = np.zeros(256, bool)
@@ -291,7 +286,7 @@ def write_tokens(
             yield close()
 
     dealt = ranged.repartition("_shard").sortWithinPartitions("_shard", F.col("_id").asc_nulls_first(), "_text")
-    return dealt.select("_shard", "_text").mapInArrow(encode, "shard long, part long, documents long, tokens long")
+    return dealt.select("_shard", "_text").mapInArrow(tidy(encode, "tokenizer"), "shard long, part long, documents long, tokens long")
 
 
 def read_tokens(spark, folder: str) -> DataFrame:
@@ -312,7 +307,7 @@ def read_tokens(spark, folder: str) -> DataFrame:
                     names=["shard", "part", "n", "begin", "n_tokens", "ids_crc32"],
                 )
 
-    return files.mapInArrow(decode, "shard long, part long, n long, begin long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(tidy(decode, "tokenizer"), "shard long, part long, n long, begin long, n_tokens long, ids_crc32 long")
 
 
 def token_table(

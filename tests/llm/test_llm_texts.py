@@ -88,9 +88,12 @@ def test_language_edges(spark):
     empty = langid.fit_languages(frame(spark, [], "text string, lang string"))
     assert {r.lang_pred for r in langid.identify(frame(spark, rows, DOCS), empty).collect()} == {"und"}
     assert langid.identify(frame(spark, [], DOCS), model).count() == 0
-    many = [(f"text {i}", f"l{i}") for i in range(langid.MAX_LANGUAGES + 1)]
-    with pytest.raises(ValueError):
-        langid.fit_languages(frame(spark, many, "text string, lang string"))
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)} " * 8 for i in range(200)]
+    many = [(w, f"l{i}") for i, w in enumerate(words)] * 3
+    model = langid.fit_languages(frame(spark, many, "text string, lang string"), texts=2)
+    assert len(model.dictionaries) == 200  # any number of labels, one text at least of each
+    got = langid.identify(frame(spark, [(i, w) for i, w in enumerate(words[:60])], "doc_id long, text string"), model).collect()
+    assert all(r.lang_pred == f"l{r.doc_id}" for r in got)
 
 
 # ---- personal data ----------------------------------------------------------------
