@@ -19,7 +19,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # batches for Python workers are bounded by bytes too: texts may be long
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
     # model responses may repeat a key; the last one counts
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
