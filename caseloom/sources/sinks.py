@@ -1,26 +1,12 @@
-"""Writers: dossiers as ordered text files, tables as numbered versions."""
+"""Writers: tables as numbered versions."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..operators.cases import BLOCK_ORDER
-
-
-def write_dossiers(blocks: DataFrame, path: str) -> None:
-    """One folder ``case_id=<case>`` per dossier; its files in name order are the document.
-
-    The blocks are sorted by range over all tasks, so a large case becomes several
-    files, a small one usually a single file, and nothing is gathered.
-    """
-    order = [c for c in [*BLOCK_ORDER, "line_no"] if c in blocks.columns]
-    # the writer ends every row with a line feed
-    line = F.regexp_replace("block", r"\n\z", "").alias("value")
-    blocks.orderBy(*order).select("case_id", line).write.partitionBy("case_id").mode("overwrite").text(path)
-
 
 def _hadoop(spark: SparkSession, path: str):
     jvm = spark._jvm

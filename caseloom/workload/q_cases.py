@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.geo import PLACE_RULES
 from ..functions.text import format_bytes
 from ..operators import cases as ca, responses as rs, status as st, texts as tx
-from ..session import scratch_path
-from ..sources import sinks
+from ..session import scratch_path, settled
+from ..sources import exports
 from ..streaming.events import stream_status, stream_tokens, streamed_status, streamed_text
 from .q_text import TS
 from .registry import query
@@ -230,10 +230,7 @@ lines as (
 )"""
 
 
-@query(
-    "k07_markdown_to_html",
-    f"""
-with {_LINES_SQL}
+_HTML_OF_LINES = f"""
 select case_id, section, occurred, item_id, part, kind, name, line_no,
   case when line[1:2] = '# ' then '<h1>' || {_esc("line[3:]")} || '</h1>'
     when line[1:3] = '## ' then '<h2>' || {_esc("line[4:]")} || '</h2>'
@@ -241,8 +238,10 @@ select case_id, section, occurred, item_id, part, kind, name, line_no,
     when line[1:2] = '- ' then '<p class="bullet">' || {_esc("line[3:]")} || '</p>'
     when line[1:2] = '> ' then '<blockquote>' || {_esc("line[3:]")} || '</blockquote>'
     when {trim("line")} = '' then '' else '<p>' || {_esc("line")} || '</p>' end || chr(10) as block
-from lines""",
-)
+from lines"""
+
+
+@query("k07_markdown_to_html", f"with {_LINES_SQL} {_HTML_OF_LINES}")
 def k07(spark: SparkSession, sf: str) -> DataFrame:
     html = ca.markdown_to_html(_blocks(spark, sf), view(spark, sf, "fx_cases"))
     # the fixed page around the lines is not compared
@@ -274,17 +273,41 @@ def k08(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_DOC_ORDER = "section, occurred nulls first, item_id nulls first, part, kind nulls first, name nulls first"
+_PAGE_HEAD = (
+    "'<!doctype html>' || chr(10) || '<html lang=\"en\">' || chr(10) || '<head>' || chr(10) || '<meta charset=\"utf-8\">' || chr(10) || '<title>' || "
+    + _esc("any_value(c.title)")
+    + f" || '</title>' || chr(10) || '<style>{ca._PAGE_STYLE}</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10)"
+)
+
+
 @query(
     "s16_write_dossiers",
-    f"with {_LINES_SQL} select case_id, count(*) as lines, cast(sum(strlen(line)) as bigint) as bytes from lines group by case_id",
+    f"""
+with {_LINES_SQL},
+html_line as ({_HTML_OF_LINES}),
+document as (
+  select case_id, 'markdown' as format, '.md' as suffix, string_agg(block, '' order by {_DOC_ORDER}) as body from block group by case_id
+  union all
+  select case_id, 'html', '.html', {_PAGE_HEAD} || string_agg(block, '' order by {_DOC_ORDER}, line_no)
+    || '</body>' || chr(10) || '</html>' || chr(10)
+  from html_line join fx_cases c on c.id = case_id group by case_id
+)
+select case_id, format, case_id || '/' || sha256('export|' || case_id || '|' || format || '|2024-06-01T00:00:00+00:00') || suffix as relative_path,
+  cast(strlen(body) as bigint) as bytes, sha256(body) as content_hash, cast(null as varchar) as reason
+from document
+union all
+select id, 'pdf', null, null, null, 'export format must be `markdown` or `html`' from fx_cases""",
 )
 def s16(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "exports")
-    sinks.write_dossiers(_blocks(spark, sf), path)
-    written = spark.read.text(path)
-    return written.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value")).cast("long").alias("bytes")
-    )
+    """Both formats of every case as files, read back; a third format is rejected."""
+    cases = view(spark, sf, "fx_cases")
+    formats = F.explode(F.array(*[F.lit(f) for f in ("Markdown", "HTML", "pdf")]))
+    requests = cases.select(F.col("id").alias("case_id"), formats.alias("format"))
+    folder = scratch_path(spark, "exports")
+    manifest, rejected = exports.export_dossiers(requests, settled(_blocks(spark, sf), "blocks"), cases, folder, TS)
+    written = manifest.select("case_id", "format", "relative_path").join(exports.read_documents(spark, folder), "relative_path", "full")
+    return written.unionByName(rejected, allowMissingColumns=True)
 
 
 # --- model responses --------------------------------------------------------

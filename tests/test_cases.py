@@ -1,9 +1,8 @@
-import glob
-
+import pytest
 from pyspark.sql import functions as F
 
 from caseloom.operators import cases as ca
-from caseloom.sources import sinks
+from caseloom.sources import exports
 
 
 def world(spark):
@@ -69,16 +68,47 @@ def test_html_is_line_wise_and_escaped(spark):
     assert body == expected
 
 
-def test_written_dossiers_are_the_documents(spark, tmp_path):
-    path = str(tmp_path / "exports")
+TS = "2024-06-01T00:00:00+00:00"
+
+
+@pytest.mark.parametrize("spread", [True, False])
+def test_dossiers_are_one_file_per_export(spark, tmp_path, spread):
+    """Documents that cross tasks, and documents within one, are whole; a repeated run changes nothing."""
+    folder = tmp_path / "exports"
+    cases = world(spark)[0]
+    requests = spark.createDataFrame(
+        [("c1", "Markdown"), ("c1", "html"), ("c2", "MARKDOWN"), ("c2", "markdown"), ("c2", "docx"), ("c2", None), ("gone", "html")],
+        "case_id string, format string",
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(not spread).lower())
+    try:
+        for _ in range(2):
+            manifest, bad = exports.export_dossiers(requests, ca.dossier_blocks(*world(spark)), cases, str(folder), TS)
+            paths = {(r.case_id, r.format): r.relative_path for r in manifest.collect()}
+            assert set(paths) == {("c1", "markdown"), ("c1", "html"), ("c2", "markdown")}
+            assert {str(f.relative_to(folder)) for f in folder.rglob("*") if f.is_file()} == set(paths.values())
+            assert (folder / paths["c1", "markdown"]).read_text(encoding="utf-8") == expected_one()
+            assert (folder / paths["c2", "markdown"]).read_text(encoding="utf-8") == EMPTY
+            page = documents(ca.markdown_to_html(ca.dossier_blocks(*world(spark)), cases), [*ca.BLOCK_ORDER, "line_no"])["c1"]
+            assert (folder / paths["c1", "html"]).read_text(encoding="utf-8") == page
+            assert sorted((r.case_id, r.format) for r in bad.filter("format is not null").collect()) == [("c2", "docx")]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert not list((tmp_path).rglob("parts.json"))
+
+
+def test_a_document_larger_than_a_task(spark, tmp_path):
+    """Blocks of few documents over many tasks: the parts are joined in order."""
+    rows = spark.range(0, 4000, 1, 8).selectExpr("concat('d', id % 3, '/x.md') as path", "cast(id as int) as line_no", "concat('line ', id, '\\n') as block")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        sinks.write_dossiers(ca.dossier_blocks(*world(spark)), path)
+        exports.write_documents(rows, str(tmp_path), ["line_no"])
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    for case, text in {"c1": expected_one(), "c2": EMPTY}.items():
-        files = sorted(glob.glob(f"{path}/case_id={case}/part-*"))
-        assert "".join(open(f, encoding="utf-8").read() for f in files) == text
+    for d in range(3):
+        assert (tmp_path / f"d{d}" / "x.md").read_text() == "".join(f"line {i}\n" for i in range(d, 4000, 3))
+    exports.write_documents(rows.limit(0), str(tmp_path / "none"), ["line_no"])
+    assert not list((tmp_path / "none").rglob("*.md"))
 
 
 def test_summary_counts_do_not_multiply(spark):
