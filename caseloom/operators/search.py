@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import contains_pattern
-from ..functions.vectors import DISTANCE_DIGITS, cosine_distance, l2_distance
-from ..session import scratch_path, settled
+from ..functions.vectors import cosine_distance, l2_distance
+from ..session import settled
 from .common import first_rows, join_many_to_one, join_one_to_many
+from .neighbours import CHUNK, VectorIndex, build_index, nearest_join
 
 #: Results of a search, and fragments picked as context of a record.
 SEARCH_K, FRAGMENT_K = 20, 15
-#: Query vectors compared in one pass over the stored vectors.
-QUERY_BLOCK = 4096
-#: Cells of a distance matrix held at a time by one task.
-_CELLS = 4_000_000
-
 
 @dataclass(frozen=True)
 class Filters:
@@ -32,121 +24,18 @@ class Filters:
     case_id: str | None = None
 
 
-def _matrix(column: pa.ListArray) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
-def _unit(rows: np.ndarray) -> np.ndarray:
-    length = np.sqrt((rows * rows).sum(axis=1))
-    return rows / np.where(length > 0, length, 1.0)[:, None]
-
-
-class _Best:
-    """The k nearest items of every query seen so far in one task, as tables of queries x k."""
-
-    def __init__(self, n_queries: int, k: int):
-        self.k = k
-        self.rank, self.shown = np.empty((n_queries, 0)), np.empty((n_queries, 0))
-        self.items = np.empty((n_queries, 0), dtype=object)
-
-    def offer(self, rank: np.ndarray, shown: np.ndarray, items: pa.Array) -> None:
-        """Take in the distances to some items, which come in ascending order of their id."""
-        top = np.argsort(rank, axis=1, kind="stable")[:, : self.k]
-        ids = np.array(items.take(pa.array(top.ravel())).to_pylist(), dtype=object).reshape(top.shape)
-        all_rank = np.concatenate([self.rank, np.take_along_axis(rank, top, 1)], axis=1)
-        all_shown = np.concatenate([self.shown, np.take_along_axis(shown, top, 1)], axis=1)
-        all_items = np.concatenate([self.items, ids], axis=1)
-        order = np.lexsort((all_items, all_rank), axis=1)[:, : self.k]
-        self.rank, self.shown, self.items = (np.take_along_axis(x, order, 1) for x in (all_rank, all_shown, all_items))
-
-
-def _scan(queries: np.ndarray, ids: list, k: int, metric: str, schema: pa.Schema):
-    units = _unit(queries)
-    squares = (queries * queries).sum(axis=1)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(len(ids), k)
-        step = max(1, _CELLS // max(1, len(ids)))
-        for batch in batches:
-            if batch.column(1).null_count:
-                batch = batch.filter(batch.column(1).is_valid())
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                part = part.take(pc.sort_indices(part.column(0)))
-                rows = _matrix(part.column(1))
-                shown = np.round(1.0 - units @ _unit(rows).T, DISTANCE_DIGITS) + 0.0
-                if metric == "cosine":
-                    rank = shown
-                else:
-                    gap = squares[:, None] + (rows * rows).sum(axis=1)[None, :] - 2.0 * (queries @ rows.T)
-                    rank = np.round(np.sqrt(np.maximum(gap, 0.0)), DISTANCE_DIGITS) + 0.0
-                best.offer(rank, shown, part.column(0))
-        found = best.rank.shape[1]
-        if found:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([q for q in ids for _ in range(found)], schema.field(0).type),
-                    pa.array(best.items.ravel().tolist(), schema.field(1).type),
-                    pa.array(best.rank.ravel(), pa.float64()),
-                    pa.array(best.shown.ravel(), pa.float64()),
-                ],
-                schema=schema,
-            )
-
-    return search
-
-
 def nearest(
-    queries: DataFrame, vectors: DataFrame, k: int = SEARCH_K, metric: str = "cosine", block: int = QUERY_BLOCK
+    queries: DataFrame, vectors: DataFrame | VectorIndex, k: int = SEARCH_K, metric: str = "cosine", chunk: int = CHUNK
 ) -> DataFrame:
     """Exact k nearest items of every query: (query_id, item_id, rank_distance, distance).
 
-    ``queries`` is (query_id, embedding), ``vectors`` (item_id, embedding). Stored
-    vectors never move: each task multiplies its Arrow batches with a block of query
-    vectors and keeps k rows per query, and only those meet in the final ranking.
-    Queries are computed once, written to the shared folder, and travel to the tasks in
-    blocks of about ``block``, one scan of the vectors each. What several blocks find is
-    written to the shared folder block by block, so the driver holds one of them whatever
-    the number of queries. Neighbours are picked by ``metric``
-    (``cosine`` or ``l2``), ties by item id; ``distance`` is the cosine distance either way.
+    ``queries`` is (query_id, embedding), ``vectors`` (item_id, embedding) or an index
+    of them. Neighbours are picked by ``metric`` (``cosine`` or ``l2``), ties by item id;
+    ``distance`` is the cosine distance either way. See :mod:`.neighbours`: one plan for
+    any number of queries, none of which reaches the driver.
     """
-    if metric not in ("cosine", "l2"):
-        raise ValueError(f"unknown metric: {metric}")
-    out = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("item_id", vectors.schema["item_id"].dataType),
-            T.StructField("rank_distance", T.DoubleType()),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-    arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in out.fields])
-    # rows without a vector are skipped in the tasks: a filter here would compute vectors twice
-    stored = vectors.select("item_id", "embedding")
-    asked = settled(queries.select("query_id", "embedding"), "queries").filter(F.col("embedding").isNotNull())
-    blocks = max(1, -(-asked.count() // block))
-    of_block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    order = [F.col("rank_distance"), F.col("item_id")]
-
-    def best_of(rows: list) -> DataFrame:
-        """The k nearest items of one block of queries; the driver holds one block at a time."""
-        if not rows:
-            return queries.sparkSession.createDataFrame([], out)
-        matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        scan = _scan(matrix, [r["query_id"] for r in rows], k, metric, arrow)
-        return first_rows(stored.mapInArrow(scan, out), ["query_id"], order, k)
-
-    if blocks == 1:
-        return best_of(asked.collect())
-    path = scratch_path(queries.sparkSession, "nearest")
-    for b in range(blocks):
-        best_of(asked.filter(of_block == b).collect()).write.mode("append").parquet(path)
-    return queries.sparkSession.read.schema(out).parquet(path)
-
-
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    known = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.DoubleType: pa.float64()}
-    return known[type(kind)]
+    index = vectors if isinstance(vectors, VectorIndex) else build_index(vectors, k, metric, chunk=chunk)
+    return nearest_join(queries, index, k)
 
 
 def _allowed(records: DataFrame, filters: Filters) -> DataFrame:
@@ -320,17 +209,10 @@ def fragment_search_by_record(
 ) -> DataFrame:
     """For every record its own k fragments nearest to its query vector (record_id, embedding).
 
-    ``pre`` ranks within the record; ``post`` picks the k nearest of all fragments
-    first and keeps those of the record, so fewer than k may remain.
+    ``pre`` ranks within the record; ``post`` keeps of these what is also among the k
+    nearest of all fragments, so fewer than k may remain. For that each record asks only
+    for what is no farther than its own k nearest.
     """
-    if filter_mode == "post":
-        asked = queries.select(F.col("record_id").alias("query_id"), "embedding")
-        top = nearest(asked, vectors.select(F.col("fragment_id").alias("item_id"), "embedding"), k, metric)
-        # only hits of the own record are of interest: ids first, texts for what is left
-        own = top.join(fragments.select(F.col("id").alias("item_id"), "record_id"), "item_id")
-        own = own.filter(F.col("record_id") == F.col("query_id")).select("item_id", "distance")
-        body = fragments.select(F.col("id").alias("item_id"), "record_id", "text")
-        return body.join(own, "item_id").select("record_id", F.col("item_id").alias("fragment_id"), "text", "distance")
     stored = vectors.select(F.col("fragment_id").alias("id"), F.col("embedding").alias("v"))
     placed = fragments.select("id", "record_id").join(stored, "id")
     asked = queries.select("record_id", F.col("embedding").alias("q"))
@@ -339,6 +221,16 @@ def fragment_search_by_record(
     rank = shown if metric == "cosine" else l2_distance(F.col("v"), F.col("q"))
     ranked = pairs.select("record_id", "id", shown.alias("distance"), rank.alias("rank_distance"))
     top = first_rows(ranked, ["record_id"], [F.col("rank_distance"), F.col("id")], k)
+    if filter_mode == "post":
+        # only fragments as near as the record's own ones can push these out of the first k
+        top = settled(top, "own")
+        bound = top.groupBy("record_id").agg(F.max("rank_distance").alias("bound"))
+        near = asked.join(bound, "record_id").select(F.col("record_id").alias("query_id"), F.col("q").alias("embedding"), "bound")
+        found = nearest(near, vectors.select(F.col("fragment_id").alias("item_id"), "embedding"), k, metric)
+        own = found.select(F.col("query_id").alias("record_id"), F.col("item_id").alias("id"))
+        top = top.join(own, ["record_id", "id"], "left_semi")
+    elif filter_mode != "pre":
+        raise ValueError(f"unknown filter mode: {filter_mode}")
     return top.join(fragments.select("id", "text"), "id").select(
         "record_id", F.col("id").alias("fragment_id"), "text", "distance"
     )

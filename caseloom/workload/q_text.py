@@ -560,7 +560,7 @@ def v01_l2(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
     stored = vectors.select(F.col("vec_id").alias("item_id"), "embedding")
-    return se.nearest(queries, stored, 5, "l2").select("query_id", "item_id", "distance")
+    return se.nearest(queries, stored, 5, "l2", chunk=128).select("query_id", "item_id", "distance")
 
 
 @query(

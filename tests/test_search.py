@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import search as se, texts as tx
+from caseloom.operators import neighbours, search as se, texts as tx
 from conftest import SF
 
 
@@ -19,10 +19,11 @@ def brute(queries, items, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-@pytest.mark.parametrize("block", [4096, 7])
-def test_nearest_equals_brute_force(spark, metric, block):
+@pytest.mark.parametrize("chunk, per_pivot", [(16384, 512), (7, 512), (7, 10)])
+def test_nearest_equals_brute_force(spark, monkeypatch, metric, chunk, per_pivot):
+    monkeypatch.setattr(neighbours, "PER_PIVOT", per_pivot)
     rng = np.random.default_rng(1)
-    base = rng.normal(size=(60, 5))
+    base = rng.normal(size=(60, 5)) + np.repeat(8 * rng.normal(size=(6, 5)), 10, axis=0)
     items = [(f"i{n % 90:03d}-{n}", base[n % 60]) for n in range(150)]  # many exact ties
     queries = [(n, rng.normal(size=5)) for n in range(20)]
     frame = lambda rows, ddl: spark.createDataFrame([(i, v.tolist()) for i, v in rows], ddl)
@@ -31,7 +32,7 @@ def test_nearest_equals_brute_force(spark, metric, block):
         frame(items, "item_id string, embedding array<double>").repartition(5),
         4,
         metric,
-        block,
+        chunk,
     )
     assert {(r.query_id, r.item_id, r.distance) for r in got.collect()} == brute(queries, items, 4, metric)
 
@@ -43,6 +44,30 @@ def test_nearest_with_nothing_to_find(spark):
     assert se.nearest(queries.limit(0), items).count() == 0
 
 
+def test_bounds_leave_cells_out_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PER_PIVOT", 20)
+    rng = np.random.default_rng(4)
+    spots = 20 * rng.normal(size=(12, 6))
+    rows = [(n, (spots[n % 12] + rng.normal(size=6)).tolist()) for n in range(600)]
+    items = spark.createDataFrame(rows, "item_id long, embedding array<double>")
+    queries = spark.createDataFrame(rows[:40], "query_id long, embedding array<double>")
+    for metric in ("cosine", "l2"):
+        index = neighbours.build_index(items, 3, metric, chunk=16)
+        asked = index.cells.candidates(np.array([r[1] for r in rows[:40]]), 3, np.full(40, np.nan))
+        assert asked.any(axis=1).all() and asked.mean() < 0.6  # most cells are not asked
+        got = {(r.query_id, r.item_id, r.distance) for r in se.nearest(queries, index, 3, metric).collect()}
+        assert got == brute([(i, np.array(v)) for i, v in rows[:40]], [(i, np.array(v)) for i, v in rows], 3, metric)
+
+
+def test_zero_vectors_repeated_queries_and_bounds(spark):
+    items = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [-1.0, 0.0]), (4, None), (5, [2.0, 0.0])], "item_id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])] * 30 + [(2, [0.0, 0.0]), (3, None)], "query_id long, embedding array<float>")
+    got = sorted((r.query_id, r.item_id, r.distance) for r in se.nearest(queries, items, 3).collect())
+    assert got == [(1, 1, 1.0), (1, 2, 0.0), (1, 5, 0.0), (2, 1, 1.0), (2, 2, 1.0), (2, 3, 1.0)]
+    near = se.nearest(queries.withColumn("bound", F.lit(0.5)), items, 3, "l2").collect()
+    assert sorted((r.query_id, r.item_id) for r in near) == [(1, 2), (2, 1)]
+
+
 def corpus(spark):
     records = spark.createDataFrame(
         [("1", "Alpha", "official", "p"), ("2", "Beta", "manual", None), ("3", "Gamma", "official", None)],

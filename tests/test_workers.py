@@ -9,25 +9,23 @@ import pytest
 from pyspark import cloudpickle
 
 from caseloom.functions import embedding
-from caseloom.operators import layers, search
+from caseloom.operators import layers, neighbours
 from caseloom.sources import files
 
-SCHEMA = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("rank_distance", pa.float64()), ("distance", pa.float64())])
-
-
 def _embed():
     return embedding._embed_batch(pa.array([["one", "two"], [""]]), 16).to_pylist()
 
 
 def _nearest():
-    batch = pa.record_batch([pa.array([1, 2]), pa.array([[1.0, 0.0], [0.0, 1.0]])], names=["item_id", "embedding"])
-    found = search._scan(np.array([[1.0, 0.1]]), [7], 1, "cosine", SCHEMA)(iter([batch]))
-    return [b.to_pylist()[0]["item_id"] for b in found]
+    items = np.array([[1.0, 0.0], [0.0, 1.0]])
+    return neighbours._best_of(np.array([[1.0, 0.1]]), np.array([np.nan]), items, 1, "cosine")[1].tolist()
 
 
 WORK = {
     "embed": embedding._embed_batch,
-    "scan": search._scan,
+    "ask": neighbours._asking,
+    "meet": neighbours._meeting,
+    "cells": neighbours.Cells,
     "score": layers._score_image,
     "nodes": files._TextNodes,
 }
@@ -43,4 +41,4 @@ def test_loads_without_the_package(name, tmp_path):
 
 def test_they_work():
     assert np.isclose(np.linalg.norm(_embed()[0]), 1.0) and _embed()[1][0] == 1.0
-    assert _nearest() == [1]
+    assert _nearest() == [0]
