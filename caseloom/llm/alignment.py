@@ -17,10 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
-from collections import Counter
 from collections.abc import Iterator
-from types import SimpleNamespace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +26,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from caseloom.operators.common import join_many_to_one
 
-from .common import by_size, stored
+from .common import by_size, stored, tidy, worker_model
 
 #: A chunk's documents and links (different pairs of a document) at most; one document is never split.
 CHUNK_DOCS, CHUNK_LINKS = 65_536, 1_500_000
-#: Characters of known pieces a worker keeps, and bytes of text taken at a time.
-_REMEMBER, _BYTES = 6_000_000, 2 << 20
-#: Products of group sizes above this are counted by numpy.
-_SMALL = 256
+#: Known pieces a worker keeps at most between two batches, and bytes of text taken at a time.
+_REMEMBER, _BYTES = 250_000, 1 << 20
+#: Pieces encoded as one text.
+_IN_A_ROW = 1000
+#: Links of a group above this are counted by its different ids.
+_SMALL = 4096
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 _POSTINGS = (
     "chunk long, n int, doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", groups_sha256 string, "
@@ -86,74 +86,145 @@ class PairAligner:
         byte_level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and before.get("normalizer") is None
         self.cuts = bool(byte_level and not any("▁" in p.lstrip("▁") for p in pieces))
         self.border = re.compile(r"(?<=\S)(?= )")
+        self.length_a, self.length_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        names = [str(i).encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.digits = np.array(names, "S").view(np.uint8).reshape(len(names), -1)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.size = 0
         self.text: list[bytes] = []
-        self.counts: list[tuple[int, ...]] = []  # n_a, n_b, groups, links, usable, may be cut after
-        self.pairs: list[int] = []
-        self.times: list[int] = []
-        self.links = [0]
+        self.counts = np.zeros((0, 6), np.int64)  # n_a, n_b, groups, links, usable, no cut after it
+        self.pairs, self.times, self.links = (np.zeros(n, np.int64) for n in (0, 0, 1))
 
-    def _tokens_b(self, parts: list[str]) -> list[list[int]]:
-        """Ids of pieces without their first space, which B itself adds, but not to nothing."""
+    def _one_by_one(self, side: str, parts: list[str]) -> list[list[int]]:
+        """Ids of pieces given without their first space, which B itself adds, but not to nothing."""
+        if side == "a":
+            return [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
         found = self.b.encode(parts, num_threads=1)
         lone = self.b.encode("a ")[len(self.b.encode("a")) :]
         return [ids if part else lone for part, ids in zip(parts, found, strict=True)]
 
+    def _tokens(self, side: str, parts: list[str], bodies: list[bytes], in_a_row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces, the number of each, and which pieces their tokens give back byte by byte.
+
+        The first ``in_a_row`` pieces may be cut from one another wherever they stand, so
+        they are encoded as texts of many pieces.
+        """
+        table, length = (self.bytes_a, self.length_a) if side == "a" else (self.bytes_b, self.length_b)
+        flat, counts, usable = [], [], []
+        steps = [*range(0, in_a_row, _IN_A_ROW), in_a_row, len(parts)]
+        for low, high in zip(steps[:-1], steps[1:], strict=True):
+            some, own = parts[low:high], bodies[low:high]
+            if not some:
+                continue
+            if low < in_a_row:
+                text = " ".join(some)
+                ids = self.a.encode(" " + text, add_special_tokens=False).ids if side == "a" else self.b.encode(text, num_threads=1)
+                if b"".join(map(table.__getitem__, ids)) == b"".join(own):
+                    ids = np.array(ids, np.int64)
+                    ends = np.searchsorted(np.cumsum(length[ids]), np.cumsum([len(b) for b in own]), side="right")
+                    flat.append(ids)
+                    counts.append(np.diff(ends, prepend=0))
+                    usable.append(np.ones(len(own), bool))
+                    continue
+            found = self._one_by_one(side, some)
+            flat.append(np.fromiter(chain.from_iterable(found), np.int64))
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            usable.append(np.array([b"".join(map(table.__getitem__, ids)) == body for ids, body in zip(found, own, strict=True)], bool))
+        return np.concatenate(flat), np.concatenate(counts), np.concatenate(usable)
+
     def learn(self, parts: list[str]) -> None:
-        """Align pieces, given without their first space."""
-        ids_a = [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
-        for part, a, b in zip(parts, ids_a, self._tokens_b(parts), strict=True):
-            self.known[part] = len(self.text)
-            self.size += len(part) + 1
-            body = (" " + part).encode()
-            own_a, own_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            usable = b"".join(own_a) == body and b"".join(own_b) == body
-            groups = list(_groups(a, b, own_a, own_b)) if usable else []
-            self.text.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode())
-            n_links = sum(len(x) * len(y) for x, y in groups)
-            odd = not part or part[-1].isspace()
-            self.counts.append((len(a), len(b), len(groups), n_links, usable, odd))
-            for pair, n in _pairs(groups).items():
-                self.pairs.append(pair)
-                self.times.append(n)
-            self.links.append(len(self.pairs))
+        """Align pieces, given without their first space, all at once."""
+        if not parts:
+            return
+        plain = [p for p in parts if p and not p[-1].isspace()] if self.cuts else []
+        parts = plain + ([p for p in parts if not p or p[-1].isspace()] if self.cuts else parts)
+        bodies = [(" " + p).encode() for p in parts]
+        sizes = np.fromiter(map(len, bodies), np.int64, len(parts))
+        a, n_a, good_a = self._tokens("a", parts, bodies, len(plain))
+        b, n_b, good_b = self._tokens("b", parts, bodies, len(plain))
+        usable = good_a & good_b
+        a, of_a, end_a = _placed(a, n_a, self.length_a, sizes, usable)
+        b, of_b, end_b = _placed(b, n_b, self.length_b, sizes, usable)
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        in_a, in_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        group_a, group_b = np.bincount(in_a, minlength=len(common)), np.bincount(in_b, minlength=len(common))
+        first_a, first_b = np.cumsum(group_a) - group_a, np.cumsum(group_b) - group_b
+        of_group = of_a[first_a]
+        n_groups = np.bincount(of_group, minlength=len(parts))
+        n_links = np.zeros(len(parts), np.int64)
+        np.add.at(n_links, of_group, group_a * group_b)
+        # every A token with all B tokens of its group
+        small = group_a * group_b <= _SMALL
+        mine = np.flatnonzero(small[in_a])
+        each = group_b[in_a[mine]]
+        left = np.repeat(mine, each)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each) + first_b[in_a[left]]
+        pairs, times, of_pair = [a[left] << 32 | b[right]], [np.ones(len(left), np.int64)], [of_a[left]]
+        for g in np.flatnonzero(~small):
+            (x, n), (y, m) = (
+                np.unique(ids[at : at + k], return_counts=True) for ids, at, k in ((a, first_a[g], group_a[g]), (b, first_b[g], group_b[g]))
+            )
+            pairs.append(((x << 32)[:, None] | y[None, :]).ravel())
+            times.append(np.outer(n, m).ravel())
+            of_pair.append(np.full(len(pairs[-1]), of_group[g]))
+        order = np.argsort(np.concatenate(of_pair), kind="stable")
+        ends = self.links[-1] + np.cumsum(np.bincount(np.concatenate(of_pair), minlength=len(parts)))
+        self.text += self._written(a, b, in_a, in_b, first_a, first_b, group_a, of_group, len(parts))
+        no_cut = np.arange(len(parts)) >= len(plain)
+        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, n_links, usable, no_cut], axis=1).astype(np.int64)])
+        self.pairs = np.concatenate([self.pairs, np.concatenate(pairs)[order]])
+        self.times = np.concatenate([self.times, np.concatenate(times)[order]])
+        self.links = np.concatenate([self.links, ends])
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
+
+    def _written(self, a, b, in_a, in_b, first_a, first_b, group_a, of_group, n: int) -> list[bytes]:
+        """Groups of every piece as ``a1,a2|b1;a3|b2,b3``: decimal digits in a matrix, a separator after each."""
+        ids, marks = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[np.arange(len(a)) + first_b[in_a]] = a
+        ids[np.arange(len(b)) + first_a[in_b] + group_a[in_b]] = b
+        begins = first_a + first_b
+        marks[begins + group_a - 1] = ord("|")
+        marks[np.append(begins[1:], len(ids))[: len(begins)] - 1] = ord(";")
+        digits = np.concatenate([self.digits[ids], marks[:, None]], axis=1)
+        shown = digits != 0
+        ends = np.concatenate([[0], np.cumsum(shown.sum(axis=1))])
+        blob = digits[shown].tobytes()
+        # where each piece's groups begin and end; unusable pieces have none
+        low = np.searchsorted(of_group, np.arange(n + 1))
+        at = ends[np.append(begins, len(ids))[low]].tolist()
+        return [blob[x : y - 1] if y > x else b"" for x, y in zip(at[:-1], at[1:], strict=True)]
 
     def _numbers(self, parts: list[str]) -> np.ndarray:
         known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-        except KeyError:
-            self.learn([p for p in dict.fromkeys(parts) if p not in known])
-            return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+
+    def _learn_new(self, texts: list[list[str]]) -> None:
+        self.learn(list(set().union(*texts).difference(self.known)))
 
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Counts (text x 4) and group digests, then links: text, pair (A id << 32 | B id), how often."""
-        if self.size > _REMEMBER:
+        if len(self.known) > _REMEMBER:
             self.forget()
         split = [(t.split(" ") if self.cuts else [t]) if t else [] for t in texts]
-        self.learn([p for p in dict.fromkeys(p for parts in split for p in parts) if p not in self.known])
+        self._learn_new(split)
         counts, digests = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
-        docs, pieces = [], []
-        table = None
-        for i, parts in enumerate(split):
-            if not parts:
+        docs, pieces, numbers = [], [], [self._numbers(parts) for parts in split]
+        # white space before a space: no cut there
+        odd = [i for i, of in enumerate(numbers) if self.cuts and self.counts[of[:-1], 5].any()]
+        again = [[p[1:] for p in self.border.split(" " + texts[i])] for i in odd]
+        self._learn_new(again)
+        for i, parts in zip(odd, again, strict=True):
+            numbers[i] = self._numbers(parts)
+        table = self.counts
+        for i, of in enumerate(numbers):
+            if not len(of):
                 continue
-            of = self._numbers(parts)
-            if table is None or len(table) < len(self.counts):
-                table = np.array(self.counts, np.int64)
-            if self.cuts and table[of[:-1], 5].any():
-                # white space before a space: no cut there
-                of = self._numbers([p[1:] for p in self.border.split(" " + texts[i])])
-                if len(table) < len(self.counts):
-                    table = np.array(self.counts, np.int64)
             if not table[of, 4].all():
                 continue
             counts[i] = table[of, :4].sum(axis=0)
-            digests[i] = hashlib.sha256(b";".join([self.text[j] for j in of.tolist()])).hexdigest()
+            digests[i] = hashlib.sha256(b";".join(map(self.text.__getitem__, of.tolist()))).hexdigest()
             own, n = np.unique(of, return_counts=True)
             docs.append(np.full(len(own), i))
             pieces.append((own, n))
@@ -161,50 +232,27 @@ class PairAligner:
             return counts, digests, *(np.zeros(0, np.int64) for _ in range(3))
         doc = np.concatenate(docs)
         piece, n = (np.concatenate(x) for x in zip(*pieces, strict=True))
-        links, pairs, times = np.array(self.links), np.array(self.pairs, np.int64), np.array(self.times, np.int64)
-        begin, size = links[piece], links[piece + 1] - links[piece]
+        begin, size = self.links[piece], self.links[piece + 1] - self.links[piece]
         source = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
-        doc, pair, n = np.repeat(doc, size), pairs[source], times[source] * np.repeat(n, size)
+        doc, pair, n = np.repeat(doc, size), self.pairs[source], self.times[source] * np.repeat(n, size)
         order = np.lexsort((pair, doc))
         doc, pair, n = doc[order], pair[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])]))
         return counts, digests, doc[first], pair[first], np.add.reduceat(n, first)
 
 
-def _groups(a: list[int], b: list[int], own_a: list[bytes], own_b: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
-    """Ids of A and B between the places where tokens of both end."""
-    at_a = at_b = from_a = from_b = end_a = end_b = 0
-    while at_a < len(a) or at_b < len(b):
-        if end_a <= end_b and at_a < len(a):
-            end_a += len(own_a[at_a])
-            at_a += 1
-        else:
-            end_b += len(own_b[at_b])
-            at_b += 1
-        if end_a == end_b and at_a > from_a and at_b > from_b:
-            yield a[from_a:at_a], b[from_b:at_b]
-            from_a, from_b = at_a, at_b
-
-
-def _pairs(groups: list[tuple[list[int], list[int]]]) -> Counter[int]:
-    """How often each pair is linked."""
-    found: Counter[int] = Counter()
-    for a, b in groups:
-        if len(a) * len(b) <= _SMALL:
-            found.update([(x << 32) | y for x in a for y in b])
-        else:
-            (x, n), (y, m) = (np.unique(np.array(ids, np.int64), return_counts=True) for ids in (a, b))
-            both = ((x << 32)[:, None] | y[None, :]).ravel()
-            found.update(dict(zip(both.tolist(), np.outer(n, m).ravel().tolist(), strict=True)))
-    return found
+def _placed(ids: np.ndarray, counts: np.ndarray, length: np.ndarray, sizes: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the usable pieces in a row, the piece of each, and where it ends if all pieces stand in a row."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    total = np.concatenate([[0], np.cumsum(length[ids])])
+    ends = total[1:] + (np.cumsum(sizes) - sizes - total[np.cumsum(counts) - counts])[of]
+    keep = usable[of]
+    return ids[keep], of[keep], ends[keep]
 
 
 def _shared_aligner(path_a: str, path_b: str) -> PairAligner:
     """One aligner per worker process, for the last pair of tokenizers."""
-    held = sys.modules.setdefault("_caseloom_aligner", SimpleNamespace(paths=None, aligner=None))
-    if held.paths != (path_a, path_b):
-        held.paths, held.aligner = (path_a, path_b), PairAligner(path_a, path_b)
-    return held.aligner
+    return worker_model("aligner", (path_a, path_b), lambda: PairAligner(path_a, path_b))
 
 
 # ---- bitmaps ----------------------------------------------------------------------
@@ -286,7 +334,7 @@ def postings(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id",
         if held:
             yield from close(chunk)
 
-    return stored(narrow.mapInArrow(encode, _POSTINGS), "postings")
+    return stored(narrow.mapInArrow(tidy(encode, "aligner"), _POSTINGS), "postings")
 
 
 def pair_counts(posted: DataFrame) -> DataFrame:
