@@ -39,8 +39,8 @@ SPAN = 512
 #: Id that ends every document, documents in a range on average, and tokens from which on a file is closed.
 END, SHARD, FILE_TOKENS = 2, 2048, 2_000_000
 _BYTES = 2 << 20
-#: Distinct pieces whose ids a worker remembers, about 40 bytes each; beyond it starts anew.
-_REMEMBER = 1_000_000
+#: Distinct pieces whose ids a worker remembers, about 40 bytes each; beyond it it starts anew.
+_REMEMBER = 400_000
 
 
 # ---- the code ---------------------------------------------------------------------
