@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import normalise_title, normalise_url
 from ..operators import catalogue as cat, changes as chg, quality as q
 from ..schemas import CATALOGUE_HEADERS
-from ..session import scratch_path
-from ..sources import catalogue as src, files as fs, sinks
+from ..session import scratch_path, settled
+from ..sources import catalogue as src, exports, files as fs, library as lib, sinks
 from ..streaming.catalogue import stream_catalogue
 from .registry import query
 from .sql import norm_title, trim
@@ -230,6 +230,33 @@ def s10(spark: SparkSession, sf: str) -> DataFrame:
     return fs.artifact_catalogue(_files(spark, sf))
 
 
+def _written_files(spark: SparkSession, sf: str, keep: str = "true") -> str:
+    """The documents as one text file each, in a fresh folder of the shared one."""
+    folder = scratch_path(spark, "arrived")
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    rows = table(spark, sf, "documents").filter(keep).select(name.alias("path"), F.lit(0).alias("line_no"), F.col("text").alias("block"))
+    exports.write_documents(rows, folder, ["line_no"])
+    return folder
+
+
+@query(
+    "s10_library_files",
+    """
+select sha256[1:2] || '/' || sha256 || '.txt' as relative_path, sha256, any_value(byte_size) as byte_size, count(*) as arrivals, 1::bigint as written,
+  cast(count(*) - 1 as bigint) as skipped
+from (select sha256(coalesce(text, '')) as sha256, cast(strlen(coalesce(text, '')) as bigint) as byte_size from documents) group by sha256""",
+)
+def s10_library(spark: SparkSession, sf: str) -> DataFrame:
+    """Files stored by content, and what the library then holds, read back."""
+    arrived, library = _written_files(spark, sf), scratch_path(spark, "library")
+    stored = lib.store_files(lib.list_files(spark, arrived), library)
+    counts = stored.groupBy("relative_path").agg(
+        F.count(F.lit(1)).alias("arrivals"), F.count_if("is_new").alias("written"), F.count_if(~F.col("is_new")).alias("skipped")
+    )
+    held = settled(lib.stored_hashes(spark, library), "held").withColumnRenamed("local_path", "relative_path")
+    return settled(held.withColumnRenamed("file_hash", "sha256").join(counts, "relative_path", "full"), "library")
+
+
 @query(
     "s11_merge_artifacts",
     """
@@ -520,6 +547,26 @@ def q02(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "q03_verify_stored_files",
+    """
+select count(*) as total, count(*) filter (doc_id % 7 <> 0 and doc_id % 5 <> 0) as verified,
+  count(*) filter (doc_id % 7 <> 0 and doc_id % 5 = 0) as corrupted, count(*) filter (doc_id % 7 = 0) as missing
+from documents""",
+)
+def q03_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Files read where they lie: some were never written, of some another content is expected."""
+    docs = table(spark, sf, "documents")
+    folder = _written_files(spark, sf, "doc_id % 7 <> 0")
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    records = docs.select("doc_id", F.col("doc_id").cast("string").alias("id"), name.alias("local_path"))
+    other = F.when(F.col("doc_id") % 5 == 0, F.lit("x")).otherwise(F.lit(""))
+    artifacts = docs.select(F.col("doc_id").cast("string").alias("record_id"), F.sha2(F.concat(F.coalesce("text", F.lit("")), other), 256).alias("sha256"))
+    hashed = lib.hash_files(lib.list_files(spark, folder).select("path"))
+    files = settled(hashed.select(F.element_at(F.split("path", "/"), -1).alias("local_path"), F.col("sha256").alias("file_hash")), "seen")
+    return q.verify_integrity(records, artifacts, files)
+
+
 @query(
     "q03_verify_integrity",
     """
