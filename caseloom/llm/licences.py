@@ -121,14 +121,10 @@ def find_places(read: DataFrame, templates: tuple[Template, ...], lookups: int =
     spark = read.sparkSession
     index = word_index(spark, templates)
     frequency = read.select(F.explode("known").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
-    total = read.agg(F.count(F.lit(1)).alias("_n"))
+    n = read.count()
     # one row for every template word: small, whatever the corpus
-    rows = stored(
-        index.join(frequency, "word", "left").withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").select(
-            "template", "word", "place", "is_key", (1 + F.log((1 + F.col("_n")) / (1 + F.coalesce("_df", F.lit(0))))).alias("idf")
-        ),
-        "licence-words",
-    )
+    idf = 1 + F.log((1 + F.lit(n)) / (1 + F.coalesce("_df", F.lit(0))))
+    rows = stored(index.join(frequency, "word", "left").select("template", "word", "place", "is_key", idf.alias("idf")), "licence-words")
     ranked = F.sort_array(F.collect_set(F.struct((-F.col("idf")).alias("i"), F.col("word").alias("w"))))
     heads = rows.groupBy("template").agg(
         F.transform(ranked, lambda x: x["w"]).alias("_rarest"), F.sum("idf").alias("_mass"), F.sum(F.col("is_key").cast("int")).alias("_keys")
