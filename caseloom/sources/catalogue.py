@@ -8,19 +8,19 @@ from ..functions.text import blank_to_null, trim_ws
 from ..operators.catalogue import keyed_rows
 from ..operators.common import derived_id, first_row, join_many_to_one
 from ..schemas import CATALOGUE_HEADERS
+from ..session import settled
+from .records import csv_records
 
 _CSV = {
-    "header": "false",
     "multiLine": "true",
     "quote": '"',
     "escape": '"',
     "ignoreLeadingWhiteSpace": "true",
     "ignoreTrailingWhiteSpace": "true",
     "mode": "PERMISSIVE",
-    "encoding": "UTF-8",
 }
-#: Columns a catalogue file may have; a wider header is an error.
-MAX_COLUMNS = 64
+#: Fields a record may have whatever its header says; the rest of the reader's limits are its defaults.
+_MOST_FIELDS = 20_480
 
 
 def read_raw_csv(spark: SparkSession, path: str, spec: dict[str, str] | None = None) -> DataFrame:
@@ -29,27 +29,29 @@ def read_raw_csv(spark: SparkSession, path: str, spec: dict[str, str] | None = N
     Every file has a header of its own, in any order: its first row says which value
     belongs to which column (case and outer blanks do not count, of two equal headers
     the later one does, unknown ones are left out). Blank and missing values are NULL.
-    Fields may span lines, so a file is read by one task; several files are read by many.
+    A header may have any number of columns. Files are scanned once, each by many tasks,
+    also where fields span lines (see :func:`.records.csv_records`).
     """
     spec = spec or CATALOGUE_HEADERS
-    names = [f"c{i}" for i in range(MAX_COLUMNS + 1)]
-    raw = spark.read.options(**_CSV).schema(", ".join(f"{n} string" for n in names)).csv(path)
-    rows = raw.select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ordinal"), F.array(*names).alias("_values")
-    )
-    first = rows.groupBy("file").agg(F.min(F.struct("ordinal", "_values")).alias("_head"))
-    title = lambda h: F.lower(trim_ws(F.ltrim(h, F.lit("\ufeff"))))
-    heads = F.transform("_head._values", lambda h: F.coalesce(title(h), F.lit("")))
-    too_wide = F.raise_error(F.format_string("more than %d columns: %s", F.lit(MAX_COLUMNS), F.col("file")))
-    heads = F.when(F.get("_head._values", F.lit(MAX_COLUMNS)).isNotNull(), too_wide.cast("array<string>")).otherwise(heads)
-    first = first.select("file", F.col("_head.ordinal").alias("_top"), F.reverse(heads).alias("_names"))
-    # counted from the end, so that the last of equal headers is found
-    place = lambda h: F.lit(MAX_COLUMNS + 1) - F.array_position("_names", h.strip().lower()).cast("int")
+    records = csv_records(spark, path)
+    heads = settled(records.groupBy("file").agg(F.min(F.struct("ordinal", "record")).alias("_head")).select("file", "_head.*"), "release-heads")
+    # at least as many as fields, since quoted commas count too
+    width = heads.agg(F.max(F.size(F.split("record", ",", -1)))).first()[0] or 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    options = {**_CSV, "maxColumns": str(max(_MOST_FIELDS, width + 1))}
+    fields = F.array(*[F.col("_f")[f"c{i}"] for i in range(width)])
+    title = lambda h: F.coalesce(F.lower(trim_ws(h)), F.lit(""))
+    heads = heads.select("file", F.col("ordinal").alias("_top"), F.from_csv("record", schema, options).alias("_f"))
+    # reversed, so that the last of equal headers is found
+    heads = heads.select("file", "_top", F.reverse(F.transform(fields, title)).alias("_names"))
+    rows = records.select("file", "ordinal", F.from_csv("record", schema, options).alias("_f"))
+    rows = rows.select("file", "ordinal", fields.alias("_values"))
+    place = lambda h: F.lit(width) - F.array_position("_names", h.strip().lower()).cast("int")
     values = [
         F.when(F.array_contains("_names", h.strip().lower()), blank_to_null(F.get("_values", place(h)))).alias(name)
         for h, name in spec.items()
     ]
-    return join_many_to_one(rows, first, ["file"]).filter("ordinal > _top").select("file", "ordinal", *values)
+    return join_many_to_one(rows, heads, ["file"]).filter("ordinal > _top").select("file", "ordinal", *values)
 
 
 def read_catalogue_csv(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
