@@ -9,7 +9,7 @@ from ..operators.catalogue import keyed_rows
 from ..operators.common import derived_id, first_row, join_many_to_one
 from ..schemas import CATALOGUE_HEADERS
 from ..session import settled
-from .records import csv_records
+from .records import first_records, read_pieces, records_of
 
 _CSV = {
     "multiLine": "true",
@@ -33,8 +33,8 @@ def read_raw_csv(spark: SparkSession, path: str, spec: dict[str, str] | None = N
     also where fields span lines (see :func:`.records.csv_records`).
     """
     spec = spec or CATALOGUE_HEADERS
-    records = csv_records(spark, path)
-    heads = settled(records.groupBy("file").agg(F.min(F.struct("ordinal", "record")).alias("_head")).select("file", "_head.*"), "release-heads")
+    pieces = read_pieces(spark, path)
+    records, heads = records_of(pieces), settled(first_records(pieces), "release-heads")
     # at least as many as fields, since quoted commas count too
     width = heads.agg(F.max(F.size(F.split("record", ",", -1)))).first()[0] or 1
     schema = ", ".join(f"c{i} string" for i in range(width))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..operators.common import join_many_to_one
-from ..session import settled
+from ..session import scratch_path, settled
 
 # a quoted text without its closing quote; a field that ends before the next comma
 _QUOTED = r'[^"]*+(?:""[^"]*+)*+'
@@ -50,8 +50,12 @@ def _after(inside: Column | str) -> Column:
     return F.when(inside if isinstance(inside, Column) else F.col(inside), F.col("to1")).otherwise(F.col("to0"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines by (file, block), numbered, with their ends, and for both states of the block's start what they belong to."""
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """Pieces of records by (file, block, n): for both states of the block's start where they begin, and their states.
+
+    ``from`` and ``out`` are the states before and after a piece, ``start`` the number of
+    the line where its record begins (NULL: in a block before).
+    """
     raw = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -69,13 +73,26 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.withColumns({"to0": F.rlike("text", F.lit(OPENS)), "to1": F.rlike("text", F.lit(STAYS))})
     lines = _states(lines, order)
     start = lambda state: F.max(F.when(~F.col(state), F.col("n"))).over(order.rowsBetween(_HEAD, _ALL))
-    return lines.withColumns({"start0": start("from0"), "start1": start("from1")}).drop("_id", "_pos")
+    lines = lines.withColumns({"start0": start("from0"), "start1": start("from1"), "out0": _after("from0"), "out1": _after("from1")})
+    # a record that begins at the same line whatever the state at the block's start can be joined here, without a shuffle
+    sure = F.when(F.col("start0") == F.col("start1"), F.col("start0")).otherwise(-F.col("n"))
+    pieces = lines.groupBy("file", "block", sure.alias("_piece")).agg(
+        F.sort_array(F.collect_list(F.struct("n", "text"))).alias("_lines"),
+        F.min("n").alias("n"),
+        F.min_by(F.struct("from0", "from1"), "n").alias("_from"),
+        F.max_by(F.struct("out0", "out1"), "n").alias("_out"),
+        F.max("start0").alias("start0"),
+        F.max("start1").alias("start1"),
+    )
+    text = F.array_join(F.transform("_lines", lambda p: p["text"]), "")
+    pieces = pieces.select("file", "block", "n", text.alias("text"), "_from.*", "_out.*", "start0", "start1")
+    return pieces.withColumn("blank", F.trim("text", F.lit(" \t\r\n")) == "")
 
 
-def _block_starts(lines: DataFrame) -> DataFrame:
+def _block_starts(pieces: DataFrame) -> DataFrame:
     """For every block whether it begins inside of a field, and of which record (home, key): one row per block."""
-    blocks = lines.groupBy("file", "block").agg(
-        F.max_by(F.struct(_after("from0").alias("to0"), _after("from1").alias("to1")), "n").alias("_end"),
+    blocks = pieces.groupBy("file", "block").agg(
+        F.max_by(F.struct(F.col("out0").alias("to0"), F.col("out1").alias("to1")), "n").alias("_end"),
         F.max("start0").alias("_last0"),
         F.max("start1").alias("_last1"),
     )
@@ -87,6 +104,41 @@ def _block_starts(lines: DataFrame) -> DataFrame:
     return blocks.select("file", "block", F.col("from0").alias("_inside"), owner.alias("_owner"))
 
 
+def read_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """All text of the files as pieces of records, stored once: (file, _at, block, n, text, _in, _out, blank).
+
+    ``_at`` (home, key) is the record, ``_in`` and ``_out`` tell whether a piece begins
+    and ends inside of a field. Most pieces are whole records; others stand at block borders.
+    """
+    place = scratch_path(spark, "release-pieces")
+    fresh = _pieces(spark, path)
+    fresh.write.option("compression", "zstd").parquet(place)
+    pieces = spark.read.schema(fresh.schema).parquet(place)
+    blocks = settled(_block_starts(pieces), "release-blocks")
+    pick = lambda name: F.when(F.col("_inside"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+    here = F.when(pick("start").isNotNull(), F.struct(F.col("block").alias("home"), pick("start").alias("key")))
+    return join_many_to_one(pieces, blocks, ["file", "block"]).select(
+        "file", F.coalesce(here, "_owner").alias("_at"), "block", "n", "text", pick("from").alias("_in"), pick("out").alias("_out"), "blank"
+    )
+
+
+def records_of(pieces: DataFrame) -> DataFrame:
+    """``file``, ``ordinal``, ``record`` of :func:`read_pieces`, without blank records; only pieces at borders are shuffled."""
+    alone = pieces.filter(~F.col("_in") & ~F.col("_out") & ~F.col("blank")).select("file", "_at", "text")
+    parts = F.sort_array(F.collect_list(F.struct("block", "n", "text")))
+    several = pieces.filter(F.col("_in") | F.col("_out")).groupBy("file", "_at").agg(parts.alias("_parts"))
+    joined = several.select("file", "_at", F.array_join(F.transform("_parts", lambda p: p["text"]), "").alias("text"))
+    # a line takes a byte at least, so this grows across blocks as well
+    ordinal = F.when(F.col("_at.home") > 0, F.col("_at.home")).otherwise(-1) + F.col("_at.key")
+    return alone.unionByName(joined).select("file", ordinal.alias("ordinal"), F.rtrim("text", F.lit("\r\n")).alias("record"))
+
+
+def first_records(pieces: DataFrame) -> DataFrame:
+    """The first record of every file that has one, like :func:`records_of`; other texts are not read."""
+    starts = pieces.filter(~F.col("_in") & (F.col("_out") | ~F.col("blank"))).groupBy("file").agg(F.min("_at").alias("_at"))
+    return records_of(join_many_to_one(pieces, settled(starts, "release-starts"), ["file", "_at"]))
+
+
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of all files below a path: ``file``, ``ordinal`` (grows with the place in the file), ``record``.
 
@@ -94,23 +146,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     left out. A byte order mark is removed, bytes that are not UTF-8 become replacement
     characters. Line feed, carriage return or both end a record outside of quotes; a
     quote counts only where a field begins with one. A quote that is never closed makes
-    the rest of its file one record. Lines are shuffled once by block; records of
-    several lines once more. A compressed file is one block.
+    the rest of its file one record. Lines are shuffled once, by block. A compressed
+    file is one block.
     """
-    lines = settled(_lines(spark, path), "release-lines")
-    blocks = settled(_block_starts(lines), "release-blocks")
-    placed = join_many_to_one(lines, blocks, ["file", "block"])
-    inside = F.when(F.col("_inside"), F.col("from1")).otherwise(F.col("from0"))
-    start = F.when(F.col("_inside"), F.col("start1")).otherwise(F.col("start0"))
-    placed = placed.select(
-        "file", "block", "n", "text", inside.alias("_in"), _after(inside).alias("_out"),
-        F.coalesce(F.when(start.isNotNull(), F.struct(F.col("block").alias("home"), start.alias("key"))), "_owner").alias("_at"),
-    )
-    alone = placed.filter(~F.col("_in") & ~F.col("_out")).select("file", "_at", "text")
-    parts = F.sort_array(F.collect_list(F.struct("block", "n", "text")))
-    several = placed.filter(F.col("_in") | F.col("_out")).groupBy("file", "_at").agg(parts.alias("_parts"))
-    joined = several.select("file", "_at", F.array_join(F.transform("_parts", lambda p: p["text"]), "").alias("text"))
-    # a line takes a byte at least, so this grows across blocks as well
-    ordinal = F.when(F.col("_at.home") > 0, F.col("_at.home")).otherwise(-1) + F.col("_at.key")
-    records = alone.unionByName(joined).select("file", ordinal.alias("ordinal"), F.rtrim("text", F.lit("\r\n")).alias("record"))
-    return records.filter(F.trim("record", F.lit(" \t\r\n")) != "")
+    return records_of(read_pieces(spark, path))

@@ -45,7 +45,7 @@ def blocks_of(spark):
 
 @pytest.mark.parametrize("size,end", [(3, "\n"), (17, "\r\n"), (64, "\n"), (1 << 20, "\r")])
 def test_records_do_not_depend_on_block_borders(spark, tmp_path, blocks_of, size, end):
-    texts = {f"{seed}.csv": text_of(seed, 40 if size < 10 else 120, end) for seed in (1, 2)}
+    texts = {f"{seed}.csv": text_of(seed, 16 if size < 10 else 80, end) for seed in (1, 2)}
     for name, text in texts.items():
         (tmp_path / name).write_bytes(text.encode())
     blocks_of(size)
