@@ -156,6 +156,15 @@ def test_base_spans_equal_plain_matching(spark):
     assert personal.find_personal_data(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+def test_numbers_that_fail_their_checksum_are_not_added(spark):
+    """Half of the long numbers pass; the others look alike in every other way, and none of them becomes a span."""
+    good, bad = "4539578763621486", "4539578763621487"
+    rows = [(i, f"pay {good if i % 2 else bad} now, it was {1900 + i} and {i} of us") for i in range(60)]
+    got = {r.doc_id: r.spans for r in personal.find_personal_data(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert [[(s.kind, s.start, s.end) for s in got[i]] for i in range(2)] == [[], [("card", 4, 20)]]
+    assert all(len(got[i]) == i % 2 for i in range(60))
+
+
 def test_personal_query_equals_plain_matching(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     df = entry.queries()["op5_personal_spans"](spark, SF)
