@@ -11,6 +11,7 @@ from ..functions.vectors import cosine_distance, l2_distance
 from ..session import settled
 from .common import first_rows, join_many_to_one, join_one_to_many
 from .neighbours import CHUNK, VectorIndex, build_index, nearest_join
+from .postings import KeywordIndex, keyword_matches, on_shelves
 
 #: Results of a search, and fragments picked as context of a record.
 SEARCH_K, FRAGMENT_K = 20, 15
@@ -126,20 +127,29 @@ def keyword_search(
     case_records: DataFrame | None = None,
     filters: Filters = Filters(),
     k: int = SEARCH_K,
+    index: KeywordIndex | None = None,
 ) -> DataFrame:
     """Chunks whose text or record title contains ``query``; the first k by record, chunk and artifact.
 
     Texts are tested where they lie and stay there: only the outcome is joined with
-    the records, and the texts of the k results are looked up at the end.
+    the records, and the texts of the k results are looked up at the end. With an
+    ``index`` of the chunks its postings say which texts are tested, and ``chunks`` is not read.
     """
     allowed = _in_case(_record_columns(_allowed(records, filters)), case_records, filters)
     titles = allowed.select("record_id", F.coalesce(contains_pattern("title", query), F.lit(False)).alias("_title"))
-    own = F.coalesce(contains_pattern("text", query), F.lit(False)).alias("_own")
-    tested = chunks.select("record_id", "chunk_index", own)
-    found = join_many_to_one(tested, titles, ["record_id"], "inner").filter(F.col("_own") | F.col("_title"))
     # an artifact only multiplies rows, so the first k chunks suffice for the first k results
     key = ["record_id", "chunk_index"]
-    first = settled(found.select(*key).orderBy(*key).limit(k), "first")
+    if index is None:
+        own = F.coalesce(contains_pattern("text", query), F.lit(False)).alias("_own")
+        tested = chunks.select("record_id", "chunk_index", own)
+        found = join_many_to_one(tested, titles, ["record_id"], "inner").filter(F.col("_own") | F.col("_title"))
+        first = settled(found.select(*key).orderBy(*key).limit(k), "first")
+    else:
+        titled, others = titles.filter("_title"), titles.filter("not _title")
+        by_title = join_many_to_one(index.entries.select(*key, "shelf"), titled, ["record_id"], "left_semi")
+        by_text = join_many_to_one(keyword_matches(index, query).select(*key, "shelf"), others, ["record_id"], "left_semi")
+        first = settled(by_title.unionByName(by_text).orderBy(*key).limit(k), "first")
+        chunks = on_shelves(index, first)
     of_first = first.select("record_id").distinct()
     texts = chunks.select(*key, F.col("text").alias("excerpt")).join(first, key, "left_semi")
     heads = allowed.join(of_first, "record_id", "left_semi")

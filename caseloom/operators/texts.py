@@ -95,7 +95,7 @@ def entity_array(text: Column, dictionary: dict[str, list[str]] | None = None) -
     """
     rules = [
         (kind, r"(?iU)\b(%s)\b" % "|".join(re.escape(t) for t in terms), TERM_CONFIDENCE)
-        for kind, terms in (dictionary or DICTIONARY).items()
+        for kind, terms in (DICTIONARY if dictionary is None else dictionary).items()
     ]
     rules.append(("date", r"(?U)\b(\d{4}-\d{2}-\d{2})\b", DATE_CONFIDENCE))
 

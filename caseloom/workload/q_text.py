@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import match_percent
-from ..operators import layers as ly, search as se, texts as tx
+from ..operators import layers as ly, postings as po, search as se, terms as te, texts as tx
+from ..operators.common import union_all
 from ..plans.indexing import IndexTables, run_index
+from ..session import scratch_path, settled
 from .registry import query
-from .sql import chunk_ctes, embed_ctes
+from .sql import chunk_ctes, embed_ctes, fold
 from .views import spread, table, view
 
 #: Frequent words of the test documents stand in for the default dictionary.
@@ -105,6 +107,35 @@ def x04(spark: SparkSession, sf: str) -> DataFrame:
     return tx.extract_entities(_dated(spark, sf), dictionary=WORDS)
 
 
+@query(
+    "x04_extract_terms",
+    f"with {_HITS} select record_id, name, entity_type, confidence, 'deterministic' as source from hits",
+)
+def x04_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The same dictionary as a table, by the join."""
+    rows = [(kind, term) for kind, terms in WORDS.items() for term in terms]
+    return te.extract_terms(_dated(spark, sf), spark.createDataFrame(rows, "entity_type string, term string"))
+
+
+@query(
+    "x04_extract_terms_table",
+    f"""
+with word as (
+  select record_id, unnest(regexp_extract_all(text, '[{_W}]+')) as name,
+    generate_subscripts(regexp_extract_all(text, '[{_W}]+'), 1) as pos from fx_docs
+),
+term as (select distinct lower(unnest(regexp_extract_all(text, '[{_W}]+'))) as low from benchmark)
+select record_id, arg_min(name, pos) as name, 'benchmark' as entity_type, cast(0.85 as double) as confidence,
+  'deterministic' as source
+from word join term on lower(name) = low group by record_id, low""",
+)
+def x04_terms_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary that grows with its table: every word of the benchmark texts."""
+    word = F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)))
+    terms = table(spark, sf, "benchmark").select(F.lit("benchmark").alias("entity_type"), word.alias("term"))
+    return te.extract_terms(_docs(spark, sf), terms).filter("entity_type <> 'date'")
+
+
 _KNOWN = [("e1", "the", "w1", "old"), ("e2", "orb", "shape", "old")]
 
 
@@ -563,9 +594,7 @@ def v01_l2(spark: SparkSession, sf: str) -> DataFrame:
     return se.nearest(queries, stored, 5, "l2", chunk=128).select("query_id", "item_id", "distance")
 
 
-@query(
-    "v02_keyword_search",
-    f"""
+_KEYWORD_SQL = f"""
 with recursive {chunk_ctes("fx_docs")},
 found as (
   select c.*, r.title, r.agency from chunk c join fx_records r on r.id = c.record_id
@@ -575,8 +604,10 @@ found as (
 select f.record_id as id, f.title as title, f.agency as agency, a.sha256 as artifact_sha256, f.chunk_index as chunk_index,
   sha256(f.chunk) as excerpt_hash, cast(0 as double) as distance
 from found f left join fx_artifacts a on a.record_id = f.record_id
-order by f.record_id, f.chunk_index, a.sha256 nulls first limit 20""",
-)
+order by f.record_id, f.chunk_index, a.sha256 nulls first limit 20"""
+
+
+@query("v02_keyword_search", _KEYWORD_SQL)
 def v02(spark: SparkSession, sf: str) -> DataFrame:
     found = se.keyword_search(
         " The_",
@@ -590,6 +621,49 @@ def v02(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _keyword_index(spark: SparkSession, sf: str) -> po.KeywordIndex:
+    """Postings of all chunks, written as an index pass would leave them."""
+    return po.write_postings(settled(_chunks(spark, sf), "chunks"), scratch_path(spark, "keywords"))
+
+
+@query("v02_keyword_search_indexed", _KEYWORD_SQL)
+def v02_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search, by postings."""
+    found = se.keyword_search(
+        " The_",
+        None,
+        view(spark, sf, "fx_records"),
+        view(spark, sf, "fx_artifacts"),
+        filters=se.Filters("official"),
+        index=_keyword_index(spark, sf),
+    )
+    return found.select(
+        "id", "title", "agency", "artifact_sha256", "chunk_index", F.sha2("excerpt", 256).alias("excerpt_hash"), "distance"
+    )
+
+
+#: Runs of three and more literals, of one and two, wildcards between and at the ends.
+_PATTERNS = ["Which", "in th%of the", "q_", "Z%x", "e_e_%an", "a__%"]
+
+
+@query(
+    "v02_keyword_postings",
+    f"""
+with recursive {chunk_ctes("fx_docs")},
+asked as (select unnest({_PATTERNS}) as pattern)
+select pattern, record_id, chunk_index from chunk
+join asked on {fold("chunk")} like '%' || {fold("pattern")} || '%'""",
+)
+def v02_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """All matches of several patterns from one index."""
+    index = _keyword_index(spark, sf)
+    found = [
+        po.keyword_matches(index, pattern).select(F.lit(pattern).alias("pattern"), "record_id", "chunk_index")
+        for pattern in _PATTERNS
+    ]
+    return union_all(found)
+
+
 @query(
     "v03_search_total",
     f"""
