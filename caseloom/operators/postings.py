@@ -2,12 +2,11 @@
 
 Two Parquet tables below one folder:
 
-* ``entries``: (shelf, block, place, record_id, chunk_index, text). Chunks are spread over
-  blocks of about ``BLOCK`` chunks by a hash of their key, and numbered inside of their block;
-  shelves are partition folders of blocks, so that texts are looked up by partition pruning.
-* ``postings``: (gram, shelf, block, word, bits), sorted by range of gram. Bit i of ``bits``
-  says that the chunk at place 64 * word + i holds the gram. Lists are joined by bitwise
-  aggregates; a frequent gram is many rows of one block each, never one long list.
+* ``entries``: (shelf, place, record_id, chunk_index, text). Chunks are dealt to shelves, which are
+  partition folders, by a hash of their key, and numbered there; texts are looked up by partition pruning.
+* ``postings``: (gram, shelf, word, bits), each file sorted by gram. Bit i of ``bits`` says that the
+  chunk at place 64 * word + i holds the gram. Lists are joined by bitwise aggregates; a frequent gram
+  is many rows in all files, never one long list, and a rare one is read by the pages that hold it.
 
 Texts are folded like :func:`~caseloom.functions.text.contains_pattern` does and closed by two
 NUL characters, so every character begins a gram and one or two characters are a prefix of
@@ -25,15 +24,15 @@ from ..functions.text import ascii_lower, contains_pattern
 from ..session import settled
 from .common import join_many_to_one
 
-#: Chunks aimed at per block, and partition folders of texts at most.
-BLOCK, SHELVES = 4096, 4096
+#: Chunks aimed at per shelf, and shelves at most (beyond, shelves grow).
+SHELF_ROWS, SHELVES = 1 << 16, 1 << 16
 GRAM = 3
 #: Characters of a text whose grams are listed at a time.
 _PIECE = 4096
 
 #: Read with these, so that an index of no rows is one too.
-ENTRIES = "record_id string, chunk_index long, text string, block long, place int, shelf int"
-POSTINGS = "gram string, shelf int, block long, word int, bits long"
+ENTRIES = "record_id string, chunk_index long, text string, place int, shelf int"
+POSTINGS = "gram string, shelf int, word int, bits long"
 
 
 @dataclass(frozen=True)
@@ -42,34 +41,35 @@ class KeywordIndex:
     postings: DataFrame
 
 
-def write_postings(chunks: DataFrame, folder: str, block: int = BLOCK, shelves: int = SHELVES) -> KeywordIndex:
+def write_postings(chunks: DataFrame, folder: str, shelves: int | None = None) -> KeywordIndex:
     """Index of (record_id, chunk_index, text), written below a fresh ``folder``.
 
-    It describes the chunks of this moment; after an index pass it is written anew. Other
-    columns are left out. A NULL text is kept and found by no query; repeated rows stay repeated.
+    ``shelves`` follows from the number of chunks where it is not given; counting is cheap for
+    stored chunks, and computes others once more. The index describes the chunks of this moment;
+    after an index pass it is written anew. Other columns are left out. A NULL text is kept and
+    found by no query; repeated rows stay repeated.
     """
-    blocks = max(1, -(-chunks.count() // block))
-    placed = chunks.select(
+    shelves = shelves or min(SHELVES, 1 + chunks.count() // SHELF_ROWS)
+    dealt = chunks.select(
         F.col("record_id").cast("string"),
         F.col("chunk_index").cast("long"),
         "text",
-        F.pmod(F.xxhash64("record_id", "chunk_index"), F.lit(blocks)).alias("block"),
-    ).withColumn("shelf", (F.col("block") % min(shelves, blocks)).cast("int"))
-    inside = Window.partitionBy("shelf", "block").orderBy("record_id", "chunk_index")
-    # ranges of (shelf, block): the window needs no other shuffle, and a task writes few folders
-    numbered = placed.repartitionByRange("shelf", "block").withColumn("place", F.row_number().over(inside) - 1)
+        F.pmod(F.xxhash64("record_id", "chunk_index"), F.lit(shelves)).cast("int").alias("shelf"),
+    )
+    # texts move once: numbers and folders need the same partitioning
+    place = F.row_number().over(Window.partitionBy("shelf").orderBy("record_id", "chunk_index")) - 1
+    numbered = dealt.repartition("shelf").withColumn("place", place)
     numbered.write.partitionBy("shelf").parquet(f"{folder}/entries")
 
     entries = chunks.sparkSession.read.schema(ENTRIES).parquet(f"{folder}/entries")
-    keys = ["gram", "shelf", "block", "word"]
-    grams = entries.select("shelf", "block", "place", F.explode(_pieces(F.col("text"))).alias("piece")).select(
-        "shelf", "block", "place", F.explode(_grams(F.col("piece"))).alias("gram")
-    )
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))
-    lists = grams.groupBy("gram", "shelf", "block", F.floor(F.col("place") / 64).cast("int").alias("word")).agg(
+    pieces = entries.select("shelf", "place", F.explode(_pieces(F.col("text"))).alias("piece"))
+    grams = pieces.select("shelf", "place", F.explode(_grams(F.col("piece"))).alias("gram"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place") % 64)
+    # a file holds neighbouring places, so most bits meet before the shuffle
+    lists = grams.groupBy("gram", "shelf", F.expr("place div 64").cast("int").alias("word")).agg(
         F.bit_or(bit).alias("bits")
     )
-    lists.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{folder}/postings")
+    lists.sortWithinPartitions("gram", "shelf", "word").write.parquet(f"{folder}/postings")
     return read_postings(chunks.sparkSession, folder)
 
 
@@ -99,7 +99,7 @@ def needles(query: str) -> list[str]:
 
 
 def candidates(index: KeywordIndex, query: str) -> DataFrame:
-    """(shelf, block, place) of the chunks that hold all needles of ``query``, which needs at least one."""
+    """(shelf, place) of the chunks that hold all needles of ``query``, which needs at least one."""
     wanted, gram = needles(query), F.col("gram")
     if len(wanted[0]) == GRAM:
         hits = index.postings.filter(gram.isin(wanted))
@@ -110,11 +110,11 @@ def candidates(index: KeywordIndex, query: str) -> DataFrame:
         for needle in wanted[1:]:
             condition = condition | gram.startswith(needle)
         listed = index.postings.filter(condition).select(
-            "shelf", "block", "word", F.explode(F.array_compact(matched)).alias("gram"), "bits"
+            "shelf", "word", F.explode(F.array_compact(matched)).alias("gram"), "bits"
         )
-        hits = listed.groupBy("shelf", "block", "word", "gram").agg(F.bit_or("bits").alias("bits"))
+        hits = listed.groupBy("shelf", "word", "gram").agg(F.bit_or("bits").alias("bits"))
     common = (
-        hits.groupBy("shelf", "block", "word")
+        hits.groupBy("shelf", "word")
         .agg(F.bit_and("bits").alias("bits"), F.count(F.lit(1)).alias("lists"))
         .filter((F.col("lists") == len(wanted)) & (F.col("bits") != 0))
     )
@@ -122,8 +122,8 @@ def candidates(index: KeywordIndex, query: str) -> DataFrame:
         F.sequence(F.lit(0), F.lit(63)),
         lambda i: F.call_function("shiftright", F.col("bits"), i).bitwiseAND(F.lit(1)) == 1,
     )
-    return common.select("shelf", "block", "word", F.explode(set_bits).alias("bit")).select(
-        "shelf", "block", (F.col("word") * 64 + F.col("bit")).alias("place")
+    return common.select("shelf", "word", F.explode(set_bits).alias("bit")).select(
+        "shelf", (F.col("word") * 64 + F.col("bit")).alias("place")
     )
 
 
@@ -141,5 +141,5 @@ def keyword_matches(index: KeywordIndex, query: str) -> DataFrame:
     if not needles(query):
         return index.entries.filter(contains_pattern("text", query))
     found = settled(candidates(index, query), "candidates")
-    held = join_many_to_one(on_shelves(index, found), found, ["shelf", "block", "place"], "left_semi")
+    held = join_many_to_one(on_shelves(index, found), found, ["shelf", "place"], "left_semi")
     return held.filter(contains_pattern("text", query))

@@ -8,7 +8,7 @@ from ..functions.text import match_percent
 from ..operators import layers as ly, postings as po, search as se, terms as te, texts as tx
 from ..operators.common import union_all
 from ..plans.indexing import IndexTables, run_index
-from ..session import scratch_path, settled
+from ..session import scratch_path
 from .registry import query
 from .sql import chunk_ctes, embed_ctes, fold
 from .views import spread, table, view
@@ -623,7 +623,8 @@ def v02(spark: SparkSession, sf: str) -> DataFrame:
 
 def _keyword_index(spark: SparkSession, sf: str) -> po.KeywordIndex:
     """Postings of all chunks, written as an index pass would leave them."""
-    return po.write_postings(settled(_chunks(spark, sf), "chunks"), scratch_path(spark, "keywords"))
+    shelves = 1 + table(spark, sf, "documents").count() // 4096
+    return po.write_postings(_chunks(spark, sf), scratch_path(spark, "keywords"), shelves)
 
 
 @query("v02_keyword_search_indexed", _KEYWORD_SQL)

@@ -38,7 +38,7 @@ def chunks(spark, rows):
 
 @pytest.fixture(scope="module")
 def index(chunks, tmp_path_factory):
-    return po.write_postings(chunks, str(tmp_path_factory.mktemp("keywords") / "index"), block=70, shelves=3)
+    return po.write_postings(chunks, str(tmp_path_factory.mktemp("keywords") / "index"), shelves=3)
 
 
 QUERIES = ["needle", "NEEDLE", "a", "A ", "ab_", "a_b", "a%b%a", "é😀", "😀😀😀", "\\", "\\%a", "_", "%", "", "%%é", "\0", "ß.",
@@ -72,11 +72,12 @@ def test_only_lists_and_shelves_asked_for_are_read(index):
     assert "PartitionFilters: [isnotnull(shelf" in found or "PartitionFilters: [shelf" in found
 
 
-def test_blocks_are_numbered_without_gaps(index, rows):
+def test_shelves_are_numbered_without_gaps(index, rows):
     entries = index.entries.collect()
-    assert len(entries) == len(rows) and {e.shelf for e in entries} == {0, 1, 2}
-    for block in {e.block for e in entries}:
-        assert sorted(e.place for e in entries if e.block == block) == list(range(sum(e.block == block for e in entries)))
+    assert len(entries) == len(rows)
+    for shelf in range(3):
+        places = sorted(e.place for e in entries if e.shelf == shelf)
+        assert len(places) > 64 and places == list(range(len(places)))
 
 
 def test_empty_table(spark, tmp_path):
