@@ -61,22 +61,52 @@ def _runs(text: Column, lengths: list[int], longest: int) -> Column:
     return let(words, lambda w: let(steps, lambda s: of(w, s)))
 
 
-def term_hits(df: DataFrame, terms: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
-    """Every place where a term stands: (key, digest, entity_type, pos, words, name), overlaps included.
+def _looked_up(runs: DataFrame, known: DataFrame) -> DataFrame:
+    """Runs (name and more) that are a term, with its entity_type, by their folded text.
 
-    ``digest`` tells texts of one key apart. Only the different word counts of the terms and
-    the greatest length reach the driver. Runs of words are joined by their folded text; the
-    dictionary is unique on it, so frequent words pile up on the other side, which is
+    The dictionary is unique on it, so frequent words pile up on the other side, which is
     the one that adaptive execution splits, and a small dictionary needs no shuffle at all.
     """
-    known = dictionary_rows(terms)
-    sizes = known.agg(F.sort_array(F.collect_set("words")).alias("lengths"), F.max("chars").alias("longest")).first()
-    run = F.explode(_runs(F.col(text), sizes["lengths"] or [1], sizes["longest"] or 0)).alias("r")
-    runs = df.select(F.col(key).alias("_key"), F.xxhash64(text).alias("digest"), run).select("_key", "digest", "r.*")
     # one row a term, however many types it has
     grouped = known.groupBy("folded", "chars").agg(F.collect_set("entity_type").alias("types"))
     found = runs.join(grouped, (_fold(F.col("name")) == F.col("folded")) & (F.char_length("name") == F.col("chars")))
-    return found.select("_key", "digest", F.explode("types").alias("entity_type"), "pos", "words", "name")
+    return found.select(*runs.columns, F.explode("types").alias("entity_type"))
+
+
+def _sizes(known: DataFrame) -> tuple[list[int], int]:
+    """The different word counts of terms and the greatest length; nothing else reaches the driver."""
+    row = known.agg(F.sort_array(F.collect_set("words")).alias("lengths"), F.max("chars").alias("longest")).first()
+    return row["lengths"], row["longest"] or 0
+
+
+def _hits(df: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
+    lengths, longest = _sizes(known)
+    # the digest is taken once a text, not again for every run; outer, because a filter on the list would list it twice
+    listed = df.select(F.col(key).alias("_key"), F.xxhash64(text).alias("digest"), _runs(F.col(text), lengths or [1], longest).alias("_runs"))
+    runs = listed.select("_key", "digest", F.inline_outer("_runs")).filter("name is not null")
+    return _looked_up(runs, known).select("_key", "digest", "entity_type", "pos", "words", "name")
+
+
+def term_hits(df: DataFrame, terms: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
+    """Every place where a term stands: (key, digest, entity_type, pos, words, name), overlaps included.
+
+    ``digest`` tells texts of one key apart. Runs of words are joined by their folded text.
+    """
+    return _hits(df, dictionary_rows(terms), key, text)
+
+
+def _first_words(df: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, digest, entity_type, low, pos, name) of the one-word terms: each surface form of a text once.
+
+    Words never overlap, so a text's words come down to the different ones, in the order in
+    which they first stand, before anything is joined or shuffled.
+    """
+    _, longest = _sizes(known)
+    words = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_WORD), F.lit(0)))
+    listed = df.select(F.col(key).alias("_key"), F.xxhash64(text).alias("digest"), words.alias("_words"))
+    forms = listed.select("_key", "digest", F.posexplode_outer("_words").alias("pos", "name"))
+    found = _looked_up(forms.filter(F.char_length("name") <= longest), known)
+    return found.select("_key", "digest", "entity_type", F.lower("name").alias("low"), "pos", "name")
 
 
 def _chosen(cluster: Column) -> Column:
@@ -105,17 +135,14 @@ def extract_terms(df: DataFrame, terms: DataFrame, key: str = "record_id", text:
     longest; the first surface form of a text is the name. Rows that repeat key and text
     give their hits once; a NULL or empty text gives none; other columns are not read.
     """
-    hits = term_hits(df, terms, key, text)
+    known = dictionary_rows(terms)
+    # only a term of several words can overlap another of its type
+    several = known.groupBy("entity_type").agg(F.max("words").alias("_most")).filter("_most > 1").select("entity_type")
     group = ["_key", "digest", "entity_type"]
-    # partial aggregates fold repeated rows before anything is shuffled by text
-    widest = hits.groupBy(*group, "pos").agg(F.max(F.struct("words", "name")).alias("w"))
-    before = Window.partitionBy(*group).orderBy("pos")
-    reached = F.max(F.col("pos") + F.col("w.words")).over(before.rowsBetween(Window.unboundedPreceding, -1))
-    opened = widest.withColumn("opens", F.coalesce(F.col("pos") >= reached, F.lit(True)).cast("int"))
-    clustered = opened.withColumn("cluster", F.sum("opens").over(before))
-    # overlapping hits are settled cluster by cluster, a hit alone is a cluster of its own
-    members = F.sort_array(F.collect_list(F.struct("pos", "w.words", "w.name")))
-    kept = clustered.groupBy(*group, "cluster").agg(members.alias("m")).select(*group, F.inline(_chosen(F.col("m"))))
+    kept = _first_words(df, known.join(several, "entity_type", "left_anti"), key, text)
+    if not several.isEmpty():
+        settled = _settled_hits(_hits(df, known.join(several, "entity_type", "left_semi"), key, text))
+        kept = kept.unionByName(settled)
     names = kept.groupBy(*group, "low").agg(F.min_by("name", "pos").alias("name"))
     found = names.select(
         F.col("_key").alias(key),
@@ -129,3 +156,17 @@ def extract_terms(df: DataFrame, terms: DataFrame, key: str = "record_id", text:
     return found.unionByName(
         dates.select(key, "e.name", "e.entity_type", "e.confidence", F.lit(ENTITY_SOURCE).alias("source"))
     )
+
+
+def _settled_hits(hits: DataFrame) -> DataFrame:
+    """(key, digest, entity_type, low, pos, name): of hits that overlap those a pattern would take."""
+    group = ["_key", "digest", "entity_type"]
+    # partial aggregates fold repeated rows before anything is shuffled by text
+    widest = hits.groupBy(*group, "pos").agg(F.max(F.struct("words", "name")).alias("w"))
+    before = Window.partitionBy(*group).orderBy("pos")
+    reached = F.max(F.col("pos") + F.col("w.words")).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    opened = widest.withColumn("opens", F.coalesce(F.col("pos") >= reached, F.lit(True)).cast("int"))
+    clustered = opened.withColumn("cluster", F.sum("opens").over(before))
+    # overlapping hits are settled cluster by cluster, a hit alone is a cluster of its own
+    members = F.sort_array(F.collect_list(F.struct("pos", "w.words", "w.name")))
+    return clustered.groupBy(*group, "cluster").agg(members.alias("m")).select(*group, F.inline(_chosen(F.col("m"))))
