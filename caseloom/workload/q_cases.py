@@ -13,7 +13,7 @@ from ..streaming.events import stream_status, stream_tokens, streamed_status, st
 from .q_text import TS
 from .registry import query
 from .sql import chunk_ctes, embed_ctes, trim
-from .views import spread, table, view
+from .views import arriving, spread, table, view
 
 
 @query(
@@ -549,8 +549,7 @@ def l08(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("l08_stream_tokens", _TOKENS_SQL.replace("seq // 4", "seq // 1024"))
 def l08_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = table(spark, sf, "conversations").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    rows = arriving(spark, sf, "conversations")
     restart = (F.col("role") == "system") | (F.col("turn") % 4 == 0)
     events = rows.select(
         F.col("conv_id").alias("record_id"),
@@ -757,8 +756,7 @@ def d12(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d12_stream_status", _STATUS_SQL)
 def d12_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = table(spark, sf, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = arriving(spark, sf, "events")
     status = F.expr(
         "case event_type when 'signup' then 'extracting-foundation' when 'view' then 'foundation-indexed' "
         "when 'click' then 'synthesizing' when 'purchase' then 'record-completed' else 'loading-model' end"

@@ -187,6 +187,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream of its files; like :func:`table`, one file or a folder of them."""
+    # as a pattern, because a stream takes a plain path for a folder
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt over the default number of tasks, for work that is heavy per row on tables of few files."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
