@@ -770,11 +770,17 @@ def v05_post(spark: SparkSession, sf: str) -> DataFrame:
     return se.fragment_search_by_record(*_fragments(spark, sf), filter_mode="post")
 
 
+def _half_up(x: str, digits: int) -> str:
+    """Half up on the digits a double shows, as Spark rounds; the check engine multiplies first, which moves ties."""
+    return f"coalesce(cast(round(try_cast(cast({x} as varchar) as decimal(38, 20)), {digits}) as double), {x})"
+
+
 @query(
     "v06_match_percent",
-    """
-select vec_id, round(greatest(0.0, 1 - d) * 100, 1) as match from (
-  select vec_id, round(1 - embedding[1]::double * 2, 6) as d from embeddings)""",
+    f"""
+select vec_id, {_half_up("m", 1)} as match from (
+  select vec_id, greatest(0.0, 1 - d) * 100 as m from (
+    select vec_id, {_half_up("r", 6)} as d from (select vec_id, 1 - embedding[1]::double * 2 as r from embeddings)))""",
 )
 def v06(spark: SparkSession, sf: str) -> DataFrame:
     distance = F.round(1 - F.get("embedding", 0).cast("double") * 2, 6)

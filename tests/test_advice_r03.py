@@ -49,3 +49,10 @@ def test_titles_with_long_numbers_and_final_letters(spark, tmp_path):
     texts = ["9" * 21, "a18446744073709551616 18446744073709551615b", "0" * 30 + "7 007", "ΟΔΟΣ. ΣΟΣ'Α ΑΣ'", "İ", "GROẞ", ""]
     got = same_as_sql(spark, tmp_path, "s05_normalise_title", pd.DataFrame({"doc_id": range(7), "text": texts}), "documents")
     assert [got[i].split(" ", 2)[2] for i in range(7)] == ["0", "a0 18446744073709551615b", "7 7", "οδος. σοσ'α ας'", "i̇", "groß", ""]
+
+
+def test_percentages_at_ties(spark, tmp_path):
+    """The SQL multiplied before it rounded, which carries 127.64999999999999 over the tie."""
+    vectors = [[(1 - n / 1e4) / 2] for n in range(-2765, 10_000, 10)] + [[float("inf")], [1e30], []]
+    got = same_as_sql(spark, tmp_path, "v06_match_percent", pd.DataFrame({"vec_id": range(len(vectors)), "embedding": vectors}), "embeddings")
+    assert got[0] == 127.6
