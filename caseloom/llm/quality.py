@@ -107,16 +107,28 @@ class Scorer:
     bias: float
     posteriors: dict[tuple[int, ...], float] = field(default_factory=dict)
 
-    def score(self, table: np.ndarray, tokens: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def score(self, table: np.ndarray, tokens: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+        """``tokens`` are words and marks: (feature numbers, borders of the texts), and how often each stands if not once."""
         odds = self.bias + ((_squeezed(table) - self.center) / self.scale) @ self.dense
-        n = np.maximum(np.diff(tokens[0][1]), 1)
-        for index, rows in tokens:
-            total = np.concatenate([[0.0], np.cumsum(self.weights[index])])[rows]
+        n = np.maximum(_many(*tokens[0]), 1)
+        for index, rows, *times in tokens:
+            weights = self.weights[index] * times[0] if times else self.weights[index]
+            total = np.concatenate([[0.0], np.cumsum(weights)])[rows]
             odds = odds + np.diff(total) / n
         # sums depend on the batch in their last digits
         return np.round(1 / (1 + np.exp(-np.clip(odds, -30, 30))), 6)
 
 
+def _many(index: np.ndarray, rows: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Words of every text."""
+    return np.diff(rows) if times is None else np.diff(np.concatenate([[0], np.cumsum(times)])[rows])
+
+
+def _counted(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different features of a text, and how often each stands."""
+    return np.unique(index, return_counts=True)
+
+
 def _squeezed(table: np.ndarray) -> np.ndarray:
     table = table.copy()
     table[:, 4] = np.log1p(table[:, 4])
@@ -129,16 +141,16 @@ def _index(words, marks, features: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return [((h & fold).astype(np.int64), rows) for h, rows in (words, marks)]
 
 
-def train(table: np.ndarray, tokens: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, features: int, rounds: int = 80) -> Scorer:
+def train(table: np.ndarray, tokens: list[tuple[np.ndarray, ...]], labels: np.ndarray, features: int, rounds: int = 80) -> Scorer:
     """Logistic regression on soft labels, full gradient steps with per-weight rates."""
     shaped = _squeezed(table)
     center, scale = shaped.mean(axis=0), shaped.std(axis=0) + 1e-6
     dense_in = (shaped - center) / scale
     scorer = Scorer(np.zeros(features), np.zeros(table.shape[1]), center, scale, 0.0)
-    n = np.maximum(np.diff(tokens[0][1]), 1)
-    where = np.concatenate([index for index, _ in tokens])
-    owner = np.concatenate([np.repeat(np.arange(len(n)), np.diff(rows)) for _, rows in tokens])
-    share = 1 / n[owner]
+    n = np.maximum(_many(*tokens[0]), 1)
+    where = np.concatenate([index for index, *_ in tokens])
+    owner = np.concatenate([np.repeat(np.arange(len(n)), np.diff(rows)) for _, rows, *_ in tokens])
+    share = np.concatenate([times[0] if times else np.ones(len(index)) for index, _, *times in tokens]) / n[owner]
     past = [np.full(features, 1e-8), np.full(table.shape[1], 1e-8), 1e-8]
     for _ in range(rounds):
         gap = scorer.score(table, tokens) - labels
@@ -157,8 +169,8 @@ def fit_quality(docs: DataFrame, text: str = "text", sample: int = SAMPLE, featu
     The labelers vote on every document; expectation-maximisation over how often each of
     the at most 3**8 combinations of votes occurs estimates how reliable they are. Their
     posterior labels then train the scorer on the ``sample`` different texts of the smallest hashes,
-    or on all if there are fewer; words and marks of these come to the driver as feature
-    numbers, 20,000 of each text. NULL and empty texts vote like any text without words.
+    or on all if there are fewer; words and marks of these whole texts come to the driver as
+    counts of features, so that no text sends more than ``features`` of each. NULL and empty texts vote like any text without words.
     Without documents the scorer says 0.5 to everything.
     """
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -181,7 +193,7 @@ def fit_quality(docs: DataFrame, text: str = "text", sample: int = SAMPLE, featu
                 out: list[list] = [[], []]
                 for held, (index, ends) in zip(out, _index(*tokens, features), strict=True):
                     for low, high in zip(ends[:-1], ends[1:], strict=True):
-                        held.append(index[low : min(high, low + 20_000)].astype("<u4").tobytes())
+                        held.append(np.stack(_counted(index[low:high])).astype("<u4").tobytes())
                 yield pa.record_batch(
                     [pa.array(table.tolist(), pa.list_(pa.float64())), pa.array(vote(table).astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())],
                     names=["table", "votes", "words", "marks"],
@@ -203,8 +215,9 @@ def fit_quality(docs: DataFrame, text: str = "text", sample: int = SAMPLE, featu
     got.sort(key=lambda r: (bytes(r["words"]), bytes(r["marks"])))  # so that sums, and with them reruns, agree
     tokens = []
     for name in ("words", "marks"):
-        each = [np.frombuffer(r[name], "<u4").astype(np.int64) for r in got]
-        tokens.append((np.concatenate(each), np.concatenate([[0], np.cumsum([len(e) for e in each])])))
+        each = [np.frombuffer(r[name], "<u4").reshape(2, -1) for r in got]
+        index, times = np.concatenate(each, axis=1).astype(np.int32)
+        tokens.append((index, np.concatenate([[0], np.cumsum([e.shape[1] for e in each])]), times))
     labels = np.array([after[tuple(r["votes"])] for r in got])
     scorer = train(np.array([r["table"] for r in got]), tokens, labels, features)
     scorer.posteriors = after

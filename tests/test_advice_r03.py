@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 
 import __spark_entry__ as entry
+from caseloom.llm import quality
 from caseloom.operators import terms as te
 from caseloom.workload import q_cases
 
@@ -56,3 +57,14 @@ def test_percentages_at_ties(spark, tmp_path):
     vectors = [[(1 - n / 1e4) / 2] for n in range(-2765, 10_000, 10)] + [[float("inf")], [1e30], []]
     got = same_as_sql(spark, tmp_path, "v06_match_percent", pd.DataFrame({"vec_id": range(len(vectors)), "embedding": vectors}), "embeddings")
     assert got[0] == 127.6
+
+
+def test_scorer_learns_from_whole_texts(spark):
+    """Words after the 20,000th were once left out of the training."""
+    words = ["tree", "river", "stone", "cloud", "field", "house", "garden", "window", "morning", "letter"]
+    good = " ".join(f"The {words[i % 10]} {words[i * 7 % 10]}." for i in range(30))
+    head = "stone " * 20_001
+    rows = [(f"{good} {i}",) for i in range(10)] + [(head + "zebra " * (10 + i),) for i in range(10)]
+    scorer = quality.fit_quality(spark.createDataFrame(rows, "text string"))
+    hashes, _ = quality.word_hashes(quality.pa.array(["zebra"]))
+    assert scorer.weights[int(hashes[0]) & (len(scorer.weights) - 1)] != 0
