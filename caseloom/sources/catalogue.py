@@ -79,6 +79,11 @@ def looks_like_page(content: Column) -> Column:
     return found
 
 
+def begins_like_page(head: bytes) -> bool:
+    """:func:`looks_like_page` for the first bytes of a file."""
+    return head.startswith(tuple(start.encode() for start in _PAGE_STARTS))
+
+
 def split_html_payloads(payloads: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
     """Payloads that are data, and those that are pages, reduced to their first bytes as evidence."""
     is_page = looks_like_page(F.col(content))

@@ -27,6 +27,13 @@ def _at(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
 
 
+def first_bytes(uri: str, size: int) -> bytes:
+    """The first ``size`` bytes of a file, or all if it is shorter."""
+    system, place = _at(uri)
+    with system.open_input_stream(place) as file:
+        return file.read(size)
+
+
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, byte_size) of the files of a folder tree whose name fits ``glob``, empty ones included; no content is read.
 

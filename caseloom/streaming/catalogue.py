@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,7 +12,8 @@ from ..operators.quality import download_worklist
 from ..operators.texts import select_targets
 from ..plans.sync import apply_release, maintain
 from ..schemas import ARTIFACTS, RECORDS, SNAPSHOT_ROWS
-from ..sources.catalogue import looks_like_page, read_catalogue_csv
+from ..sources.catalogue import begins_like_page, read_catalogue_csv
+from ..sources.library import first_bytes
 from ..sources.sinks import read_version, versions, write_version
 
 #: What the ``binaryFile`` source delivers.
@@ -62,8 +65,9 @@ def stream_catalogue(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        for row in batch.select("path", looks_like_page(F.col("content")).alias("page")).collect():
-            if not row["page"]:
+        for row in batch.collect():
+            # the source writes ``file:/`` where others expect ``file:///``
+            if not begins_like_page(first_bytes(re.sub("^file:/+", "file:///", row["path"]), 16)):
                 _apply_release(session, row["path"], store, batch_id)
 
     arrivals = (
@@ -72,6 +76,8 @@ def stream_catalogue(
         .option("maxFilesPerTrigger", 1)
         .option("pathGlobFilter", "*.csv")
         .load(landing)
+        # names only: a content would be read whole, by one task
+        .select("path")
     )
     writer = arrivals.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -6,6 +6,8 @@ import pandas as pd
 import __spark_entry__ as entry
 from caseloom.llm import quality
 from caseloom.operators import terms as te
+from caseloom.sources import sinks
+from caseloom.streaming.catalogue import stream_catalogue
 from caseloom.workload import q_cases
 
 
@@ -68,3 +70,15 @@ def test_scorer_learns_from_whole_texts(spark):
     scorer = quality.fit_quality(spark.createDataFrame(rows, "text string"))
     hashes, _ = quality.word_hashes(quality.pa.array(["zebra"]))
     assert scorer.weights[int(hashes[0]) & (len(scorer.weights) - 1)] != 0
+
+
+def test_a_landed_release_is_never_one_value(spark, tmp_path):
+    """Each file was once read whole by one task, only to see how it begins."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("<html>gone</html>")
+    (tmp_path / "in" / "b.csv").write_text("title\none\ntwo\n")
+    run = stream_catalogue(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "mark"))
+    run.awaitTermination()
+    plan = run._jsq.explainInternal(True)
+    assert "content" not in plan.split("Physical Plan")[-1]
+    assert sorted(r.title for r in sinks.read_version(spark, str(tmp_path / "store" / "records")).collect()) == ["one", "two"]
