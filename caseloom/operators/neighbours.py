@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.vectors import DISTANCE_DIGITS
 from ..session import settled
@@ -64,7 +64,10 @@ class Cells:
     chunk: int
 
     def chunks(self, cell: np.ndarray | int) -> np.ndarray:
-        return np.maximum(1, -(-self.count[cell] // self.chunk))
+        # a query is repeated for every chunk: chunks smaller than a usual one grow with the table,
+        # so that there are no more of them than cells, about
+        size = max(self.chunk, min(CHUNK, int(self.count.sum()) // PIVOTS))
+        return np.maximum(1, -(-self.count[cell] // size))
 
     def _rank(self, distance: np.ndarray) -> np.ndarray:
         return distance * distance / 2 if self.metric == "cosine" else distance
@@ -130,11 +133,25 @@ def build_index(vectors: DataFrame, k: int, metric: str = "cosine", pivots: int
 
     out = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("d", "length")]])
     table = rows.mapInArrow(assign, out)
-    nearest = F.row_number().over(Window.partitionBy("cell").orderBy("d"))
-    narrow = table.select("cell", "d", "length")
-    smallest = narrow.withColumn("_rn", nearest).filter(F.col("_rn") <= k).groupBy("cell").agg(F.collect_list("d").alias("near"))
-    stats = narrow.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"), F.max("length").alias("length"))
-    known = {r["cell"]: r for r in stats.join(smallest, "cell").collect()}  # one line a cell
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One line a cell of what a task's vectors say; nothing is shuffled by vector."""
+        seen: dict[int, list] = {}
+        for batch in batches:
+            cell, d, length = (batch.column(c).to_numpy() for c in range(3))
+            for c in np.unique(cell).tolist():
+                own = d[cell == c]
+                n, radius, far, near = seen.get(c, (0, -np.inf, 0.0, np.zeros(0)))
+                seen[c] = [n + len(own), max(radius, own.max()), max(far, length[cell == c].max()), np.sort(np.concatenate([near, own]))[:k]]
+        rows = [(c, *v[:3], v[3].tolist()) for c, v in seen.items()]
+        names = ["cell", "n", "radius", "length", "near"]
+        types = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    lines = table.select("cell", "d", "length").mapInArrow(summed, "cell int, n long, radius double, length double, near array<double>")
+    least = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near")
+    stats = lines.groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.max("length").alias("length"), least)
+    known = {r["cell"]: r for r in stats.collect()}  # one line a cell
     every = range(len(points) + 1)
     cells = Cells(
         metric,
@@ -168,26 +185,54 @@ def _asking(cells: Cells, k: int):
     return ask
 
 
-def _best_of(queries: np.ndarray, bound: np.ndarray, items: np.ndarray, k: int, metric: str):
-    """Rows, columns, rank and cosine distances of the k best items of every query; items come in the order of their ids."""
-    shown = np.round(1.0 - unit_rows(queries) @ unit_rows(items).T, DISTANCE_DIGITS) + 0.0
-    rank = shown if metric == "cosine" else np.round(_distances(queries, items), DISTANCE_DIGITS) + 0.0
+#: Raw distances that may be shown alike are no farther apart.
+_ALIKE = 1.1 * 10.0**-DISTANCE_DIGITS
+
+
+def _side(items: np.ndarray, metric: str) -> np.ndarray:
+    """What a chunk's items are compared by, once for all queries: unit vectors, or squared lengths."""
+    return unit_rows(items) if metric == "cosine" else (items * items).sum(axis=1)
+
+
+def _best_of(queries: np.ndarray, bound: np.ndarray, items: np.ndarray, side: np.ndarray, k: int, metric: str):
+    """Rows, columns, rank and cosine distances of the k best items of every query; items come in the order of their ids.
+
+    Only what can be among the k best is rounded and ranked; of the rest one product is all that is computed.
+    """
+    own = unit_rows(queries)
+    if metric == "cosine":
+        raw = 1.0 - own @ side.T
+    else:
+        raw = (queries * queries).sum(axis=1)[:, None] + side[None, :]
+        raw -= 2.0 * (queries @ items.T)
+
+    def distance(part: np.ndarray) -> np.ndarray:
+        return part if metric == "cosine" else np.sqrt(np.maximum(part, 0.0))
+
     limit = np.where(np.isnan(bound), np.inf, bound)
     if items.shape[0] > k:
-        limit = np.minimum(limit, np.partition(rank, k - 1, axis=1)[:, k - 1])
-    row, column = np.nonzero(rank <= limit[:, None])
-    order = np.lexsort((column, rank[row, column], row))
-    row, column = row[order], column[order]
-    nth = np.arange(len(row)) - np.searchsorted(row, row)
-    row, column = row[nth < k], column[nth < k]
-    return row, column, rank[row, column], shown[row, column]
+        kth = distance(np.partition(raw, k - 1, axis=1)[:, k - 1])
+        limit = np.minimum(limit, np.round(kth, DISTANCE_DIGITS) + 0.0)
+    reach = limit + _ALIKE
+    row, column = np.nonzero(raw <= (reach if metric == "cosine" else np.where(reach < 0, -np.inf, reach * reach))[:, None])
+    rank = np.round(distance(raw[row, column]), DISTANCE_DIGITS) + 0.0
+    near = rank <= limit[row]
+    row, column, rank = row[near], column[near], rank[near]
+    order = np.lexsort((column, rank, row))
+    row, column, rank = row[order], column[order], rank[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, column, rank = row[kept], column[kept], rank[kept]
+    if metric == "cosine":
+        return row, column, rank, rank
+    alike = np.einsum("ij,ij->i", own[row], unit_rows(items[column]))
+    return row, column, rank, np.round(1.0 - alike, DISTANCE_DIGITS) + 0.0
 
 
 def _meeting(k: int, metric: str, schema: pa.Schema):
     """For rows in the order (cell, chunk, kind): a chunk's vectors are kept, the queries after them pass by."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, items, ids = None, [], None, None
+        at, parts, items, ids, side = None, [], None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -196,7 +241,7 @@ def _meeting(k: int, metric: str, schema: pa.Schema):
             for low, high in zip([0, *edges], [*edges, batch.num_rows], strict=True):
                 rows = batch.slice(low, high - low)
                 if at != (cell[low], chunk[low]):
-                    at, parts, items, ids = (cell[low], chunk[low]), [], None, None
+                    at, parts, items, ids, side = (cell[low], chunk[low]), [], None, None, None
                 if kind[low] == 0:
                     parts.append((rows.column("item_id"), matrix_of(rows.column("embedding")).astype(np.float32 if _is_float(rows) else np.float64)))
                     continue
@@ -206,11 +251,12 @@ def _meeting(k: int, metric: str, schema: pa.Schema):
                     ids = pa.concat_arrays([p[0] for p in parts])
                     order = pc.sort_indices(ids)
                     items, ids = np.concatenate([p[1] for p in parts])[order.to_numpy()].astype(np.float64), ids.take(order)
+                    side = _side(items, metric)
                 step = max(1, _CELLS // len(items))
                 for first in range(0, rows.num_rows, step):
                     some = rows.slice(first, step)
                     bound = some.column("bound").to_numpy(zero_copy_only=False)
-                    row, column, rank, shown = _best_of(matrix_of(some.column("embedding")), bound, items, k, metric)
+                    row, column, rank, shown = _best_of(matrix_of(some.column("embedding")), bound, items, side, k, metric)
                     yield pa.RecordBatch.from_arrays(
                         [some.column("query_id").take(pa.array(row)), ids.take(pa.array(column)), pa.array(rank), pa.array(shown)], schema=schema
                     )
