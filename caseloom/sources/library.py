@@ -88,11 +88,10 @@ def hash_files(files: DataFrame, piece: int = PIECE) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                digest, size = _digest(path, piece)
-                yield pa.record_batch(
-                    [pa.array([path]), pa.array([digest], pa.string()), pa.array([size], pa.int64())], names=["path", "sha256", "byte_size"]
-                )
+            # a line a file, handed over together: a batch of one costs more than a small file
+            seen = [_digest(path, piece) for path in batch.column(0).to_pylist()]
+            digests, sizes = pa.array([d for d, _ in seen], pa.string()), pa.array([n for _, n in seen], pa.int64())
+            yield pa.record_batch([batch.column(0), digests, sizes], names=["path", "sha256", "byte_size"])
 
     found = paths.mapInArrow(read, "path string, sha256 string, byte_size long")
     return files.drop("sha256", "byte_size").join(found, "path", "left")
@@ -117,6 +116,7 @@ def store_files(files: DataFrame, library: str, piece: int = PIECE) -> DataFrame
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, base = _at(library.rstrip("/"))
         for batch in batches:
+            fresh = []
             for place, digest, path in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 final = f"{base}/{place}"
                 new = target.get_file_info(final).type == pafs.FileType.NotFound
@@ -132,7 +132,8 @@ def store_files(files: DataFrame, library: str, piece: int = PIECE) -> DataFrame
                         target.delete_file(passing)
                         raise RuntimeError(f"file changed while it was stored: {path}")
                     target.move(passing, final)
-                yield pa.record_batch([[path], [place], [new]], names=["path", "relative_path", "is_new"])
+                fresh.append(new)
+            yield pa.record_batch([batch.column(2), batch.column(0), pa.array(fresh, pa.bool_())], names=["path", "relative_path", "is_new"])
 
     dealt = _dealt(first).select("relative_path", "sha256", "path")
     written = settled(dealt.mapInArrow(copy, "path string, relative_path string, is_new boolean"), "stored")
