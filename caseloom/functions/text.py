@@ -46,9 +46,18 @@ def ascii_lower(col: Column | str) -> Column:
 
 
 def contains_pattern(col: Column | str, needle: str) -> Column:
-    """``LIKE '%needle%'`` with ``%`` and ``_`` live, no escape, ASCII case folded."""
-    folded = "".join(c.lower() if c in string.ascii_uppercase else c for c in needle)
-    return ascii_lower(col).like("%" + folded.replace("\\", "\\\\") + "%")
+    """``LIKE '%needle%'`` with ``%`` and ``_`` live, no escape, ASCII case folded.
+
+    What stands between two ``%`` is taken where it first fits and never tried again, so the test
+    takes one pass. ``(?i)`` folds A-Z only.
+    """
+
+    def literal(char: str) -> str:
+        return "." if char == "_" else char if char.isascii() and char.isalnum() else "\\x{%x}" % ord(char)
+
+    runs = ["".join(map(literal, run)) for run in needle.split("%") if run]
+    column = F.col(col) if isinstance(col, str) else col
+    return column.rlike(r"(?is)\A" + "".join(f"(?>.*?{run})" for run in runs))
 
 
 def _beyond(limit: int) -> str:

@@ -4,9 +4,10 @@ Two Parquet tables below one folder:
 
 * ``entries``: (shelf, place, record_id, chunk_index, text). Chunks are dealt to shelves, which are
   partition folders, by a hash of their key, and numbered there; texts are looked up by partition pruning.
-* ``postings``: (gram, shelf, word, bits), each file sorted by gram. Bit i of ``bits`` says that the
-  chunk at place 64 * word + i holds the gram. Lists are joined by bitwise aggregates; a frequent gram
-  is many rows in all files, never one long list, and a rare one is read by the pages that hold it.
+* ``postings``: (gram, shelf, words, bits), each file sorted by gram. Bit i of ``bits[j]`` says that the
+  chunk at place 64 * words[j] + i holds the gram. A row tells of the neighbouring texts of one batch, so a
+  frequent gram is many rows in all files, never one long list; a word cut by a batch is two that are joined
+  when read. Lists are joined by bitwise aggregates, and a rare gram is read by the pages that hold it.
 
 Texts are folded like :func:`~caseloom.functions.text.contains_pattern` does and closed by two
 NUL characters, so every character begins a gram and one or two characters are a prefix of
@@ -16,23 +17,26 @@ grams. Whatever the postings let through is tested with the pattern itself.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import ascii_lower, contains_pattern
+from ..functions.text import contains_pattern
 from ..session import settled
 from .common import join_many_to_one
 
 #: Chunks aimed at per shelf, and shelves at most (beyond, shelves grow).
 SHELF_ROWS, SHELVES = 1 << 16, 1 << 16
 GRAM = 3
-#: Characters of a text whose grams are listed at a time.
-_PIECE = 4096
+#: Characters whose grams are listed at a time.
+_PIECE = 1 << 20
 
 #: Read with these, so that an index of no rows is one too.
 ENTRIES = "record_id string, chunk_index long, text string, place int, shelf int"
-POSTINGS = "gram string, shelf int, word int, bits long"
+POSTINGS = "gram string, shelf int, words array<int>, bits array<long>"
 
 
 @dataclass(frozen=True)
@@ -62,14 +66,10 @@ def write_postings(chunks: DataFrame, folder: str, shelves: int | None = None) -
     numbered.write.partitionBy("shelf").parquet(f"{folder}/entries")
 
     entries = chunks.sparkSession.read.schema(ENTRIES).parquet(f"{folder}/entries")
-    pieces = entries.select("shelf", "place", F.explode(_pieces(F.col("text"))).alias("piece"))
-    grams = pieces.select("shelf", "place", F.explode(_grams(F.col("piece"))).alias("gram"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place") % 64)
-    # a file holds neighbouring places, so most bits meet before the shuffle
-    lists = grams.groupBy("gram", "shelf", F.expr("place div 64").cast("int").alias("word")).agg(
-        F.bit_or(bit).alias("bits")
-    )
-    lists.sortWithinPartitions("gram", "shelf", "word").write.parquet(f"{folder}/postings")
+    texts = entries.filter("text is not null").select("shelf", "place", F.col("text").cast("binary"))
+    # a file holds whole neighbourhoods already: nothing is shuffled
+    lists = texts.mapInArrow(_listed, POSTINGS)
+    lists.sortWithinPartitions("gram", "shelf").write.parquet(f"{folder}/postings")
     return read_postings(chunks.sparkSession, folder)
 
 
@@ -79,15 +79,72 @@ def read_postings(spark: SparkSession, folder: str) -> KeywordIndex:
     return KeywordIndex(entries, spark.read.schema(POSTINGS).parquet(f"{folder}/postings"))
 
 
-def _pieces(text: Column) -> Column:
-    """A folded text in pieces that overlap by two characters; each gram begins in one of them."""
-    closed = F.concat(ascii_lower(text), F.lit("\0" * (GRAM - 1)))
-    pattern = "(?s)(?=(.{1,%d})).{1,%d}" % (_PIECE + GRAM - 1, _PIECE)
-    return F.regexp_extract_all(closed, F.lit(pattern), F.lit(1))
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of the grams of (shelf, place, text), piece by piece."""
+    for batch in batches:
+        shelf, place = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+        words, word = np.unique(shelf << 32 | place >> 6, return_inverse=True)
+        # bytes fold A-Z only
+        texts = [t.lower().decode("utf-8", "replace") + "\0" * (GRAM - 1) for t in batch.column(2).to_pylist()]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        for at in range(0, len(chars), _PIECE):
+            yield from _lists(chars, at, min(at + _PIECE, len(chars)), ends, words, word << 6 | place & 63)
+
 
+def _lists(
+    chars: np.ndarray, at: int, end: int, ends: np.ndarray, words: np.ndarray, spots: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """One row per shelf and gram that begins in [at, end); no gram begins with what closes a text.
 
-def _grams(piece: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(piece, F.lit("(?s)(?=(.{%d}))" % GRAM), F.lit(1)))
+    The text that stops at ``ends[i]`` is bit ``spots[i] % 64`` of word ``spots[i] // 64`` of ``words``.
+    """
+    low = np.searchsorted(ends, at, "right")
+    high = np.searchsorted(ends, end, "left") + 1
+    stops = ends[low:high]
+    held = np.diff(np.minimum(stops, end), prepend=at)
+    begin = np.ones(end - at, bool)
+    for i in range(1, GRAM):
+        closing = stops - i
+        begin[closing[(closing >= at) & (closing < end)] - at] = False
+    spot = np.repeat(spots[low:high], held)[begin]
+    if not len(spot):
+        return
+    # characters by their rank, so that a gram and its text fit one number
+    piece = chars[at : end + GRAM - 1]
+    rank = np.zeros(0x110000, np.int64)
+    rank[piece] = 1
+    alphabet = np.flatnonzero(rank)
+    rank[alphabet] = np.arange(len(alphabet))
+    shift = max(6, int(spot.max()).bit_length())
+    if len(alphabet) ** GRAM << shift >= 1 << 63:
+        middle = (at + end) // 2
+        yield from _lists(chars, at, middle, ends, words, spots)
+        yield from _lists(chars, middle, end, ends, words, spots)
+        return
+    ranks = rank[piece]
+    code = np.zeros(len(spot), np.int64)
+    for i in range(GRAM):
+        code = code * len(alphabet) + ranks[i : i + end - at][begin[: len(ranks) - i]]
+    hits = np.sort(code << shift | spot)
+    pair = hits >> 6
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    bits = np.bitwise_or.reduceat(np.left_shift(np.int64(1), hits & 63), first)
+    gram, word = hits[first] >> shift, words[(hits[first] & (1 << shift) - 1) >> 6]
+    shelf = word >> 32
+    start = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (shelf[1:] != shelf[:-1])))
+    parts = [alphabet[gram[start] // len(alphabet) ** i % len(alphabet)] for i in reversed(range(GRAM))]
+    text = np.stack(parts, 1).astype("<u4").tobytes().decode("utf-32-le")
+    offsets = pa.array(np.append(start, len(bits)), pa.int32())
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([text[i : i + GRAM] for i in range(0, len(text), GRAM)], pa.string()),
+            pa.array(shelf[start], pa.int32()),
+            pa.ListArray.from_arrays(offsets, pa.array(word & 0xFFFFFFFF, pa.int32())),
+            pa.ListArray.from_arrays(offsets, pa.array(bits, pa.int64())),
+        ],
+        ["gram", "shelf", "words", "bits"],
+    )
 
 
 def needles(query: str) -> list[str]:
@@ -99,10 +156,10 @@ def needles(query: str) -> list[str]:
 
 
 def candidates(index: KeywordIndex, query: str) -> DataFrame:
-    """(shelf, place) of the chunks that hold all needles of ``query``, which needs at least one."""
+    """(shelf, word, bits): the places that hold all needles of ``query``, which needs at least one."""
     wanted, gram = needles(query), F.col("gram")
     if len(wanted[0]) == GRAM:
-        hits = index.postings.filter(gram.isin(wanted))
+        listed = index.postings.filter(gram.isin(wanted))
     else:
         # a prefix may stand for many grams, and a gram begin with several prefixes
         matched = F.array(*[F.when(gram.startswith(n), F.lit(n)) for n in wanted])
@@ -110,20 +167,18 @@ def candidates(index: KeywordIndex, query: str) -> DataFrame:
         for needle in wanted[1:]:
             condition = condition | gram.startswith(needle)
         listed = index.postings.filter(condition).select(
-            "shelf", "word", F.explode(F.array_compact(matched)).alias("gram"), "bits"
+            "shelf", F.explode(F.array_compact(matched)).alias("gram"), "words", "bits"
         )
-        hits = listed.groupBy("shelf", "word", "gram").agg(F.bit_or("bits").alias("bits"))
-    common = (
+    hits = (
+        listed.select("shelf", "gram", F.inline(F.arrays_zip("words", "bits")).alias("word", "bits"))
+        .groupBy("shelf", "word", "gram")
+        .agg(F.bit_or("bits").alias("bits"))
+    )
+    return (
         hits.groupBy("shelf", "word")
         .agg(F.bit_and("bits").alias("bits"), F.count(F.lit(1)).alias("lists"))
         .filter((F.col("lists") == len(wanted)) & (F.col("bits") != 0))
-    )
-    set_bits = F.filter(
-        F.sequence(F.lit(0), F.lit(63)),
-        lambda i: F.call_function("shiftright", F.col("bits"), i).bitwiseAND(F.lit(1)) == 1,
-    )
-    return common.select("shelf", "word", F.explode(set_bits).alias("bit")).select(
-        "shelf", (F.col("word") * 64 + F.col("bit")).alias("place")
+        .select("shelf", "word", "bits")
     )
 
 
@@ -141,5 +196,9 @@ def keyword_matches(index: KeywordIndex, query: str) -> DataFrame:
     if not needles(query):
         return index.entries.filter(contains_pattern("text", query))
     found = settled(candidates(index, query), "candidates")
-    held = join_many_to_one(on_shelves(index, found), found, ["shelf", "place"], "left_semi")
-    return held.filter(contains_pattern("text", query))
+    # bitmaps are small beside the texts, which stay where they are as long as Spark can broadcast them
+    texts = on_shelves(index, found).withColumn("word", F.expr("place div 64").cast("int"))
+    held = join_many_to_one(texts, found, ["shelf", "word"], "inner").filter(
+        F.call_function("shiftright", F.col("bits"), F.col("place") % 64).bitwiseAND(F.lit(1)) == 1
+    )
+    return held.select(*index.entries.columns).filter(contains_pattern("text", query))

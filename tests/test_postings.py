@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from caseloom.operators import postings as po, search as se
@@ -92,3 +93,45 @@ def test_needles():
     assert po.needles("AbCd_x%yz") == ["abc", "bcd"]
     assert po.needles("ab%C") == ["ab", "c"]
     assert po.needles("%_%") == []
+
+
+def listed(spots, texts):
+    """(gram, shelf, place) as listed."""
+    columns = [pa.array([s for s, _ in spots], pa.int32()), pa.array([p for _, p in spots], pa.int32())]
+    columns.append(pa.array([t.encode() for t in texts], pa.binary()))
+    batch = pa.RecordBatch.from_arrays(columns, ["shelf", "place", "text"])
+    return {
+        (row["gram"], row["shelf"], word * 64 + i)
+        for lists in po._listed(iter([batch]))
+        for row in lists.to_pylist()
+        for word, bits in zip(row["words"], row["bits"], strict=True)
+        for i in range(64)
+        if bits >> i & 1
+    }
+
+
+def plainly(spots, texts):
+    folded = ["".join(c.lower() if c.isascii() else c for c in t) + "\0\0" for t in texts]
+    return {(t[i : i + 3], *spot) for spot, t in zip(spots, folded, strict=True) for i in range(len(t) - 2)}
+
+
+@pytest.mark.parametrize("piece", [7, 64, 1 << 20])
+def test_lists_hold_every_gram_however_texts_are_cut(monkeypatch, piece):
+    monkeypatch.setattr(po, "_PIECE", piece)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.choice([0, 1, 2, 3, 40]))) for _ in range(100)]
+    spots = rng.sample([(shelf, place) for shelf in (0, 9, 65535) for place in range(200)], len(texts))
+    assert listed(spots, texts) == plainly(spots, texts)
+    assert listed([(0, 0)], ["needle"]) == plainly([(0, 0)], ["needle"])
+
+
+def test_lists_of_very_many_characters():
+    letters = "".join(map(chr, range(0x10000, 0x10000 + (1 << 17))))
+    texts = [letters[i : i + 1500] for i in range(0, len(letters), 1500)]
+    spots = [(1, 64 * i) for i in range(len(texts))]
+    assert listed(spots, texts) == plainly(spots, texts)
+
+
+def test_texts_are_not_shuffled(index):
+    plan = po.keyword_matches(index, "needle")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

@@ -46,6 +46,14 @@ def test_like_folds_ascii_only_and_keeps_wildcards(values):
     assert values(["a\\b", "ab"], lambda c: ft.contains_pattern(c, "\\")) == [True, False]
 
 
+def test_like_takes_one_pass(values):
+    # taking every place of every run, this would not end
+    texts = ["ab" * 50_000, "ab" * 50_000 + "C", "a\nb\na😀ac", None]
+    assert values(texts, lambda c: ft.contains_pattern(c, "A%b%a_a%c")) == [False, True, True, None]
+    assert values(["a%.", "a.", "", None], lambda c: ft.contains_pattern(c, "%")) == [True, True, True, None]
+    assert values(["xa.b", "xacb", "\\Ea.b"], lambda c: ft.contains_pattern(c, "\\e%.")) == [False, False, True]
+
+
 def test_urls(values):
     cases = {
         "HTTPS://Ex.ORG:443/a b/../c d.pdf?q=a b#F": "https://ex.org/c%20d.pdf?q=a%20b#F",
