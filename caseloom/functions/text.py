@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-#: Unicode white space at either end of a value.
-_EDGES = r"(?U)^\s+|\s+\z"
+#: A value from its first to its last character that is no Unicode white space, found from the ends.
+_INNER = r"(?Us)\A\s*+(.*\S)?"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -18,7 +18,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim_ws(col: Column | str) -> Column:
     """Strip all Unicode white space, not only blanks."""
-    return F.regexp_replace(col, _EDGES, "")
+    return F.regexp_extract(col, _INNER, 1)
 
 
 def ltrim_ws(col: Column | str) -> Column:

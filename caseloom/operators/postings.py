@@ -122,11 +122,16 @@ def _lists(
         yield from _lists(chars, at, middle, ends, words, spots)
         yield from _lists(chars, middle, end, ends, words, spots)
         return
-    ranks = rank[piece]
-    code = np.zeros(len(spot), np.int64)
-    for i in range(GRAM):
-        code = code * len(alphabet) + ranks[i : i + end - at][begin[: len(ranks) - i]]
-    hits = np.sort(code << shift | spot)
+    # what lies beyond the last character begins no gram
+    ranks = np.append(rank[piece], np.zeros(end - at + GRAM - 1 - len(piece), np.int64))
+    code = ranks[: end - at].copy()
+    for i in range(1, GRAM):
+        code *= len(alphabet)
+        code += ranks[i : i + end - at]
+    hits = code[begin]
+    hits <<= shift
+    hits |= spot
+    hits.sort()
     pair = hits >> 6
     first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
     bits = np.bitwise_or.reduceat(np.left_shift(np.int64(1), hits & 63), first)

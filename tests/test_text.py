@@ -39,6 +39,11 @@ def test_trim_removes_all_unicode_white_space(values):
     assert values([" ", " x ", None], ft.is_blank) == [True, False, True]
 
 
+def test_trim_takes_one_pass_over_inner_white_space(values):
+    inner = "x" + " " * 1_000_000 + "y"
+    assert values([f" {inner}\u3000", "\n" * 1_000_000, ""], ft.trim_ws) == [inner, "", ""]
+
+
 def test_like_folds_ascii_only_and_keeps_wildcards(values):
     assert values(["ABC", "Éa", "éa", "a\\b"], lambda c: ft.contains_pattern(c, "b")) == [True, False, False, True]
     assert values(["Éa", "éa"], lambda c: ft.contains_pattern(c, "É")) == [True, False]
