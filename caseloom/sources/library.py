@@ -1,13 +1,16 @@
 """Stored files of any size: hashed as streams, and kept by content in a library.
 
 Paths are dealt to tasks, never contents: a task reads its files piece by piece, so memory
-does not depend on their size and no file passes through a column.
+does not depend on their size and no file passes through a column. Nor does the driver see a
+path: folders are listed by tasks, and lists are stored, so that joins know their true size.
 """
 
 from __future__ import annotations
 
 import fnmatch
 import hashlib
+import os
+import stat
 import uuid
 from collections.abc import Iterator
 
@@ -19,8 +22,10 @@ from ..functions.text import extension_of, filename_of_url
 from ..session import settled
 from .files import library_path
 
-#: Bytes read at a time, and files of one task about.
-PIECE, FILES_PER_TASK = 8 << 20, 256
+#: Bytes read at a time, files of one task about, and entries of a folder handed over together.
+PIECE, FILES_PER_TASK, ENTRIES = 8 << 20, 256, 4096
+#: Beyond this many, tasks get more files each: the driver remembers every task.
+MOST_TASKS = 1024
 
 
 def _at(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -34,36 +39,79 @@ def first_bytes(uri: str, size: int) -> bytes:
         return file.read(size)
 
 
+def _entries(system: pafs.FileSystem, folder: str) -> Iterator[tuple[str, int | None]]:
+    """(path, size) of what a folder holds, without names that begin with a dot or an underscore; a folder's size is None.
+
+    A local folder is read entry by entry. Of other file systems Arrow gives all entries of one folder at once.
+    """
+    if not isinstance(system, pafs.LocalFileSystem):
+        for e in system.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+            if e.base_name[:1] not in "._" and e.type in (pafs.FileType.File, pafs.FileType.Directory):
+                yield e.path, e.size if e.type == pafs.FileType.File else None
+        return
+    try:
+        found = os.scandir(folder)
+    except FileNotFoundError:
+        return
+    with found:
+        for e in found:
+            if e.name[:1] not in "._":
+                try:
+                    state = e.stat()
+                except FileNotFoundError:  # gone meanwhile, or a link to nothing
+                    continue
+                if stat.S_ISDIR(state.st_mode) or stat.S_ISREG(state.st_mode):
+                    yield e.path, state.st_size if stat.S_ISREG(state.st_mode) else None
+
+
+def _lister(system: pafs.FileSystem, scheme: str, glob: str, deep: bool):
+    """From folders (path) to (path, byte_size) of their files; folders below are gone into, or, if not ``deep``, rows without a size."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths: list[str] = []
+        sizes: list[int | None] = []
+
+        def lines() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "byte_size"])
+
+        for batch in batches:
+            folders = [path[len(scheme) :] for path in batch.column(0).to_pylist()]
+            while folders:
+                for path, size in _entries(system, folders.pop()):
+                    if size is None and deep:
+                        folders.append(path)
+                    elif size is None or fnmatch.fnmatchcase(path.rsplit("/", 1)[-1], glob):
+                        paths.append(scheme + path)
+                        sizes.append(size)
+                    if len(paths) == ENTRIES:
+                        yield lines()
+                        paths, sizes = [], []
+        yield lines()
+
+    return walk
+
+
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, byte_size) of the files of a folder tree whose name fits ``glob``, empty ones included; no content is read.
 
-    Each folder below the first level is listed by a task of its own. Names that begin
-    with a dot or an underscore are none of the data.
+    The folder is listed when this is called, by one task, and each folder below it with its
+    tree by a task of its own; what follows reads the stored list. Names that begin with a
+    dot or an underscore are none of the data.
     """
     system, base = _at(path.rstrip("/"))
     scheme = path.split("://", 1)[0] + "://" if "://" in path else "file://"
-    entries = system.get_file_info(pafs.FileSelector(base, allow_not_found=True))
-    tops = [(base, False), *((e.path, True) for e in entries if e.type == pafs.FileType.Directory and e.base_name[:1] not in "._")]
+    listed = "path string, byte_size long"
+    top = spark.createDataFrame([(scheme + base,)], "path string").mapInArrow(_lister(system, scheme, glob, False), listed)
+    level = settled(top, "level")
+    folders = level.filter("byte_size is null").select("path")
+    below = folders.repartition(max(1, min(folders.count(), MOST_TASKS))).mapInArrow(_lister(system, scheme, glob, True), listed)
+    return settled(level.filter("byte_size is not null").unionByName(below), "listing")
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for top, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = system.get_file_info(pafs.FileSelector(top, allow_not_found=True, recursive=deep))
-                below = len(base) + 1
-                files = [
-                    e for e in found
-                    if e.type == pafs.FileType.File and fnmatch.fnmatchcase(e.base_name, glob) and not any(p[:1] in "._" for p in e.path[below:].split("/"))
-                ]
-                yield pa.record_batch(
-                    [pa.array([scheme + e.path for e in files], pa.string()), pa.array([e.size for e in files], pa.int64())], names=["path", "byte_size"]
-                )
-
-    folders = spark.createDataFrame(tops, "top string, deep boolean").repartition(len(tops))
-    return folders.mapInArrow(walk, "path string, byte_size long")
-
-
-def _digest(uri: str, piece: int) -> tuple[str | None, int | None]:
+
+def _digest(uri: str | None, piece: int) -> tuple[str | None, int | None]:
     """SHA-256 and size of a file; none where it cannot be read."""
+    if uri is None:
+        return None, None
     state, size = hashlib.sha256(), 0
     try:
         system, place = _at(uri)
@@ -78,13 +126,12 @@ def _digest(uri: str, piece: int) -> tuple[str | None, int | None]:
 
 def _dealt(files: DataFrame) -> DataFrame:
     """Paths spread evenly over tasks: the longest file is one task's, but files are not bunched by folder."""
-    tasks = max(1, -(-files.count() // FILES_PER_TASK))
+    tasks = max(1, min(-(-files.count() // FILES_PER_TASK), MOST_TASKS))
     return files.repartition(tasks, F.xxhash64("path"))
 
 
-def hash_files(files: DataFrame, piece: int = PIECE) -> DataFrame:
-    """Add sha256 and byte_size, as read, to a table with ``path``; both are NULL where a file cannot be read."""
-    paths = _dealt(files.select("path").filter("path is not null").distinct())
+def _hashed(paths: DataFrame, piece: int) -> DataFrame:
+    """(path, sha256, byte_size) of different paths."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +140,16 @@ def hash_files(files: DataFrame, piece: int = PIECE) -> DataFrame:
             digests, sizes = pa.array([d for d, _ in seen], pa.string()), pa.array([n for _, n in seen], pa.int64())
             yield pa.record_batch([batch.column(0), digests, sizes], names=["path", "sha256", "byte_size"])
 
-    found = paths.mapInArrow(read, "path string, sha256 string, byte_size long")
+    return _dealt(paths).mapInArrow(read, "path string, sha256 string, byte_size long")
+
+
+def hash_files(files: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Add sha256 and byte_size, as read, to a table with ``path``; both are NULL where a file cannot be read.
+
+    The files are read when this is called.
+    """
+    # stored before the join: Spark's estimate for rows from Python knows nothing of how many there are, and would broadcast all
+    found = settled(_hashed(files.select("path").filter("path is not null").distinct(), piece), "hashes")
     return files.drop("sha256", "byte_size").join(found, "path", "left")
 
 
@@ -108,7 +164,7 @@ def store_files(files: DataFrame, library: str, piece: int = PIECE) -> DataFrame
     file and a repeated run changes nothing.
     """
     spark = files.sparkSession
-    named = hash_files(files.select("path").distinct(), piece).withColumn("original_filename", filename_of_url("path"))
+    named = _hashed(files.select("path").distinct(), piece).withColumn("original_filename", filename_of_url("path"))
     named = named.withColumn("extension", extension_of("original_filename"))
     named = settled(named.withColumn("relative_path", library_path(F.col("sha256"), F.col("extension"))), "arrivals")
     first = named.filter("sha256 is not null").groupBy("relative_path", "sha256").agg(F.min("path").alias("path"))
@@ -142,7 +198,7 @@ def store_files(files: DataFrame, library: str, piece: int = PIECE) -> DataFrame
 
 def stored_hashes(spark: SparkSession, library: str, piece: int = PIECE) -> DataFrame:
     """(local_path below the library, file_hash) of all stored files, read anew; a NULL hash is an unreadable file."""
-    files = hash_files(list_files(spark, library).select("path"), piece)
+    files = _hashed(list_files(spark, library).select("path"), piece)
     # ``hh/name`` are the last two steps of a stored file's path
     steps = F.split("path", "/")
     return files.select(F.concat_ws("/", F.element_at(steps, -2), F.element_at(steps, -1)).alias("local_path"), F.col("sha256").alias("file_hash"), "byte_size")

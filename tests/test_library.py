@@ -1,6 +1,7 @@
 """Streamed hashes and the content library."""
 
 import hashlib
+import tracemalloc
 
 from caseloom.sources import library as lib
 
@@ -48,3 +49,41 @@ def test_library_keeps_each_content_once(spark, tmp_path):
 def test_no_files(spark, tmp_path):
     nothing = spark.createDataFrame([], "path string")
     assert lib.store_files(nothing, str(tmp_path)).count() == 0
+
+
+def test_the_driver_holds_no_list_of_files(spark, tmp_path):
+    folder = tmp_path / "flat"
+    (folder / "below" / "deep").mkdir(parents=True)
+    (folder / "_gone").mkdir()
+    names = [*(f"d{i}.txt" for i in range(20_000)), "below/x.txt", "below/deep/y.txt"]
+    for name in [*names, "_gone/z.txt", "below/.hidden", "below/other.csv"]:
+        (folder / name).touch()
+    lib.list_files(spark, str(folder / "below")).count()
+    tracemalloc.start()
+    try:
+        found = lib.list_files(spark, str(folder), "*.txt")
+        assert found.count() == len(names) and tracemalloc.get_traced_memory()[1] < 1_000_000
+    finally:
+        tracemalloc.stop()
+    assert {r.path for r in found.collect()} == {f"file://{folder}/{n}" for n in names}
+
+
+def test_lists_of_files_are_broadcast_by_measured_size_only(spark, tmp_path):
+    for i in range(500):
+        (tmp_path / f"{i}.txt").write_bytes(b"x")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        seen = lib.hash_files(lib.list_files(spark, str(tmp_path)).select("path"))
+        assert [r.byte_size for r in seen.collect()] == [1] * 500
+        # the plan as it ran in the end, sizes known
+        assert "BroadcastHashJoin" not in seen._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_tasks_do_not_grow_without_end(spark, monkeypatch):
+    monkeypatch.setattr(lib, "FILES_PER_TASK", 2)
+    monkeypatch.setattr(lib, "MOST_TASKS", 4, raising=False)
+    paths = lambda n: lib._dealt(spark.range(n).selectExpr("string(id) as path")).rdd.getNumPartitions()
+    assert [paths(n) for n in (0, 3, 100)] == [1, 2, 4]
